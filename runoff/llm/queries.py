@@ -21,13 +21,25 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.token_scan import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-files"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runoff.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
