@@ -14,6 +14,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runoff.llm.sharding import shard
 
@@ -39,7 +46,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
