@@ -14,6 +14,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.ngram_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runoff.llm.toxicity import fit, score
 
@@ -46,13 +52,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op2_ngram_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+        grams AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM words),
+        sets AS (SELECT g, len(g) AS n, min(doc_id) AS set_id, count(*) AS set_size FROM grams GROUP BY g),
+        posted AS (SELECT set_id, n, set_size, unnest(g) AS gram FROM sets),
+        shared AS (SELECT a.set_id AS x, b.set_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, any_value(b.set_size) AS size, count(*) AS k
+                   FROM posted a JOIN posted b ON a.gram = b.gram AND a.set_id <> b.set_id GROUP BY 1, 2),
+        links AS (SELECT x, y, size FROM shared WHERE k / (nx + ny - k) >= 0.8),
+        reach AS (SELECT set_id AS x, set_id AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+        class AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+        degree AS (SELECT x, sum(size) AS d FROM links GROUP BY x)
+        SELECT grams.doc_id, class_id, set_id, set_size, CAST(coalesce(d, 0) + set_size - 1 AS BIGINT) AS n_links
+        FROM grams JOIN sets ON grams.g = sets.g JOIN class ON class.x = set_id LEFT JOIN degree ON degree.x = set_id""",
     "op9_mixing": """
         WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0)) AS b FROM documents GROUP BY source),
         rate AS (SELECT source, CASE WHEN b > 0 THEN pow(b, 0.7) / sum(pow(b, 0.7)) OVER () * (sum(b) OVER () / b) ELSE 1.0 END AS r FROM sizes),
