@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runoff.llm import license_scan
 from runoff.llm.common import new_path, table
 
 
@@ -34,6 +35,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.license_scan import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runoff.llm.packing import pack_documents
 
@@ -52,7 +59,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op7_packing, op8_token_counts, op9_mixing)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.secret_scan import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op5_license_scan, op7_packing, op8_token_counts, op9_mixing, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -86,4 +99,5 @@ ORACLE_SQL = {
         copies AS (SELECT doc_id, source, text, unnest(range(0, n)) AS copy FROM drawn)
         SELECT doc_id, source, text, copy, CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 17, 15) AS BIGINT) AS order_key
         FROM copies""",
+    "op5_license_scan": license_scan.oracle_sql(),
 }
