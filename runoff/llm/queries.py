@@ -41,6 +41,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(scan(table(spark, sf_dir, "documents")))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from runoff.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runoff.llm.packing import pack_documents
 
@@ -65,7 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op5_license_scan, op7_packing, op8_token_counts, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op5_license_scan, op6_nearest, op7_packing, op8_token_counts, op9_mixing, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
