@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from runoff.llm.common import durable
 
 
+def contract(ties: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what ties (u, v) connect, about one for each node.
+
+    Each u has a bounded number of ties. All that it is tied to, and itself, become tied to the smallest of them, so
+    ties of many nodes to the same few become equal and are dropped.
+    """
+    stars = ties.groupBy("u").agg(F.collect_set("v").alias("vs")).select(F.array_append("vs", F.col("u")).alias("all"))
+    return stars.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).where("u <> v").select("u", "v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of edges (u, v): label is the smallest node of the component.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runoff.llm.common import attach, durable
-from runoff.llm.components import components
+from runoff.llm.components import components, contract
 from runoff.llm.words import CACHE_WORDS, code_words, slices
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -201,7 +201,7 @@ def node_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     nodes = durable(rows.groupBy("_node").agg(least.alias("r"), F.count(F.lit(1)).alias("set_size")).select("_node", "set_size", F.col("r._id").alias("set_id"), F.col("r._md").alias("_md"), F.col("r._bands").alias("_bands")))
     ties = nodes.select("_node", F.explode("_bands").alias("band"))
     first = ties.groupBy("band").agg(F.min("_node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "v")
-    groups = components(ties.join(first, "band").where("_node <> v").select(F.col("_node").alias("u"), "v").distinct())
+    groups = components(contract(ties.join(first, "band").where("_node <> v").select(F.col("_node").alias("u"), "v")))
     groups = groups.select(F.col("node").alias("_node"), F.col("label").alias("_group"))
     sizes = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     dealt = groups.join(sizes, "_group").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("blocks")))
