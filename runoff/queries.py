@@ -1,12 +1,287 @@
-"""Queries over the terrain operators."""
+"""Queries over surfaces made from the test tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runoff.operators import analytics
+from runoff.operators.kernels import COLUMN, create_flow_kernel
+from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
+from runoff.plans.iterate import dense_index, durable
+from runoff.schema import NODE, FlowGraphTraversalDir, MSTRouteMethod, NodeStatus, RasterConnect
+from runoff.sources.grids import ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh, mesh_edges
+from runoff.sources.surfaces import COLS, orders_raster
+
+_CORE, _FIXED, _GRADIENT, _LOOPED = NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.FIXED_GRADIENT, NodeStatus.LOOPED
+_ALL_LOOPED = RasterBoundaryStatus.of(_LOOPED)
+_SIDES_LOOPED = RasterBoundaryStatus(_LOOPED, _LOOPED, _FIXED, _CORE)
+
+
+def _routed(spark: SparkSession, sf_dir: str, *operators, mask=None, bounds=None) -> FlowGraph:
+    grid, dem = orders_raster(spark, sf_dir, bounds=bounds)
+    graph = FlowGraph(grid, operators or [SingleFlowRouter()])
+    if mask is not None:
+        graph.set_mask(mask)
+    graph.update_routes(dem)
+    return graph
+
+
+def grid_neighbors(spark, sf_dir, connect=RasterConnect.QUEEN, bounds=None) -> DataFrame:
+    grid, _ = orders_raster(spark, sf_dir, connect, bounds)
+    return grid.edges.drop("grid_id")
+
+
+def nodes_by_status(spark, sf_dir) -> DataFrame:
+    grid, _ = orders_raster(spark, sf_dir, bounds=RasterBoundaryStatus(_FIXED, _GRADIENT, _GRADIENT, _CORE))
+    return grid.nodes.where("status > 0").select("idx", F.col("status").cast("int").alias("status"))
+
+
+def neighbor_count(spark, sf_dir) -> DataFrame:
+    return orders_raster(spark, sf_dir)[0].neighbors_count().drop("grid_id")
+
+
+def node_codes(spark, sf_dir) -> DataFrame:
+    return orders_raster(spark, sf_dir)[0].nodes_codes().drop("grid_id")
+
+
+def d8_receivers(spark, sf_dir, mask=None, bounds=None) -> DataFrame:
+    return _routed(spark, sf_dir, mask=mask, bounds=bounds).flow.select(F.col("src").alias("idx"), "rec", "distance")
+
+
+def mfd_weights(spark, sf_dir, p) -> DataFrame:
+    return _routed(spark, sf_dir, MultiFlowRouter(p)).flow.select(F.col("src").alias("idx"), "rec", F.round("weight", 9).alias("weight"))
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+def donors_count(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).donors_count(include_pit_self=False).drop("grid_id")
+
+
+def accumulate_uniform(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).accumulate(1.0).drop("grid_id")
+
+
+def accumulate_variable(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir)
+    return graph.accumulate(graph.state.surface.select(*NODE, F.col("z").alias("value"))).drop("grid_id")
+
+
+def accumulate_multi(spark, sf_dir) -> DataFrame:
+    """Flow to all lower neighbours on the first 12 rows of the raster."""
+    grid, dem = orders_raster(spark, sf_dir)
+    part = RasterGrid(spark, (12, COLS), (1.0, 1.0), grid.bounds)
+    graph = FlowGraph(part, [MultiFlowRouter(1.0)])
+    graph.update_routes(dem.where(F.col("idx") < 12 * COLS))
+    return graph.accumulate(1.0).select("idx", F.round("acc", 6).alias("acc"))
+
+
+def basins(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir, mask=F.col("idx") % 7 == 3).basins().select("idx", "basin")
+
+
+def outlets(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).outlets().drop("grid_id")
+
+
+def pits(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).pits().drop("grid_id")
+
+
+def bfs_levels(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).bfs_levels().drop("grid_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The ten outlets that drain the largest area."""
+    graph = _routed(spark, sf_dir)
+    sizes = graph.basins().groupBy("outlet").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sizes.orderBy(F.desc("n_nodes"), "outlet").limit(10)
+
+
+def basin_graph_edges(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).basin_edges().where("p0 is not null").drop("grid_id")
+
+
+def mst_total_weight(spark, sf_dir) -> DataFrame:
+    tree = analytics.boruvka(_routed(spark, sf_dir).basin_edges())
+    return tree.where("p0 is not null").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("pass_elev").alias("total"))
+
+
+def resolved_outlets(spark, sf_dir, *operators) -> DataFrame:
+    """After sinks are resolved, only base levels are outlets, and all area reaches them."""
+    graph = _routed(spark, sf_dir, *operators)
+    reached = graph.accumulate(1.0).join(graph.outlets(), NODE)
+    return reached.agg(F.count(F.lit(1)).alias("n_outlets"), F.sum("acc").alias("area"))
+
+
+def pflood_profile(spark, sf_dir) -> DataFrame:
+    """A profile of parts by key, z their size, flooded from its left end; steps counted in ordinals above the start."""
+    ranked = dense_index(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
+    size = ranked.count()
+    z = durable(ranked.select(F.lit(0).cast("long").alias("grid_id"), "idx", F.col("p_size").cast("double").alias("z")))
+    grid = ProfileGrid(spark, size, 1.0, ProfileBoundaryStatus(_FIXED, _CORE))
+    graph = FlowGraph(grid, [PFloodSinkResolver(), SingleFlowRouter()])
+    filled = graph.update_routes(z)
+    return filled.select("idx", F.round("z", 6).alias("z"))
+
+
+def _lattice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    grid, dem = orders_raster(spark, sf_dir)
+    nodes = grid.nodes.select(*NODE, "row", "col")
+    points = nodes.select(*NODE, F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    cells = nodes.where((F.col("row") < grid.shape[0] - 1) & (F.col("col") < COLS - 1))
+    i = F.col("idx")
+    halves = F.array(F.struct(i.alias("t0"), (i + 1).alias("t1"), (i + COLS).alias("t2")), F.struct((i + 1).alias("t0"), (i + COLS + 1).alias("t1"), (i + COLS).alias("t2")))
+    return points, cells.select("grid_id", F.explode(halves).alias("t")).select("grid_id", "t.*")
+
+
+def trimesh_edges(spark, sf_dir) -> DataFrame:
+    return mesh_edges(_lattice(spark, sf_dir)[1]).drop("grid_id")
+
+
+def trimesh_areas(spark, sf_dir) -> DataFrame:
+    mesh = TriMesh(*_lattice(spark, sf_dir))
+    return mesh.nodes.select("idx", F.col("status").cast("int").alias("status"), F.round("area", 6).alias("area"))
+
+
+def kernel_accumulate(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir)
+
+    def push(node):
+        if node.receivers.count and node.receivers.distance[0] > 0:
+            node.receivers.acc = node.receivers.acc + node.acc * node.receivers.weight
+
+    kernel = create_flow_kernel(graph, push, {"acc": COLUMN}, apply_dir=FlowGraphTraversalDir.BREADTH_DOWNSTREAM, outputs=["acc"])
+    return kernel.apply({}, graph.grid.nodes.select(*NODE, F.col("area").alias("acc"))).drop("grid_id")
+
+
+def snapshot_before_after(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir, SingleFlowRouter(), FlowSnapshot("before"), MSTSinkResolver())
+    before = graph.graph_snapshot("before").select("src", F.col("rec").alias("r0"))
+    return before.join(graph.flow, "src").where("src = r0").select(F.col("src").alias("idx"), F.col("r0").alias("rec_before"))
+
+
+def spl_step(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver())
+    e = SPLEroder(graph, 1e-3, 0.5, 1.0).erode(graph.state.surface, graph.accumulate(1.0), 1.0)
+    return e.select("idx", F.round("erosion", 6).alias("erosion"))
+
+
+def diffusion_step(spark, sf_dir) -> DataFrame:
+    grid, dem = orders_raster(spark, sf_dir)
+    return DiffusionADIEroder(grid, 0.1).erode(dem, 1.0).select("idx", F.round("erosion", 6).alias("erosion"))
+
+
+QUERIES = {
+    "grid_neighbors_queen": grid_neighbors,
+    "grid_neighbors_rook": partial(grid_neighbors, connect=RasterConnect.ROOK),
+    "grid_neighbors_bishop": partial(grid_neighbors, connect=RasterConnect.BISHOP),
+    "grid_neighbors_looped": partial(grid_neighbors, bounds=_ALL_LOOPED),
+    "nodes_by_status": nodes_by_status,
+    "neighbor_count": neighbor_count,
+    "node_codes": node_codes,
+    "d8_receivers": d8_receivers,
+    "d8_masked": lambda spark, sf_dir: d8_receivers(spark, sf_dir, mask=F.col("idx") % 7 == 3),
+    "d8_looped": partial(d8_receivers, bounds=_SIDES_LOOPED),
+    "mfd_weights_p1": partial(mfd_weights, p=1.0),
+    "mfd_weights_p2": partial(mfd_weights, p=2.0),
+    "donors_count": donors_count,
+    "accumulate_uniform": accumulate_uniform,
+    "accumulate_variable": accumulate_variable,
+    "accumulate_multi": accumulate_multi,
+    "basins": basins,
+    "outlets": outlets,
+    "pits": pits,
+    "bfs_levels": bfs_levels,
+    "basin_size_topk": flagship,
+    "basin_graph_edges": basin_graph_edges,
+    "mst_total_weight": mst_total_weight,
+    "mst_carve_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver()),
+    "mst_basic_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver(route_method=MSTRouteMethod.BASIC)),
+    "pflood_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, PFloodSinkResolver(), SingleFlowRouter()),
+    "pflood_profile": pflood_profile,
+    "trimesh_edges": trimesh_edges,
+    "trimesh_areas": trimesh_areas,
+    "kernel_accumulate": kernel_accumulate,
+    "snapshot_before_after": snapshot_before_after,
+    "spl_step": spl_step,
+    "diffusion_step": diffusion_step,
+}
+
+_DEM = """dem AS (SELECT idx, idx // 50 AS r, idx % 50 AS c, CAST(CAST(floor(o_totalprice) AS BIGINT) % 1024 + 128 * (idx // 50) AS DOUBLE) AS z, n // 50 AS nr
+        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_totalprice, count(*) OVER () AS n FROM orders) WHERE idx < n // 50 * 50)"""
+
+
+def _offsets(connect: RasterConnect) -> str:
+    return "o(slot, dr, dc) AS (VALUES " + ", ".join(f"({s}, {r}, {c})" for s, (r, c) in enumerate(connect.value)) + ")"
+
+
+def _edges(wrap_rows: bool = False, wrap_cols: bool = False) -> str:
+    r, c = "(r + dr + nr) % nr" if wrap_rows else "r + dr", "(c + dc + 50) % 50" if wrap_cols else "c + dc"
+    return f"""e AS (SELECT idx AS src, slot, nr2 * 50 + nc2 AS dst, sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) AS distance
+        FROM (SELECT idx, nr, slot, dr, dc, {r} AS nr2, {c} AS nc2 FROM dem, o) WHERE nr2 BETWEEN 0 AND nr - 1 AND nc2 BETWEEN 0 AND 49)"""
+
+
+def _d8(mask: str = "false", wrap_cols: bool = False) -> str:
+    return f"""WITH RECURSIVE {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges(False, wrap_cols)},
+        s AS (SELECT e.src, e.slot, e.dst, e.distance, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst
+              WHERE a.r > 0 AND NOT (a.idx % 7 = 3 AND {mask}) AND NOT (b.idx % 7 = 3 AND {mask}) AND a.z > b.z),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY slope DESC, slot) AS k FROM s) WHERE k = 1),
+        flow AS (SELECT idx, coalesce(dst, idx) AS rec, coalesce(distance, 0.0) AS distance, z, r FROM dem LEFT JOIN best ON src = idx),
+        path AS (SELECT idx, rec AS spot, 1 AS n FROM flow WHERE rec <> idx UNION ALL SELECT path.idx, flow.rec, n + 1 FROM path JOIN flow ON flow.idx = path.spot WHERE flow.rec <> path.spot),
+        root AS (SELECT idx, CASE WHEN n IS NULL THEN idx ELSE spot END AS root, coalesce(n, 0) AS depth
+                 FROM flow LEFT JOIN (SELECT idx AS i, arg_max(spot, n) AS spot, max(n) AS n FROM path GROUP BY i) ON i = idx)"""
+
+
+def _mfd(p: str, rows: str = "") -> str:
+    return f"""WITH RECURSIVE {_DEM.replace("WHERE idx < n // 50 * 50", f"WHERE idx < n // 50 * 50 {rows}")}, {_offsets(RasterConnect.QUEEN)}, {_edges()},
+        s AS (SELECT e.src, e.slot, e.dst, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst WHERE a.r > 0 AND a.z > b.z),
+        w AS (SELECT src AS idx, dst AS rec, ({p}) / sum({p}) OVER (PARTITION BY src) AS weight FROM s)"""
+
+
+_PASSES = """, b AS (SELECT flow.idx, z, root, dense_rank() OVER (ORDER BY root) - 1 AS basin, root < 50 AS outer_ FROM flow JOIN root ON root.idx = flow.idx),
+        p AS (SELECT x.basin AS b0, y.basin AS b1, greatest(x.z, y.z) AS pe, e.* FROM e JOIN b x ON x.idx = e.src JOIN b y ON y.idx = e.dst WHERE NOT x.outer_ AND x.basin <> y.basin AND (y.basin > x.basin OR y.outer_)),
+        q AS (SELECT *, row_number() OVER (PARTITION BY b0, b1 ORDER BY pe, src, slot) AS k FROM p)"""
+_NEIGHBORS = "SELECT src, slot, dst, distance FROM e"
+_TRIANGLES = """, t AS (SELECT idx AS t0, idx + 1 AS t1, idx + 50 AS t2 FROM dem WHERE r < nr - 1 AND c < 49 UNION ALL SELECT idx + 1, idx + 51, idx + 50 FROM dem WHERE r < nr - 1 AND c < 49),
+        h AS (SELECT least(t0, t1) AS a, greatest(t0, t1) AS b FROM t UNION ALL SELECT least(t1, t2), greatest(t1, t2) FROM t UNION ALL SELECT least(t2, t0), greatest(t2, t0) FROM t),
+        u AS (SELECT a, b, count(*) AS uses FROM h GROUP BY a, b)"""
+
+ORACLE_SQL = {
+    "grid_neighbors_queen": f"WITH {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges()} {_NEIGHBORS}",
+    "grid_neighbors_rook": f"WITH {_DEM}, {_offsets(RasterConnect.ROOK)}, {_edges()} {_NEIGHBORS}",
+    "grid_neighbors_bishop": f"WITH {_DEM}, {_offsets(RasterConnect.BISHOP)}, {_edges()} {_NEIGHBORS}",
+    "grid_neighbors_looped": f"WITH {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges(True, True)} {_NEIGHBORS}",
+    "nodes_by_status": f"WITH {_DEM} SELECT idx, CASE WHEN c = 0 THEN 1 ELSE 2 END AS status FROM dem WHERE c = 0 OR c = 49 OR r = 0",
+    "neighbor_count": f"WITH {_DEM} SELECT idx, CAST((CASE WHEN r IN (0, nr - 1) THEN 2 ELSE 3 END) * (CASE WHEN c IN (0, 49) THEN 2 ELSE 3 END) - 1 AS BIGINT) AS n FROM dem",
+    "node_codes": f"WITH {_DEM} SELECT idx, CAST(3 * (CASE WHEN r = 0 THEN 0 WHEN r = nr - 1 THEN 2 ELSE 1 END) + (CASE WHEN c = 0 THEN 0 WHEN c = 49 THEN 2 ELSE 1 END) AS INTEGER) AS code FROM dem",
+    "d8_receivers": f"{_d8()} SELECT idx, rec, distance FROM flow",
+    "d8_masked": f"{_d8('true')} SELECT idx, rec, distance FROM flow",
+    "d8_looped": f"{_d8('false', True)} SELECT idx, rec, distance FROM flow",
+    "mfd_weights_p1": f"{_mfd('slope')} SELECT idx, rec, round(weight, 9) AS weight FROM w UNION ALL SELECT idx, idx, 0.0 FROM dem WHERE idx NOT IN (SELECT idx FROM w)",
+    "mfd_weights_p2": f"{_mfd('slope * slope')} SELECT idx, rec, round(weight, 9) AS weight FROM w UNION ALL SELECT idx, idx, 0.0 FROM dem WHERE idx NOT IN (SELECT idx FROM w)",
+    "donors_count": f"{_d8()} SELECT f.idx, count(d.idx) AS n FROM flow f LEFT JOIN flow d ON d.rec = f.idx AND d.idx <> f.idx GROUP BY f.idx",
+    "accumulate_uniform": f"{_d8()} SELECT idx, 1.0 + coalesce(k, 0)::DOUBLE AS acc FROM flow LEFT JOIN (SELECT spot, count(*) AS k FROM path GROUP BY spot) ON spot = idx",
+    "accumulate_variable": f"{_d8()} SELECT idx, z + coalesce(k, 0.0) AS acc FROM flow LEFT JOIN (SELECT spot, sum(f2.z) AS k FROM path JOIN flow f2 ON f2.idx = path.idx GROUP BY spot) ON spot = flow.idx",
+    "accumulate_multi": f"""{_mfd('slope', 'AND idx < 600')}, walk AS (
+        SELECT idx AS spot, 1.0::DOUBLE AS part, 0 AS n FROM dem
+        UNION ALL SELECT w.rec, sum(part * weight), n + 1 FROM walk JOIN w ON w.idx = walk.spot GROUP BY w.rec, n)
+        SELECT spot AS idx, round(sum(part), 6) AS acc FROM walk GROUP BY spot""",
+    "basins": f"{_d8('true')} SELECT root.idx, CASE WHEN root.idx % 7 <> 3 THEN basin END AS basin FROM root LEFT JOIN (SELECT idx AS o, row_number() OVER (ORDER BY idx) - 1 AS basin FROM flow WHERE rec = idx AND idx % 7 <> 3) ON o = root",
+    "outlets": f"{_d8()} SELECT idx FROM flow WHERE rec = idx",
+    "pits": f"{_d8()} SELECT idx FROM flow WHERE rec = idx AND r > 0",
+    "bfs_levels": f"{_d8()} SELECT idx, CAST(depth AS BIGINT) AS level FROM root",
+    "basin_size_topk": f"{_d8()} SELECT root AS outlet, count(*) AS n_nodes FROM root GROUP BY root ORDER BY n_nodes DESC, outlet LIMIT 10",
+    "basin_graph_edges": f"{_d8()}{_PASSES} SELECT b0, b1, src AS p0, dst AS p1, pe AS pass_elev, distance AS pass_len FROM q WHERE k = 1",
+    "mst_carve_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",
+    "mst_basic_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",
+    "pflood_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",
+    "pflood_profile": "SELECT idx, round(max(z) OVER (ORDER BY idx), 6) AS z FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, p_size::DOUBLE AS z FROM part)",
+    "trimesh_edges": f"WITH {_DEM}{_TRIANGLES} SELECT a, b, uses FROM u",
+    "trimesh_areas": f"""WITH {_DEM}{_TRIANGLES} SELECT idx, CAST(CASE WHEN r IN (0, nr - 1) OR c IN (0, 49) THEN 1 ELSE 0 END AS INTEGER) AS status,
+        round(CASE WHEN r IN (0, nr - 1) THEN 0.5 ELSE 1.0 END * CASE WHEN c IN (0, 49) THEN 0.5 ELSE 1.0 END, 6) AS area FROM dem""",
+    "kernel_accumulate": f"{_d8()} SELECT idx, 1.0 + coalesce(k, 0)::DOUBLE AS acc FROM flow LEFT JOIN (SELECT spot, count(*) AS k FROM path GROUP BY spot) ON spot = idx",
+    "snapshot_before_after": f"{_d8()} SELECT idx, rec AS rec_before FROM flow WHERE rec = idx",
+}
