@@ -105,21 +105,18 @@ def _exchange(give: list[int], take: list[int], size: np.ndarray, room: int) ->
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search on the underfull bins until no step raises the sum of squared fill."""
     fill = [int(lengths[b].sum()) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    for g in under[:GIVERS]:
-        moved = True
-        while moved and bins[g]:
-            moved = False
-            for t in sorted((k for k in under[-TAKERS:] if k != g and fill[g] <= fill[k] < capacity and bins[k]), key=lambda k: -fill[k]):
-                step = _exchange(bins[g], bins[t], lengths, capacity - fill[t])
-                if step:
+    stepped = True
+    while stepped:
+        stepped = False
+        under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
+        for g in under[:GIVERS]:
+            for t in sorted((k for k in under[-TAKERS:] if k != g), key=lambda k: -fill[k]):
+                while bins[g] and fill[g] <= fill[t] < capacity and (step := _exchange(bins[g], bins[t], lengths, capacity - fill[t])):
                     go, back = step
-                    d = int(lengths[list(go)].sum() - lengths[list(back)].sum()) if back else int(lengths[list(go)].sum())
+                    d = int(lengths[list(go)].sum()) - sum(int(lengths[i]) for i in back)
                     bins[g] = [i for i in bins[g] if i not in go] + list(back)
                     bins[t] = [i for i in bins[t] if i not in back] + list(go)
-                    fill[g], fill[t], moved = fill[g] - d, fill[t] + d, True
-                    if not bins[g]:
-                        break
+                    fill[g], fill[t], stepped = fill[g] - d, fill[t] + d, True
     return [b for b in bins if b]
 
 
