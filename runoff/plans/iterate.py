@@ -11,11 +11,17 @@ from runoff.schema import NODE
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, its lineage cut; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """df written to the folder in spark.checkpoint.dir, its lineage cut; a temporary folder only where none is set.
+
+    A checkpoint keeps the size that was estimated for its plan. Joins multiply estimates, so in a loop their digits
+    double each round until planning is all that runs; the rows are therefore handed on without an estimate.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="runoff-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(kept.sparkSession().createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 def dense_index(df: DataFrame, *keys: str, name: str = "idx") -> DataFrame:

@@ -69,12 +69,8 @@ def accumulate_variable(spark, sf_dir) -> DataFrame:
 
 
 def accumulate_multi(spark, sf_dir) -> DataFrame:
-    """Flow to all lower neighbours on the first 12 rows of the raster."""
-    grid, dem = orders_raster(spark, sf_dir)
-    part = RasterGrid(spark, (12, COLS), (1.0, 1.0), grid.bounds)
-    graph = FlowGraph(part, [MultiFlowRouter(1.0)])
-    graph.update_routes(dem.where(F.col("idx") < 12 * COLS))
-    return graph.accumulate(1.0).select("idx", F.round("acc", 6).alias("acc"))
+    """Flow to all lower neighbours, the whole raster."""
+    return _routed(spark, sf_dir, MultiFlowRouter(1.0)).accumulate(1.0).select("idx", F.round("acc", 6).alias("acc"))
 
 
 def basins(spark, sf_dir) -> DataFrame:
@@ -235,8 +231,8 @@ def _d8(mask: str = "false", wrap_cols: bool = False) -> str:
                  FROM flow LEFT JOIN (SELECT idx AS i, arg_max(spot, n) AS spot, max(n) AS n FROM path GROUP BY i) ON i = idx)"""
 
 
-def _mfd(p: str, rows: str = "") -> str:
-    return f"""WITH RECURSIVE {_DEM.replace("WHERE idx < n // 50 * 50", f"WHERE idx < n // 50 * 50 {rows}")}, {_offsets(RasterConnect.QUEEN)}, {_edges()},
+def _mfd(p: str) -> str:
+    return f"""WITH RECURSIVE {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges()},
         s AS (SELECT e.src, e.slot, e.dst, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst WHERE a.r > 0 AND a.z > b.z),
         w AS (SELECT src AS idx, dst AS rec, ({p}) / sum({p}) OVER (PARTITION BY src) AS weight FROM s)"""
 
@@ -265,7 +261,7 @@ ORACLE_SQL = {
     "donors_count": f"{_d8()} SELECT f.idx, count(d.idx) AS n FROM flow f LEFT JOIN flow d ON d.rec = f.idx AND d.idx <> f.idx GROUP BY f.idx",
     "accumulate_uniform": f"{_d8()} SELECT idx, 1.0 + coalesce(k, 0)::DOUBLE AS acc FROM flow LEFT JOIN (SELECT spot, count(*) AS k FROM path GROUP BY spot) ON spot = idx",
     "accumulate_variable": f"{_d8()} SELECT idx, z + coalesce(k, 0.0) AS acc FROM flow LEFT JOIN (SELECT spot, sum(f2.z) AS k FROM path JOIN flow f2 ON f2.idx = path.idx GROUP BY spot) ON spot = flow.idx",
-    "accumulate_multi": f"""{_mfd('slope', 'AND idx < 600')}, walk AS (
+    "accumulate_multi": f"""{_mfd('slope')}, walk AS (
         SELECT idx AS spot, 1.0::DOUBLE AS part, 0 AS n FROM dem
         UNION ALL SELECT w.rec, sum(part * weight), n + 1 FROM walk JOIN w ON w.idx = walk.spot GROUP BY w.rec, n)
         SELECT spot AS idx, round(sum(part), 6) AS acc FROM walk GROUP BY spot""",

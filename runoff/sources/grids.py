@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,15 +252,87 @@ def healpix_lonlat(pixel: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarra
     return lon, lat
 
 
+#: Steps over the diamonds of the sphere, x to the north-east and y to the north-west: slots SW, W, NW, N, NE, E, SE, S.
+_STEPS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def _ring_of(face: np.ndarray, x: np.ndarray, y: np.ndarray, nside: int) -> np.ndarray:
+    """RING numbers of places (x, y) on the 12 base diamonds: Gorski et al. 2005, eqs. 16-21."""
+    tier = face // 4
+    ring = (tier + 2) * nside - x - y - 1
+    centre = 2 * (face % 4) + (tier != 1)
+    short = np.minimum(np.minimum(ring, 4 * nside - ring), nside)  # a quarter of the ring's pixels
+    odd = np.where(short < nside, 1, (ring - nside + 1) % 2)
+    j = ((centre * short + x - y + odd) // 2 - 1) % (4 * short)
+    south, cap = ring > 3 * nside, 2 * nside * (nside - 1)
+    before = np.where(south, 12 * nside**2 - 2 * short * (short + 1), np.where(ring < nside, 2 * ring * (ring - 1), cap + (ring - nside) * 4 * nside))
+    return before + j
+
+
+def _diamond_of(pixel: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """face, x, y of RING numbers: the one diamond of twelve that holds a pixel's ring and its place in the ring."""
+    n, cap = 12 * nside**2, 2 * nside * (nside - 1)
+    up = np.minimum(pixel, n - 1 - pixel)
+    k = ((1 + np.sqrt(1.0 + 2 * up)) / 2).astype(np.int64)
+    k = np.maximum(np.where(2 * k * (k - 1) > up, k - 1, np.where(2 * k * (k + 1) <= up, k + 1, k)), 1)
+    south, belt = pixel >= n - cap, (pixel >= cap) & (pixel < n - cap)
+    ring = np.where(belt, (pixel - cap) // (4 * nside) + nside, np.where(south, 4 * nside - k, k))
+    short = np.where(belt, nside, k)
+    j = 1 + np.where(belt, (pixel - cap) % (4 * nside), np.where(south, pixel - (n - 2 * k * (k + 1)), pixel - 2 * k * (k - 1)))
+    odd = np.where(short < nside, 1, (ring - nside + 1) % 2)
+    face, x, y = (np.full(pixel.shape, -1, np.int64) for _ in range(3))
+    for f in range(12):
+        sum_ = (f // 4 + 2) * nside - 1 - ring
+        turn = 8 * short
+        diff = (2 * j - odd - (2 * (f % 4) + (f // 4 != 1)) * short + turn // 2) % turn - turn // 2
+        a, b = (sum_ + diff) // 2, (sum_ - diff) // 2
+        here = (face < 0) & ((sum_ + diff) % 2 == 0) & (a >= 0) & (a < nside) & (b >= 0) & (b < nside)
+        face, x, y = np.where(here, f, face), np.where(here, a, x), np.where(here, b, y)
+    return face, x, y
+
+
+def healpix_neighbors(pixel: np.ndarray, nside: int) -> np.ndarray:
+    """[pixel, slot]: RING numbers of neighbours in the order of _STEPS, -1 where three diamonds meet and there is none.
+
+    A step that leaves a diamond is carried on over the one beside it. Diamonds of one tier around a pole are turned by
+    a quarter towards each other; a diagonal step over a corner is two steps, or the diamond opposite.
+    """
+    face, x0, y0 = _diamond_of(np.asarray(pixel, np.int64), nside)
+    tier, k, last = face // 4, face % 4, nside - 1
+    out = np.full((len(face), len(_STEPS)), -1, np.int64)
+    for slot, (dx, dy) in enumerate(_STEPS):
+        x, y = x0 + dx, y0 + dy
+        left, right, low, high = x < 0, x > last, y < 0, y > last
+        wx, wy = x % nside, y % nside  # the place in an unturned diamond
+        f, a, b = np.full_like(face, -1), wx.copy(), wy.copy()
+        inside = ~(left | right | low | high)
+        f[inside] = face[inside]
+        plain = lambda p, q: ~(p | q)
+        ones, none = np.full_like(x, last), np.zeros_like(x)
+        east, west, over, under = right & plain(low, high), left & plain(low, high), high & plain(left, right), low & plain(left, right)
+        north, middle, south = tier == 0, tier == 1, tier == 2
+        for where, of_tier, turn, a_, b_ in (
+            (north & east, 0, 1, y, ones), (north & over, 0, -1, ones, x), (north & west, 1, 0, wx, wy), (north & under, 1, 1, wx, wy),
+            (middle & east, 0, 0, wx, wy), (middle & over, 0, -1, wx, wy), (middle & west, 2, -1, wx, wy), (middle & under, 2, 0, wx, wy),
+            (south & east, 1, 1, wx, wy), (south & over, 1, 0, wx, wy), (south & west, 2, -1, y, none), (south & under, 2, 1, none, x),
+            (north & right & high, 0, 2, ones, ones), (north & left & low, 2, 0, wx, wy), (middle & right & low, 1, 1, wx, wy),
+            (middle & left & high, 1, -1, wx, wy), (south & left & low, 2, 2, none, none), (south & right & high, 0, 0, wx, wy),
+        ):
+            f[where], a[where], b[where] = (4 * of_tier + (k + turn) % 4)[where], a_[where], b_[where]
+        found = f >= 0
+        out[found, slot] = _ring_of(f[found], a[found], b[found], nside)
+    return out
+
+
 class HealpixGrid(Grid):
     """12 * nside**2 pixels of equal area in RING order; nodes carry lon, lat (radians) and x, y, z (times radius)."""
 
-    def __init__(self, spark: SparkSession, nside: int, nodes_status: Mapping[int, NodeStatus] | None = None, radius: float = EARTH_RADIUS) -> None:
+    def __init__(self, spark: SparkSession, nside: int, nodes_status: Mapping[int, NodeStatus] | None = None, radius: float = EARTH_RADIUS, strict: bool = False) -> None:
         size = 12 * nside * nside
         given = dict(nodes_status or {})
         if NodeStatus.LOOPED in given.values():
             raise ValueError("looped nodes don't exist on a sphere")
-        self.nside, self.radius = nside, radius
+        self.nside, self.radius, self.strict = nside, radius, strict
 
         def place(batches):
             for rows in batches:
@@ -269,6 +342,7 @@ class HealpixGrid(Grid):
         placed = _ids(spark, size, 1).mapInPandas(place, "grid_id long, idx long, lon double, lat double, x double, y double, z3 double")
         nodes = placed.select("*", _overridden(F.lit(0), given, size).alias("status"), F.lit(4 * math.pi * radius**2 / size).alias("area"))
         super().__init__(nodes, size, (size,), False, True, 8)
+        self.ghosts = nodes.where(F.col("status") == int(NodeStatus.GHOST)).select(*NODE) if NodeStatus.GHOST in given.values() else None
 
     def nodes_lonlat(self) -> DataFrame:
         return self.nodes.select(*NODE, "lon", "lat")
@@ -277,4 +351,27 @@ class HealpixGrid(Grid):
         return self.nodes.select(*NODE, "x", "y", F.col("z3").alias("z"))
 
     def neighbors(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-        raise NotImplementedError("adjacency of the spherical grid isn't built yet")
+        """Computed from pixel numbers, in parts of a batch. Distances are chords of the unit sphere and slot 0 (SW) is
+        left out, unless the grid is strict: then all slots count and distances are of the grid's radius. Ghost pixels
+        have no neighbours and are nobody's."""
+        nside, first, scale = self.nside, 0 if self.strict else 1, self.radius if self.strict else 1.0
+        kept = rows.select("grid_id", F.col("idx").alias("src"), *carry)
+        if self.ghosts is not None:
+            kept = kept.join(self.ghosts.withColumnRenamed("idx", "src"), ["grid_id", "src"], "left_anti")
+        steps = kept.withColumn("_k", F.lit(0)).withColumn("_dst", F.lit(0).cast("long")).withColumn("distance", F.lit(0.0))
+
+        def walk(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    src = part.column("src").to_numpy(zero_copy_only=False)
+                    dst = healpix_neighbors(src, nside)[:, first:]
+                    row, slot = np.nonzero(dst >= 0)
+                    to = dst[row, slot]
+                    (lon0, lat0), (lon1, lat1) = healpix_lonlat(src[row], nside), healpix_lonlat(to, nside)
+                    square = np.sin((lat1 - lat0) / 2) ** 2 + np.cos(lat0) * np.cos(lat1) * np.sin((lon1 - lon0) / 2) ** 2
+                    columns = part.take(pa.array(row)).columns[:-3]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array((slot + first).astype(np.int32)), pa.array(to), pa.array(2 * scale * np.sqrt(square))], names=batch.schema.names)
+
+        out = steps.mapInArrow(walk, steps.schema).select("grid_id", "src", F.col("_k").alias("slot"), F.col("_dst").alias("dst"), "distance", *carry)
+        return out if self.ghosts is None else out.join(self.ghosts.withColumnRenamed("idx", "dst"), ["grid_id", "dst"], "left_anti").select("grid_id", "src", "slot", "dst", "distance", *carry)

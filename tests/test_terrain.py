@@ -9,8 +9,10 @@ from runoff.functions.ordinals import from_ordinal, ordinal
 from runoff.operators import grouped
 from runoff.operators.analytics import boruvka
 from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
+from runoff.plans.iterate import ancestors
 from runoff.schema import MSTRouteMethod, NodeStatus, RasterConnect
-from runoff.sources.grids import HealpixGrid, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh
+from runoff.sources.grids import HealpixGrid, healpix_lonlat, healpix_neighbors, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh
+from runoff.streaming.steps import simulate
 
 C, F_, G, L = NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.FIXED_GRADIENT, NodeStatus.LOOPED
 BOTTOM = RasterBoundaryStatus(C, C, C, F_)
@@ -185,3 +187,53 @@ def test_sphere(spark):
     assert grid.nodes.count() == 12288 and first["area"] == pytest.approx(41509152987.45021)
     assert (first["lon"], first["lat"]) == pytest.approx((0.7853981633974483, 1.5452801164374776))
     assert (first["x"], first["z3"]) == pytest.approx((114937.4753788243, 6368926.106770833))
+
+
+def test_sphere_neighbors(spark):
+    near = HealpixGrid(spark, 32).neighbors_of(0).collect()
+    assert [r["dst"] for r in near] == [11, 3, 2, 1, 6, 5, 13]
+    assert [r["distance"] for r in near] == pytest.approx([0.04752047, 0.03608146, 0.05102688, 0.03608146, 0.04752047, 0.02914453, 0.0510435], abs=1e-7)
+    assert HealpixGrid(spark, 32).neighbors_of(1984).count() == 6
+    assert HealpixGrid(spark, 32, {1: NodeStatus.GHOST}).neighbors_of(0).count() == 6
+    with pytest.raises(ValueError):
+        HealpixGrid(spark, 4, {1: L})
+
+
+@pytest.mark.parametrize("nside", [1, 2, 3, 8, 13])
+def test_sphere_neighbors_are_mutual_and_near(nside):
+    pixels = np.arange(12 * nside * nside)
+    near = healpix_neighbors(pixels, nside)
+    pairs = {(i, int(j)) for i in pixels for j in near[i] if j >= 0}
+    assert all((j, i) in pairs for i, j in pairs)
+    assert ((near < 0).sum(1) <= 2).all() and (near < 0).sum() == 24
+    lon, lat = healpix_lonlat(pixels, nside)
+    xyz = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+    if nside >= 8:  # the four that share a side are among the nearest
+        for i in pixels:
+            sides = near[i][[0, 2, 4, 6]]
+            chord = np.sqrt(((xyz[sides] - xyz[i]) ** 2).sum(1))
+            assert (chord < 2.5 / nside).all() and len(set(sides)) == 4
+
+
+def test_multi_flow_on_sphere_keeps_all_area(spark):
+    grid = HealpixGrid(spark, 4, {0: F_, 100: F_})
+    graph = FlowGraph(grid, [PFloodSinkResolver(), MultiFlowRouter(1.0)])
+    z = np.random.default_rng(5).random(192)
+    graph.update_routes(surface(spark, z))
+    reached = graph.accumulate(1.0).where("idx in (0, 100)").collect()
+    assert sum(r["acc"] for r in reached) == pytest.approx(4 * math.pi * grid.radius**2)
+
+
+def test_estimates_stay_small_in_loops(spark):
+    flow = spark.range(300).selectExpr("0L as grid_id", "id as src", "greatest(id - 1, 0) as rec")
+    found = ancestors(flow)
+    assert found.agg({"depth": "max"}).first()[0] == 299
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= 2**63
+
+
+def test_simulate(spark):
+    grid = RasterGrid(spark, (12, 10), (100.0, 100.0), BOTTOM)
+    graph = FlowGraph(grid, [SingleFlowRouter(), MSTSinkResolver()])
+    z0 = np.random.default_rng(2).random(120)
+    z = column(simulate(graph, surface(spark, z0), 2, 1e4, 1e-3, SPLEroder(graph, 1e-5, 0.5, 1.0), DiffusionADIEroder(grid, 1e-2)), "z")
+    assert np.allclose(z[-10:], z0[-10:]) and np.isfinite(z).all() and max(z) > max(z0)
