@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,16 +81,26 @@ def levels(flow: DataFrame) -> DataFrame:
     return done
 
 
+#: Rounds whose shares are added up together.
+FOLD = 32
+
+
 def sum_by_levels(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
-    """As sum_downstream, for flow with weights to several receivers: one pass for each level, highest first."""
-    order = durable(levels(flow))
-    top = order.agg(F.max("level")).first()[0] or 0
-    acc = durable(own.select(*NODE, F.col(value).cast("double").alias("v")))
-    edges = durable(flow.where("src <> rec").join(order.select("grid_id", F.col("idx").alias("src"), "level"), ["grid_id", "src"]))
-    for k in range(top, 0, -1):
-        moved = edges.where(F.col("level") == k).join(acc.select("grid_id", F.col("idx").alias("src"), "v"), ["grid_id", "src"]).groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sum(F.col("v") * F.col("weight")).alias("more"))
-        acc = durable(acc.join(moved, NODE, "left").select(*NODE, (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
-    return acc.select(*NODE, F.col("v").alias(value))
+    """As sum_downstream, for flow with weights to several receivers.
+
+    Round k moves what each node has sent k steps down, combined before the shuffle; rounds end with the longest path.
+    """
+    edges = durable(flow.where("src <> rec").select("grid_id", F.col("src").alias("idx"), "rec", "weight"))
+    moving = durable(own.select(*NODE, F.col(value).cast("double").alias("v")))
+    total = lambda parts: durable(reduce(DataFrame.unionByName, parts).groupBy(*NODE).agg(F.sum("v").alias("v")))
+    parts = [moving]
+    while True:
+        moving = durable(edges.join(moving, NODE).groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sum(F.col("v") * F.col("weight")).alias("v")))
+        if not moving.limit(1).count():
+            return total(parts).select(*NODE, F.col("v").alias(value))
+        parts.append(moving)
+        if len(parts) > FOLD:
+            parts = [total(parts)]
 
 
 def cond(value: bool | Column) -> Column:
