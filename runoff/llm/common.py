@@ -32,6 +32,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def round_end(df: DataFrame) -> DataFrame:
+    """durable(df) for loops: a checkpoint keeps its plan's estimated size, whose digits joins multiply each round, so
+    the rows are handed on without an estimate."""
+    kept = durable(df)._jdf
+    return DataFrame(kept.sparkSession().createDataFrame(kept.javaRDD(), kept.schema()), df.sparkSession)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runoff.llm.common import durable
+from runoff.llm.common import durable, round_end
 
 
 def contract(ties: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         better = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = durable(better.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        now = round_end(better.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
         changed = now.where("old <> label").limit(1).count()
         labels = now.select("node", "label")
         if not changed:
