@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from runoff.llm.common import attach, durable
 from runoff.llm.components import components, contract
-from runoff.llm.words import CACHE_WORDS, code_words, slices
+from runoff.llm.words import CACHE_WORDS, code_words, give_back, slices
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most MinHash values that choose_bands may spend.
@@ -188,6 +188,7 @@ def _verify(threshold: float, n: int):
                     if p != q:
                         root[max(p, q)] = min(p, q)
             out.append(pd.DataFrame({"_node": nodes, "_links": found, "_root": [nodes[top(i)] for i in range(len(nodes))]}))
+        give_back()
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"_node": [], "_links": [], "_root": []})
 
     return run
