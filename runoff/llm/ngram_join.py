@@ -75,7 +75,7 @@ def ngram_sets(texts: pa.Array, n: int, known: _WordHash) -> list[np.ndarray]:
         rolled = np.zeros(len(words), np.uint64)
         for k in range(n):  # n-gram at i: words i to i + n - 1
             shifted = np.zeros(len(words), np.uint64)
-            shifted[: len(words) - k] = words[k:]
+            shifted[: max(len(words) - k, 0)] = words[k:]
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + shifted
         rolled = _mixed(rolled, n)
         out = []

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runoff.llm import ann, exact_dedup, license_scan, mixing, ngram_join, packing, secret_scan, sharding, token_scan, toxicity
@@ -84,6 +85,19 @@ def test_ngram_blocks(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 35)}
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_ngram_sets_of_few_words(n):
+    [got] = ngram_join.ngram_sets(pa.array([" ".join("abcdef"[:n])]), 5, ngram_join._WordHash())
+    assert len(got) == max(1, n - 4)
+    both = ngram_join.ngram_sets(pa.array([" ".join("abcdef"[:n]), "some more words for the same slice"]), 5, ngram_join._WordHash())
+    assert both[0].tolist() == got.tolist()
+
+
+def test_ngram_join_of_one_short_text(spark):
+    got = ngram_join.near_classes(spark.createDataFrame([(7, "two words")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["class_id"], r["set_id"], r["set_size"], r["n_links"]) for r in got] == [(7, 7, 7, 1, 0)]
+
+
 def test_bands_reach_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
