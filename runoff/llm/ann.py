@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Nearness is the inner product. One more component, sqrt(M**2 - |x|**2) with M the largest norm (0 for a query), makes
-the order by inner product the order by distance, which Gaussian projections, shifted and cut into steps of `WIDTH`
-times the root mean square norm, hash: HASHES of them make a bucket, in each of TABLES tables. A query visits its own
-bucket and the PROBES - 1 perturbed ones that are likeliest to hold a neighbour: sets of ranks in order of expected
-squared distance to the cell walls, applied to the query's own ranking of its walls. Candidates of all tables are
-merged and ranked by the exact inner product in double precision of the vectors as given.
+Nearness is the inner product. Vectors are hashed apart by ranges of their norm, in each of which the largest is at most
+2**0.25 times the smallest. One more component, sqrt(M**2 - |x|**2) with M the largest norm of the range, and 0 for a
+query, which is scaled to the norm M, makes the order by inner product the order by distance, which Gaussian
+projections, shifted and cut into steps of `WIDTH` times the range's root mean square norm, hash: HASHES of them make a
+bucket, in each of TABLES tables. In every range a query visits its own bucket and the PROBES - 1 perturbed ones that
+are likeliest to hold a neighbour: sets of ranks in order of expected squared distance to the cell walls, applied to the
+query's own ranking of its walls. A range of no more nodes than a query has probes there is visited whole. Candidates of
+all tables and ranges, and the query's own node, are merged and ranked by the exact inner product in double precision of
+the vectors as given. Queries for which that leaves less than k neighbours, where there are more, are ranked against all
+vectors.
 
 Equal vectors are one node with its K + 1 smallest identifiers, so copies cost one candidate. Cells are cut into blocks
 of at most BLOCK vectors and BLOCK queries, a task multiplies matrices and gives back the best K + 1 for each query,
-never the pairs. Only two numbers, M and the mean square, come to the driver.
+never the pairs. Only three numbers of each range, its M, mean square and count, come to the driver.
 
 Defined results: rows whose identifier or vector is null, whose vector is zero, holds a null or non-finite component or
 isn't as long as most vectors are, take no part. Equal scores go by the smaller identifier. A query's own identifier is
@@ -34,6 +38,7 @@ from runoff.llm.common import attach, durable
 K, TABLES, HASHES, WIDTH, PROBES = 20, 4, 4, 1.5, 48
 #: Vectors and queries of a cell that one task multiplies at a time, and rows that a task takes on average.
 BLOCK, TASK = 4096, 16_384
+RANKED = "node binary, found array<long>, score array<double>"
 
 
 def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -60,6 +65,7 @@ def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 class Hashes:
     def __init__(self, dim: int, top: float, scale: float, tables: int, hashes: int, width: float, probes: int, seed: int = 3) -> None:
+        """Of a range of norms: top is its largest, scale its root mean square."""
         rng = np.random.default_rng(seed)
         self.top, self.step = top, width * scale
         self.lines = rng.normal(size=(tables, dim + 1, hashes))
@@ -77,7 +83,7 @@ class Hashes:
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """[table, query, probe]"""
-        cells = self._cells(x, np.zeros(len(x)))
+        cells = self._cells(x * (self.top / np.sqrt((x**2).sum(1)))[:, None], np.zeros(len(x)))
         low = np.floor(cells)
         down = cells - low  # distance to the lower wall
         walls = np.concatenate([down, 1 - down], 2)
@@ -93,8 +99,13 @@ def _matrix(column: pa.Array | pd.Series, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).astype(np.float64).reshape(len(values), -1) if values else np.zeros((0, 1))
 
 
-def clean_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, str, int, float, float]:
-    """vec_id, node, vec (the components' bytes); the bytes' type, the dimension, the largest and the root mean square norm."""
+def norm_range(square: np.ndarray) -> np.ndarray:
+    """The range of each squared norm, by powers of sqrt(2); a table of unit vectors lies within one."""
+    return np.clip(np.floor(2 * np.log2(square) + 0.5), -4000, 4000).astype(np.int32)
+
+
+def clean_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, str, int]:
+    """vec_id, node, vec (the components' bytes); the bytes' type and the dimension."""
     kind = vectors.schema[embedding].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
     e = F.col("e")
@@ -102,9 +113,8 @@ def clean_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[Data
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     square = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite).withColumn("sq", square).where("sq > 0")
-    lengths = rows.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("sq").alias("top"), F.avg("sq").alias("mean"))
-    most = lengths.orderBy(F.desc("n"), F.desc("d")).first()
-    dim, top, mean = (most["d"], most["top"], most["mean"]) if most else (1, 1.0, 1.0)
+    most = rows.groupBy(F.size("e").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    dim = most["d"] if most else 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,39 +123,16 @@ def clean_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[Data
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "node", "vec"])
 
     packed = rows.where(F.size("e") == dim).select("vec_id", "e").mapInArrow(pack, "vec_id long, node binary, vec binary")
-    return durable(packed), dtype, dim, float(top) ** 0.5, float(mean) ** 0.5
+    return durable(packed), dtype, dim
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest found for each row that `is_query`, a condition on vec_id, picks."""
-    rows, dtype, dim, top, scale = clean_vectors(vectors, vec_id, embedding)
-    few = rows.select("node", "vec_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    ids = few.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    each = rows.groupBy("node").agg(F.first("vec").alias("vec"), F.max(is_query).alias("asks"))
-    nodes = durable(each.join(ids, "node"))
-    made = lambda: Hashes(dim, top, scale, tables, hashes, width, probes)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = made()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                b = h.buckets(_matrix(part.column("vec"), dtype))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(b[t]), part.column("node"), part.column("vec"), part.column("ids")], ["t", "bucket", "node", "vec", "ids"])
+def _whole(nodes: DataFrame) -> DataFrame:
+    """nodes as the vectors of a single cell."""
+    return nodes.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "node", "vec", "ids")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = made()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                b = h.probes(_matrix(part.column("vec"), dtype))
-                for t in range(tables):
-                    for p in range(b.shape[2]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array(b[t, :, p]), part.column("node"), part.column("vec")], ["t", "bucket", "node", "vec"])
 
-    stored = nodes.select("node", "vec", "ids").mapInArrow(put, "t int, bucket long, node binary, vec binary, ids array<long>")
-    asked = nodes.where("asks").select("node", "vec").mapInArrow(ask, "t int, bucket long, node binary, vec binary").dropDuplicates(["t", "bucket", "node"])
+def _ranked(stored: DataFrame, asked: DataFrame, k: int, dtype: str) -> DataFrame:
+    """node, found, score: for each query that shares a cell with vectors, a task's k + 1 best of them."""
     cell = ["t", "bucket"]
     sized = stored.groupBy(*cell).agg(F.count(F.lit(1)).alias("nv")).join(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("nq")), cell)
     sized = durable(sized.select(*cell, F.ceil(F.col("nv") / BLOCK).alias("bv"), F.ceil(F.col("nq") / BLOCK).alias("bq"), F.col("nv"), F.col("nq")))
@@ -180,6 +167,67 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
                     best[name] = _first(found, score, k + 1)
         return pd.DataFrame({"node": list(best), "found": [b[0] for b in best.values()], "score": [b[1] for b in best.values()]})
 
+    return dealt.groupBy("task").applyInPandas(rank, RANKED)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found for each row that `is_query`, a condition on vec_id, picks."""
+    rows, dtype, dim = clean_vectors(vectors, vec_id, embedding)
+    few = rows.select("node", "vec_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ids = few.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    each = rows.groupBy("node").agg(F.first("vec").alias("vec"), F.max(is_query).alias("asks"))
+    nodes = durable(each.join(ids, "node"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            square = (_matrix(batch.column("vec"), dtype) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(norm_range(square)), pa.array(square)], ["range", "sq"])
+
+    stats = nodes.select("vec").mapInArrow(measure, "range int, sq double").groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("sq").alias("top"), F.avg("sq").alias("mean"))
+    ranges = [(r["range"], r["n"], float(r["top"]) ** 0.5, float(r["mean"]) ** 0.5) for r in stats.orderBy("range").collect()]
+    small = tables * probes  # nodes of a range that is visited whole
+
+    def made() -> list[tuple[int, int, Hashes | None]]:
+        """A range, its first table and its hashes, None if it is visited whole."""
+        return [(r, at * tables, Hashes(dim, top, scale, tables, hashes, width, probes) if n > small else None) for at, (r, n, top, scale) in enumerate(ranges)]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = made()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _matrix(part.column("vec"), dtype)
+                own = norm_range((x**2).sum(1))
+                for r, t0, h in hashed:
+                    if not (mine := own == r).any():
+                        continue
+                    here = part.filter(pa.array(mine))
+                    b = h.buckets(x[mine]) if h else np.zeros((1, here.num_rows), np.int64)
+                    for t in range(len(b)):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(here.num_rows, t0 + t, np.int32)), pa.array(b[t]), here.column("node"), here.column("vec"), here.column("ids")], ["t", "bucket", "node", "vec", "ids"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = made()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = _matrix(part.column("vec"), dtype)
+                for _, t0, h in hashed:
+                    b = h.probes(x) if h else np.zeros((1, part.num_rows, 1), np.int64)
+                    for t in range(len(b)):
+                        for p in range(b.shape[2]):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t0 + t, np.int32)), pa.array(b[t, :, p]), part.column("node"), part.column("vec")], ["t", "bucket", "node", "vec"])
+
+    def itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            square, lists = (_matrix(batch.column("vec"), dtype) ** 2).sum(1), batch.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lists, pa.list_(pa.int64())), pa.array([[s] * len(i) for s, i in zip(square, lists, strict=True)], pa.list_(pa.float64()))], ["node", "found", "score"])
+
+    stored = nodes.select("node", "vec", "ids").mapInArrow(put, "t int, bucket long, node binary, vec binary, ids array<long>")
+    asking = nodes.where("asks")
+    asked = asking.select("node", "vec").mapInArrow(ask, "t int, bucket long, node binary, vec binary").dropDuplicates(["t", "bucket", "node"])
+    parts = max(1, -(-asking.count() // 2048))
+
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, part in rows.groupby("node", sort=True):
@@ -187,10 +235,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_
             out.append((name, found, score))
         return pd.DataFrame(out, columns=["node", "found", "score"])
 
-    schema = "node binary, found array<long>, score array<double>"
-    ranked = dealt.groupBy("task").applyInPandas(rank, schema)
-    parts = max(1, -(-nodes.where("asks").count() // 2048))
-    merged = ranked.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInPandas(merge, schema)
+    merge_all = lambda df: durable(df.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("part").applyInPandas(merge, RANKED))
+    merged = merge_all(_ranked(stored, asked, k, dtype).unionByName(asking.select("node", "vec", "ids").mapInArrow(itself, RANKED)))
+    short = merged.where(F.size("found") < min(k + 1, rows.select("vec_id").distinct().count())).select("node")
+    if not short.isEmpty():
+        merged = merge_all(merged.unionByName(_ranked(_whole(nodes), _whole(nodes.join(short, "node")).drop("ids"), k, dtype)))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "node").distinct()
     sizes = queries.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     keyed = lambda df, *more: df.select(F.substring("node", 1, 8).alias("head"), F.conv(F.hex(F.substring("node", 9, 8)), 16, -10).cast("long").alias("tail"), *more)

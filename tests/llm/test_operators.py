@@ -218,6 +218,37 @@ def test_nearest(spark):
     assert ann.search(vectors.where("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
 
 
+def nearest_recall(spark, x, step, **more):
+    from pyspark.sql import functions as F
+
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits, queries = ann.search(vectors, F.col("vec_id") % step == 0, **more).collect(), 0, range(0, len(x), step)
+    for q in queries:
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and np.allclose([r["score"] for r in mine], s[[r["vec_id"] for r in mine]])
+        hits += len({r["vec_id"] for r in mine} & set(best))
+    return hits / (20 * len(queries))
+
+
+@pytest.mark.parametrize("norms", ["outlier", "spread"])
+def test_nearest_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "outlier":
+        x[7] *= 5
+    else:
+        x *= np.exp(rng.normal(size=(len(x), 1)) * 0.5)
+    assert nearest_recall(spark, x, 50) >= 0.95
+
+
+def test_nearest_ranks_all_where_probes_miss(spark):
+    x = np.random.default_rng(4).normal(size=(300, 16))
+    assert nearest_recall(spark, x, 30, hashes=16, width=0.05, probes=1) == 1
+
+
 def ids_of(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
