@@ -2,8 +2,9 @@
 
 Documents are tokenized, closed by END, and cut only where they are longer than a sequence. Pieces are dealt by hash
 to groups of about GROUP pieces, which are packed apart: best fit, longest first, then local search among underfull
-bins. A step moves a piece, swaps one for one or two for one, and is taken only if the sum of squared fill rises; the
-emptiest bins give first, so they run empty and go. What lies in bins filled below LOOSE meets again in larger groups
+bins. A step moves a piece, or swaps one for one or two for one, to a bin at least as full, so the sum of squared fill
+rises; the emptiest bins give first, so they run empty and go, and the fullest that can take do. Every underfull bin
+gives and takes, until none has a step left. What lies in bins filled below LOOSE meets again in larger groups
 for a second pass. Only identifiers, lengths and checksums are shuffled, never texts.
 
 Defined results: null and empty texts are one token, END. Rows that share an identifier are packed as documents of
@@ -13,8 +14,8 @@ their own. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,6 @@ LENGTH, END = 4096, 1
 GROUP = 20_000
 #: Bins filled less than this part are packed again across groups.
 LOOSE = 0.98
-#: Underfull bins that local search looks at: the emptiest give, the fullest take.
-GIVERS, TAKERS = 64, 64
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -80,44 +79,115 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], size: np.ndarray, room: int) -> tuple[tuple, tuple] | None:
-    """The step from a bin to one at least as full that raises the squared fill most: items that go, items that come back.
-
-    Moving d > 0 tokens to a bin at least as full always raises the sum, more for larger d.
+class _Bin:
+    """An underfull bin's items, as the sums of one and of two of them, each by the items that make it."""
+
+    def __init__(self, items: list[int], size: list[int]) -> None:
+        self.items = items
+        alike: dict[int, list[int]] = {}
+        for i in items:
+            alike.setdefault(size[i], []).append(i)
+        self.fill = sum(size[i] for i in items)
+        self.one = {v: (own[0],) for v, own in alike.items()}
+        self.two = {2 * v: tuple(own[:2]) for v, own in alike.items() if len(own) > 1}
+        values = sorted(alike)
+        for k, v in enumerate(values):
+            for w in values[k + 1 :]:
+                self.two.setdefault(v + w, (alike[v][0], alike[w][0]))
+        self.sums = np.array(list(self.one), np.int64), np.array(list(self.two), np.int64)
+        back = {0: ()} | self.two | self.one  # what may come back for one item
+        self.backs = (sorted(back), back), (values, self.one)
+
+    def exchange(self, take: _Bin, room: int) -> tuple[tuple, tuple] | None:
+        """The step to a bin at least as full that moves most: items that go, items that come back."""
+        best, found = 0, None
+        for ours, (values, back) in zip((self.one, self.two), take.backs, strict=True):
+            for v, go in ours.items():
+                k = bisect_left(values, v - room)  # the least that must come back
+                if k < len(values) and v - values[k] > best:
+                    best, found = v - values[k], (go, back[values[k]])
+        return found
+
+
+class _Takers:
+    """For each sum of one and of two items, the two fullest bins with a step that takes it.
+
+    Entries of a bin that changes go, so others may be missing until the next build, but none is wrong.
     """
-    best, found = 0, None
-    ours = [(int(size[i]), (i,)) for i in give] + [(int(size[i] + size[j]), (i, j)) for i, j in combinations(give[:40], 2)]
-    theirs = [(0, ())] + [(int(size[i]), (i,)) for i in take] + [(int(size[i] + size[j]), (i, j)) for i, j in combinations(take[:40], 2)]
-    theirs.sort()
-    values = np.array([v for v, _ in theirs])
-    for v, go in ours:
-        k = int(np.searchsorted(values, v - room))  # the least that must come back
-        while k < len(theirs) and theirs[k][0] < v:
-            d, back = v - theirs[k][0], theirs[k][1]
-            if len(go) + len(back) <= 3 and not (len(go) == 2 and not back):
-                if d > best:
-                    best, found = d, (go, back)
-                break
-            k += 1
-    return found
+
+    def __init__(self, bins: dict[int, _Bin], capacity: int) -> None:
+        self.capacity = capacity
+        self.fill = np.full((2, 2, capacity + 1), -1, np.int64)  # [one or two, first or second, sum]
+        self.bin = np.full((2, 2, capacity + 1), -1, np.int64)
+        for k in sorted(bins, key=lambda k: bins[k].fill):
+            self.add(k, bins[k])
+
+    def add(self, k: int, b: _Bin) -> None:
+        room = self.capacity - b.fill
+        if not room:
+            return
+        for (values, _), fill, bins in zip(b.backs, self.fill, self.bin, strict=True):
+            low = np.array(values, np.int64)  # takes low + 1 to low + room
+            step = np.bincount(low + 1, minlength=self.capacity + 2) - np.bincount(low + room + 1, minlength=self.capacity + 2)
+            at = np.flatnonzero(np.cumsum(step[: self.capacity + 1]))
+            first = at[b.fill > fill[0, at]]
+            fill[1, first], bins[1, first] = fill[0, first], bins[0, first]
+            fill[0, first], bins[0, first] = b.fill, k
+            second = at[(b.fill > fill[1, at]) & (bins[0, at] != k)]
+            fill[1, second], bins[1, second] = b.fill, k
+
+    def drop(self, k: int) -> None:
+        for fill, bins in zip(self.fill, self.bin, strict=True):
+            first = np.flatnonzero(bins[0] == k)
+            fill[0, first], bins[0, first] = fill[1, first], bins[1, first]
+            second = np.concatenate([first, np.flatnonzero(bins[1] == k)])
+            fill[1, second], bins[1, second] = -1, -1
+
+    def fullest(self, k: int, b: _Bin) -> int | None:
+        """The fullest bin, at least as full as b, bin k, that takes something of it."""
+        most, found = b.fill - 1, None
+        for sums, fill, bins in zip(b.sums, self.fill, self.bin, strict=True):
+            if len(sums):
+                own = (bins[0, sums] == k).astype(np.int64)
+                full = fill[own, sums]
+                at = int(full.argmax())
+                if full[at] > most:
+                    most, found = int(full[at]), int(bins[own[at], sums[at]])
+        return found
 
 
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search on the underfull bins until no step raises the sum of squared fill."""
-    fill = [int(lengths[b].sum()) for b in bins]
+    """Local search on the underfull bins until none has a step to one at least as full."""
+    size = lengths.tolist()
+    packed = [list(b) for b in bins]
+    under = {k: _Bin(b, size) for k, b in enumerate(packed) if sum(size[i] for i in b) < capacity}
     stepped = True
     while stepped:
-        stepped = False
-        under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
-        for g in under[:GIVERS]:
-            for t in sorted((k for k in under[-TAKERS:] if k != g), key=lambda k: -fill[k]):
-                while bins[g] and fill[g] <= fill[t] < capacity and (step := _exchange(bins[g], bins[t], lengths, capacity - fill[t])):
-                    go, back = step
-                    d = int(lengths[list(go)].sum()) - sum(int(lengths[i]) for i in back)
-                    bins[g] = [i for i in bins[g] if i not in go] + list(back)
-                    bins[t] = [i for i in bins[t] if i not in back] + list(go)
-                    fill[g], fill[t], stepped = fill[g] - d, fill[t] + d, True
-    return [b for b in bins if b]
+        stepped, takers = False, _Takers(under, capacity)
+        for g in sorted(under, key=lambda k: under[k].fill):
+            give = under.get(g)
+            if give is None:
+                continue
+            while give.items and (t := takers.fullest(g, give)) is not None:
+                take = under[t]
+                go, back = give.exchange(take, capacity - take.fill)
+                give = _Bin([i for i in give.items if i not in go] + list(back), size)
+                packed[t] = [i for i in take.items if i not in back] + list(go)
+                takers.drop(t)
+                under[t] = _Bin(packed[t], size)
+                if under[t].fill == capacity:
+                    del under[t]
+                else:
+                    takers.add(t, under[t])
+            if give is not under[g]:
+                stepped, packed[g] = True, give.items
+                takers.drop(g)
+                if give.items:
+                    under[g] = give
+                    takers.add(g, give)
+                else:
+                    del under[g]
+    return [b for b in packed if b]
 
 
 def _packed(pieces: DataFrame, level: int, group: int, capacity: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +282,22 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 3 and max(lengths[b].sum() for b in bins) <= 10
 
 
+def test_local_search_leaves_no_step():
+    lengths = np.random.default_rng(5).integers(900, 1401, 1000)
+    first = packing.best_fit(lengths, 4096)
+    bins = packing.improve(first, lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(1000)) and len(bins) < len(first) - 5
+    fill = [int(lengths[b].sum()) for b in bins]
+    one = [(k, int(lengths[i])) for k, b in enumerate(bins) for i in b]
+    two = [(k, int(lengths[i] + lengths[j])) for k, b in enumerate(bins) for i, j in combinations(b, 2)]
+    nothing = [(k, 0) for k in range(len(bins))]
+    for give, back in ((one, nothing + one + two), (two, one)):
+        k, w = np.array(back).T
+        full = np.array(fill)[k]
+        for g, v in give:
+            assert not ((k != g) & (full >= fill[g]) & (w < v) & (full - w + v <= 4096)).any()
+
+
 def test_token_scan(spark, docs, none):
     root = new_path(spark, "tokens")
     token_scan.write_blocks(docs, root, block=64)
