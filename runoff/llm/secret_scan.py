@@ -2,9 +2,9 @@
 
 Patterns give spans of the kinds assign, access and hex. Other candidates are runs of CANDIDATE characters. A window of
 WINDOW characters slides along each; its Shannon entropy comes from counts of which each step changes two, by
-H = log2(W) - sum(c * log2(c)) / W. A candidate is of the class of its characters (hexadecimal, letters, mixed), and is
-a span of the kind entropy if some window reaches its class's threshold, unless an allow-list pattern matches it or it
-overlaps a pattern's span.
+H = log2(W) - sum(c * log2(c)) / W. A candidate is of the class of its characters (hexadecimal, lower-case letters,
+upper-case letters, letters, mixed), and is a span of the kind entropy if some window reaches its class's threshold,
+unless an allow-list pattern matches it or it overlaps a pattern's span.
 
 All of it is one pass without a shuffle; a text is split only by patterns that it holds. Places are code points.
 
@@ -29,8 +29,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits that a window must reach, by class.
-BITS = {"hex": 3.0, "letters": 4.1, "mixed": 3.7}
+#: Bits that a window must reach, by class. Of random keys of 20, 24 and 32 characters, those of lower-case letters reach
+#: theirs in 68, 83 and 95 %, of upper-case ones in 84, 94 and 99 %, of both cases in 96, 99 and 100 %; so do 6 of 38
+#: words of 19 letters or more and 6 of 16 identifiers in camel case.
+BITS = {"hex": 3.0, "lower": 3.6, "upper": 3.5, "letters": 3.7, "mixed": 3.7}
 #: Candidates that are no secrets: identifiers in canonical form, paths and dates, alphabets, placeholders.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -94,7 +96,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", allowed: t
 
     def secret(x: Column) -> Column:
         m = x["m"]
-        bits = F.when(m.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(m.rlike("^[A-Za-z]+$"), BITS["letters"]).otherwise(BITS["mixed"])
+        bits = F.when(m.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(m.rlike("^[a-z]+$"), BITS["lower"]).when(m.rlike("^[A-Z]+$"), BITS["upper"]).when(m.rlike("^[A-Za-z]+$"), BITS["letters"]).otherwise(BITS["mixed"])
         free = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         for pattern in allowed:
             free = free & ~m.rlike(pattern)

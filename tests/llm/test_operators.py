@@ -198,6 +198,19 @@ def test_secrets(docs, none):
     assert secret_scan.summary(secret_scan.scan(none)).count() == 0
 
 
+def test_secrets_of_letters(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, classes = [], {"lower": letters, "upper": letters.upper(), "both": letters + letters.upper()}
+    for at, alphabet in enumerate(classes.values()):
+        rows += [(1000 * at + i, "key " + "".join(rng.choice(alphabet) for _ in range(32)) + " end") for i in range(100)]
+    words = ["internationalization", "counterrevolutionary", "electroencephalographic", "antidisestablishmentarianism", "Verantwortungsbewusstsein"]
+    rows += [(9000 + i, w) for i, w in enumerate(words)]
+    got = secret_scan.summary(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    found = Counter(r["doc_id"] // 1000 for r in got if r["spans"] == "entropy:4:36" or r["doc_id"] >= 9000 and r["spans"])
+    assert found[0] >= 85 and found[1] >= 90 and found[2] >= 95 and found[9] == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
