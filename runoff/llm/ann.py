@@ -153,11 +153,13 @@ def _ranked(stored: DataFrame, asked: DataFrame, k: int, dtype: str) -> DataFram
             there, here = part[~asks], part[asks]
             x, names = _matrix(there["vec"], dtype), there["ids"].tolist()
             y, queries = _matrix(here["vec"], dtype), here["node"].tolist()
+            slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x**2).sum(1).max())
             for at in range(0, len(y), 256):
                 near = y[at : at + 256] @ x.T
-                some = min(k + 1 + 8, len(x))  # a few more, for what rounding may reorder
-                picked = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                for q, chosen in enumerate(picked):
+                least = np.partition(near, max(len(x) - k - 1, 0), axis=1)[:, max(len(x) - k - 1, 0)]
+                for q in range(len(near)):
+                    # all that tie with the last of k + 1, or differ by what rounding may have reordered
+                    chosen = np.flatnonzero(near[q] >= least[q] - slack * np.sqrt((y[at + q] ** 2).sum()))
                     exact = (x[chosen] * y[at + q]).sum(1)
                     lists = [names[c] for c in chosen]
                     found, score = np.concatenate(lists), np.repeat(exact, [len(i) for i in lists])

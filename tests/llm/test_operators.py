@@ -263,6 +263,20 @@ def test_nearest_ranks_all_where_probes_miss(spark):
     assert nearest_recall(spark, x, 30, hashes=16, width=0.05, probes=1) == 1
 
 
+def test_nearest_ties_of_different_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = np.zeros((1000, 16))
+    for v in x:
+        v[rng.choice(16, 4, replace=False)] = 1
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, F.col("vec_id") % 50 == 0, probes=300).collect()  # so many visit all
+    for q in range(0, 1000, 50):
+        best = [i for i in np.lexsort((np.arange(1000), -(x @ x[q]))) if i != q][:20]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+
+
 def ids_of(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
