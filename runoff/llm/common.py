@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where a local master names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runoff-checkpoint-"))
     return named or sc.getCheckpointDir()
@@ -43,6 +45,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that new_path named, once nothing reads it any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined to groups, which has one row for each key and the key's number of rows in `size`; `total` is their sum.
+
+    Fewer than HOT_PARTS keys hold more than 1/HOT_PARTS of all rows. Those groups are broadcast and their rows stay
+    where they are; only the others' rows are shuffled. rows are read twice.
+    """
+    hot, cold = groups.where(F.col(size) * HOT_PARTS > total), groups.where(F.col(size) * HOT_PARTS <= total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, salt: str) -> DataFrame:
     """rows left-joined to groups, which has one row for each key and the key's number of rows in `size`.
 

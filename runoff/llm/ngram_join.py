@@ -6,8 +6,8 @@
 3. Band hashes are shuffled. Each node of a bucket is tied to the bucket's smallest node, never to all of them, and
    components of these ties are the candidate groups.
 4. The texts of candidate groups are shuffled once, and every pair of a group is verified on its full n-gram sets
-   inside a task, by products of membership matrices. Groups over BLOCK nodes are cut into blocks, and each task
-   verifies one pair of blocks. Tasks give back each node's links and a spanning forest of them, not the pairs.
+   inside a task, by products of membership matrices. Groups over BLOCK nodes or BLOCK_BYTES are cut into blocks, and
+   pairs of blocks are verified apart. Tasks give back each node's links and a spanning forest of them, not the pairs.
 
 Results: every document with class_id, the smallest identifier that links of the threshold lead to, set_id, the
 smallest identifier with an equal set, set_size, and n_links, the number of other documents at the threshold or over.
@@ -28,18 +28,20 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runoff.llm.common import attach, durable
+from runoff.llm.common import attach, durable, meet
 from runoff.llm.components import components, contract
 from runoff.llm.words import CACHE_WORDS, code_words, give_back, slices
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most MinHash values that choose_bands may spend.
 HASHES = 320
-#: Nodes of a candidate group that one task verifies among themselves, and nodes that a task takes on average.
-BLOCK, TASK = 512, 1024
+#: Nodes of a candidate group, and bytes of their texts, that are verified among themselves at a time.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Bytes of text that a task takes on average.
+TASK_BYTES = 8 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -117,7 +119,7 @@ class Bands:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """_id, _md (of the text), _node (digest of the set), _bands."""
+    """_id, _md and _size (of the text), _node (digest of the set), _bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, banded = _WordHash(), Bands(bands, rows)
@@ -125,19 +127,30 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, doc_id: str, text
             for part in slices(batch):
                 sets = ngram_sets(part.column("text"), n, known)
                 keys = [banded(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_md"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_md", "_node", "_bands"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_md"), part.column("_size"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_md", "_size", "_node", "_bands"])
 
-    return _ready(docs, doc_id, text).mapInArrow(run, "_id long, _md binary, _node binary, _bands array<long>")
+    return _ready(docs, doc_id, text).mapInArrow(run, "_id long, _md binary, _size long, _node binary, _bands array<long>")
 
 
 def _ready(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(whole)).alias("_md"), whole.alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(whole)).alias("_md"), F.octet_length(whole).cast("long").alias("_size"), whole.alias("text"))
+
+
+def smallest_linked(hit: np.ndarray) -> np.ndarray:
+    """The smallest node that links lead to, for each node of a symmetric matrix of links."""
+    label = np.arange(len(hit))
+    while True:
+        least = np.minimum(label, np.where(hit, label, len(hit)).min(1, initial=len(hit)))
+        least = least[least]
+        if np.array_equal(least, label):
+            return label
+        label = least
 
 
 def _verify(threshold: float, n: int):
-    def links(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs at the threshold between rows and columns, a block of rows at a time."""
+    def linked(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which pairs of rows and columns are at the threshold or over."""
         sizes = np.array([len(s) for s in sets], float)
         both = np.unique(np.concatenate([rows, columns]))
         grams, inverse, counts = np.unique(np.concatenate([sets[i] for i in both]), return_inverse=True, return_counts=True)
@@ -157,8 +170,7 @@ def _verify(threshold: float, n: int):
             member[owner[a:b], column[a:b] - at] = 1
             inter += member[r] @ member[c].T
         union = sizes[rows][:, None] + sizes[columns][None, :] - inter
-        hit = inter / np.maximum(union, 1) >= threshold
-        yield np.nonzero(hit)
+        return inter / np.maximum(union, 1) >= threshold
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["_group", "_a", "_b", "_node"]).sort_values(["_group", "_a", "_b", "_node"], ignore_index=True)
@@ -169,25 +181,18 @@ def _verify(threshold: float, n: int):
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             if not len(left) or not len(right):
                 continue
-            found, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-
-            def top(i: int) -> int:
-                while root[i] != i:  # noqa: B023
-                    root[i] = root[root[i]]  # noqa: B023
-                    i = root[i]  # noqa: B023
-                return i
-
-            for x, y in links(sets, left, right):
-                x, y = left[x], right[y]
-                x, y = (x[x != y], y[x != y])
-                np.add.at(found, x, weight[y])
-                if a != b:
-                    np.add.at(found, y, weight[x])
-                for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                    p, q = top(i), top(j)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-            out.append(pd.DataFrame({"_node": nodes, "_links": found, "_root": [nodes[top(i)] for i in range(len(nodes))]}))
+            hit = linked(sets, left, right)
+            found = np.zeros(len(nodes), np.int64)
+            if a == b:
+                np.fill_diagonal(hit, False)
+                found[left] = hit @ weight
+                root = smallest_linked(hit)
+            else:
+                found[left], found[right] = hit @ weight[right], weight[left] @ hit
+                whole = np.zeros((len(nodes), len(nodes)), bool)
+                whole[np.ix_(left, right)] = hit
+                root = smallest_linked(whole | whole.T)
+            out.append(pd.DataFrame({"_node": nodes, "_links": found, "_root": [nodes[i] for i in root]}))
         give_back()
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"_node": [], "_links": [], "_root": []})
 
@@ -198,27 +203,30 @@ def node_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """Rows (_id, _md, _node), and nodes (_node, set_size, set_id, class_id, n_links, _keep: the row that stands for the class)."""
     bands, width = choose_bands(threshold, recall)
     rows = durable(signatures(docs, n, bands, width, doc_id, text))
-    least = F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_md", "_bands"))
-    nodes = durable(rows.groupBy("_node").agg(least.alias("r"), F.count(F.lit(1)).alias("set_size")).select("_node", "set_size", F.col("r._id").alias("set_id"), F.col("r._md").alias("_md"), F.col("r._bands").alias("_bands")))
+    least = F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_md", "_size", "_bands"))
+    nodes = durable(rows.groupBy("_node").agg(least.alias("r"), F.count(F.lit(1)).alias("set_size")).select("_node", "set_size", F.col("r._id").alias("set_id"), F.col("r._md").alias("_md"), F.col("r._size").alias("_size"), F.col("r._bands").alias("_bands")))
     ties = nodes.select("_node", F.explode("_bands").alias("band"))
-    first = ties.groupBy("band").agg(F.min("_node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "v")
-    groups = components(contract(ties.join(first, "band").where("_node <> v").select(F.col("_node").alias("u"), "v")))
-    groups = groups.select(F.col("node").alias("_node"), F.col("label").alias("_group"))
-    sizes = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    dealt = groups.join(sizes, "_group").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("blocks")))
+    first = durable(ties.groupBy("band").agg(F.min("_node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    met = meet(ties, first, "band", "c", first.agg(F.sum("c")).first()[0] or 0)
+    groups = components(contract(met.where("_node <> v").select(F.col("_node").alias("u"), "v")))
+    kept = nodes.select("_node", "set_size", "set_id", "_md", "_size")
+    groups = durable(groups.select(F.col("node").alias("_node"), F.col("label").alias("_group")).join(kept, "_node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_size") / BLOCK_BYTES)).alias("blocks")
+    sizes = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("m"), blocks)
+    dealt = meet(groups, sizes, "_group", "m", groups.count()).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("blocks")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("_block")).alias("a"), F.greatest(k, F.col("_block")).alias("b")))
-    work = dealt.join(nodes.select("_node", "set_size", "set_id", "_md"), "_node").select("_node", F.col("set_size").alias("_n"), "set_id", "_md", "_group", "_block", F.explode(pairs).alias("p"))
-    work = durable(work.select("_node", "_n", F.coalesce("set_id", F.lit(-(2**63))).alias("_id"), "_md", "_group", "_block", F.col("p.a").alias("_a"), F.col("p.b").alias("_b")))
-    tasks = max(1, -(-work.count() // TASK))
-    texts = _ready(docs, doc_id, text).withColumn("_id", F.coalesce("_id", F.lit(-(2**63))))
-    full = work.join(texts, ["_id", "_md"]).withColumn("_task", F.pmod(F.xxhash64("_group", "_a", "_b"), F.lit(tasks)))
+    work = dealt.select("_node", F.col("set_size").alias("_n"), "set_id", "_md", "_size", "_group", "_block", F.explode(pairs).alias("p"))
+    work = durable(work.select("_node", "_n", F.isnull("set_id").alias("_none"), F.coalesce("set_id", F.lit(0)).alias("_id"), "_md", "_size", "_group", "_block", F.col("p.a").alias("_a"), F.col("p.b").alias("_b")))
+    tasks = max(1, -(-(work.agg(F.sum("_size")).first()[0] or 0) // TASK_BYTES))
+    texts = _ready(docs, doc_id, text).withColumn("_none", F.isnull("_id")).withColumn("_id", F.coalesce("_id", F.lit(0))).drop("_size")
+    full = work.join(texts, ["_none", "_id", "_md"]).withColumn("_task", F.pmod(F.xxhash64("_group", "_a", "_b"), F.lit(tasks)))
     verified = durable(full.select("_task", "_node", "_n", "_group", "_block", "_a", "_b", "text").groupBy("_task").applyInPandas(_verify(threshold, n), "_node binary, _links long, _root binary"))
-    linked = verified.groupBy("_node").agg(F.sum("_links").alias("_links"))
+    links = verified.groupBy("_node").agg(F.sum("_links").alias("_links"))
     classes = components(verified.where("_node <> _root").select(F.col("_node").alias("u"), F.col("_root").alias("v")))
-    classed = nodes.drop("_bands").join(linked, "_node", "left").join(classes.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("_class", F.coalesce("label", "_node"))
-    best = classed.groupBy("_class").agg(F.min(F.struct(F.isnull("set_id").alias("none"), "set_id", "_md")).alias("k"))
-    done = classed.join(best, "_class").select("_node", "set_size", "set_id", F.col("k.set_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("set_size") - 1).alias("n_links"), F.col("k._md").alias("_keep"))
-    return rows.drop("_bands"), durable(done)
+    classed = durable(kept.drop("_size").join(links, "_node", "left").join(classes.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("_class", F.coalesce("label", "_node")))
+    best = classed.groupBy("_class").agg(F.min(F.struct(F.isnull("set_id").alias("none"), "set_id", "_md")).alias("k"), F.count(F.lit(1)).alias("m"))
+    done = meet(classed, best, "_class", "m", classed.count()).select("_node", "set_size", "set_id", F.col("k.set_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("set_size") - 1).alias("n_links"), F.col("k._md").alias("_keep"))
+    return rows.select("_id", "_md", "_node"), durable(done)
 
 
 def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,8 +240,9 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their class, with all their columns."""
     _, nodes = node_classes(docs, n, threshold, recall, doc_id, text)
-    stay = nodes.select(F.coalesce("class_id", F.lit(-(2**63))).alias("_id"), F.col("_keep").alias("_md")).distinct()
+    stay = nodes.select(F.isnull("class_id").alias("_none"), F.coalesce("class_id", F.lit(0)).alias("_id"), F.col("_keep").alias("_md")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row).select("_row", F.coalesce(F.col(f"_row.`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("_id"), F.unhex(F.md5(F.coalesce(F.col(f"_row.`{text}`"), F.lit("")))).alias("_md"))
-    found = rows.join(stay, ["_id", "_md"], "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_md").orderBy("_id")))
-    return found.where("_rank = 1").select("_row.*")
+    own = F.col(f"_row.`{doc_id}`").cast("long")
+    rows = docs.select(row).select("_row", F.isnull(own).alias("_none"), F.coalesce(own, F.lit(0)).alias("_id"), F.unhex(F.md5(F.coalesce(F.col(f"_row.`{text}`"), F.lit("")))).alias("_md"))
+    # rows that agree in identifier and text are thinned out before they are shuffled
+    return rows.dropDuplicates(["_none", "_id", "_md"]).join(stay, ["_none", "_id", "_md"], "left_semi").select("_row.*")
