@@ -1,19 +1,20 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Each input partition is a run. Before a round's exchange, Spark's sort-based partial aggregation sorts the run by
+Each input partition is a run. Rounds are binomial with a radix of 2**BITS in place of two. Before a round's exchange, Spark's sort-based partial aggregation sorts the run by
 digest and leaves one entry for each digest in it; the exchange sends the entries of 2**BITS neighbouring runs to the
 holder of their merged run, split by digest so that no holder takes a whole run alone; the sort-based final
 aggregation is the multiway merge. Every entry carries the identifier that stays and the number of rows so far. Texts
 count as equal only where SHA-256, length and a second, unrelated 64-bit hash all agree, at every level.
 
-Defined results: null text counts as empty. A null identifier ranks below every other. Rows repeated in full are one
+Defined results: null text counts as empty; a text of any length is one value, of which only digests are shuffled by
+`find_copies`. A null identifier ranks below every other. Rows repeated in full are one
 document: all bear the same keep_id and `kept`, each counts in group_size, and `deduplicate` returns one of them.
 Empty tables give empty results. Extra columns are ignored by `find_copies` and returned by `deduplicate`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runoff.llm.common import attach, durable
@@ -62,9 +63,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     Rows meet their digest's entry by identifier and digest together, so a large group of copies spreads out.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    whole = F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))
-    rows = docs.select(row).select("_row", F.coalesce(F.col(f"_row.`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("_id"), F.unhex(F.sha2(whole, 256)).alias("_sha"), F.octet_length(whole).alias("_len"), F.xxhash64(whole).alias("_xx"))
-    stay = merge_runs(docs, doc_id, text, keep).select(F.coalesce("keep_id", F.lit(-(2**63))).alias("_id"), *KEY)
-    found = rows.join(stay, ["_id", *KEY], "left_semi")
-    once = found.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", *KEY).orderBy("_id")))
-    return once.where("_rank = 1").select("_row.*")
+    whole, own = F.coalesce(F.col(f"_row.`{text}`"), F.lit("")), F.col(f"_row.`{doc_id}`").cast("long")
+    rows = docs.select(row).select("_row", F.isnull(own).alias("_none"), F.coalesce(own, F.lit(0)).alias("_id"), F.unhex(F.sha2(whole, 256)).alias("_sha"), F.octet_length(whole).alias("_len"), F.xxhash64(whole).alias("_xx"))
+    stay = merge_runs(docs, doc_id, text, keep).select(F.isnull("keep_id").alias("_none"), F.coalesce("keep_id", F.lit(0)).alias("_id"), *KEY)
+    # rows that agree in identifier and text are thinned out before they are shuffled
+    return rows.dropDuplicates(["_none", "_id", *KEY]).join(stay, ["_none", "_id", *KEY], "left_semi").select("_row.*")
