@@ -1,11 +1,17 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing. Counted as part of runoff.llm."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing. Counted as part of runoff.llm.
+
+Defined results, beside those that the operators state: null and empty texts are one text, of which one document is
+left; they are clean if the classifier says so of no words. A null identifier is a document like any other. Rows
+repeated in full leave one. Texts of any length are taken whole. Extra columns go through the first four stages
+whatever their names, and end at packing, which returns pieces. An empty table gives empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from runoff.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from runoff.llm.common import new_path, table
+from runoff.llm.common import discard, new_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, in a random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +41,18 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: Boosted trees and packing are beyond SQL; tests hold run() against brute force.
+#: Boosted trees and packing are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written as Parquet and read again as the next one's."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; each stage's rows are written as Parquet and read again as the next one's, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

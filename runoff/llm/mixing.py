@@ -8,9 +8,10 @@ The distribution is tabulated once for each source, in logarithms, so large mean
 sources is broadcast only where it is counted to have at most BROADCAST_SOURCES rows; beyond that it is joined by
 salted keys.
 
-Defined results: null text has no bytes; a null source is a source of its own; a null identifier hashes as the empty
+Defined results: null text has no bytes, texts of any length are carried whole; a null source is a source of its own; a null identifier hashes as the empty
 string. Rows that share an identifier draw the same count. Sources whose texts are all empty are kept once. Sources
-that given weights don't name have weight 0 and go. An empty table gives an empty result. Extra columns are returned.
+that given weights don't name have weight 0 and go. An empty table gives an empty result. Extra columns are
+returned, but for those named like the two that `mix` adds.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def rates(docs: DataFrame, source: str, text: str, weights: Mapping[str, float]
     return each.withColumn("_cdf", F.when(F.col("_rate") > 0, F.expr(cdf)).otherwise(F.array().cast("array<double>")))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The columns of docs, then copy (from 0) and order_key; partitions hold hash-dealt copies in order of order_key."""
+def _copies(docs: DataFrame, weights: Mapping[str, float] | None, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """_row, _copy and _key; partitions hold hash-dealt copies in order of _key."""
     table = rates(docs, source, text, weights, temperature)
     ident = F.coalesce(F.col(f"_row.`{doc_id}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
@@ -66,5 +67,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, doc_id:
     n = F.expr("size(filter(_cdf, c -> c <= _u))")
     copies = met.select("_row", n.alias("_n")).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("_copy").cast("string"))), 17, 15), 16, 10).cast("long")
-    dealt = copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key")
-    return dealt.select("_row.*", F.col("_copy").cast("long").alias("copy"), F.col("_key").alias("order_key"))
+    return copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **more) -> DataFrame:
+    """The columns of docs, then copy (from 0) and order_key; columns of docs that bear one of these two names are left out."""
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("copy", "order_key")]
+    return _copies(docs, weights, **more).select(*kept, F.col("_copy").cast("long").alias("copy"), F.col("_key").alias("order_key"))
+
+
+def repeat(docs: DataFrame, weights: Mapping[str, float] | None = None, **more) -> DataFrame:
+    """As mix, with the columns of docs alone, whatever their names."""
+    return _copies(docs, weights, **more).select("_row.*")
