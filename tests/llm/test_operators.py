@@ -327,13 +327,14 @@ def test_local_search_leaves_no_step():
 
 def test_token_scan(spark, docs, none):
     root = new_path(spark, "tokens")
-    token_scan.write_blocks(docs, root, block=64)
-    rows = spark.read.parquet(root)
+    token_scan.write_flat_files(docs, root)
     counts = [len(i) for i in ids_of([r[1] or "" for r in fixture_rows()], True)]
-    got = token_scan.scan(rows.where("kind = 'tokens'"))
-    assert sorted(r["n_tokens"] for r in got.collect()) == sorted(counts)
-    named = token_scan.count_tokens(docs, new_path(spark, "tokens")).collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in named) == sorted(zip((r[0] for r in fixture_rows()), counts, strict=True))
+    got = token_scan.scan(token_scan.read_flat_files(spark, f"{root}/kind=0", block=64), span=3).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(counts) and all(r["closed"] for r in got)
+    extra = docs.selectExpr("doc_id", "text", "source as file_id", "n_chars as number", "lang as at").unionByName(spark.createDataFrame([(None, "no identifier", None, None, None)], "doc_id long, text string, file_id string, number long, at string"))
+    named = token_scan.count_tokens(extra, new_path(spark, "tokens")).collect()
+    expected = [*zip((r[0] for r in fixture_rows()), counts, strict=True), (None, len(ids_of(["no identifier"], True)[0]))]
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in named) == Counter(expected)
     assert token_scan.count_tokens(none, new_path(spark, "tokens")).count() == 0
 
 
@@ -343,3 +344,19 @@ def test_flat_files(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"")
     got = token_scan.scan(token_scan.read_flat_files(spark, str(tmp_path), block=2), separator=9).collect()
     assert sorted((r["file_id"][-5:], r["doc_no"], r["start"], r["n_tokens"], r["closed"]) for r in got) == [("a.bin", 0, 0, 2, True), ("a.bin", 1, 3, 0, True), ("a.bin", 2, 4, 3, False), ("b.bin", 0, 0, 0, True)]
+
+
+def test_one_flat_file_over_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_scan, "TASK_BYTES", 500)
+    ids = np.random.default_rng(3).choice([1, 2, 3, 9], 5000, p=[0.5, 0.3, 0.19, 0.01]).astype("<u2")
+    ids[1000:2200] = 4  # a document over many blocks and spans
+    (tmp_path / "one.bin").write_bytes(ids.tobytes())
+    blocks = token_scan.read_flat_files(spark, str(tmp_path), block=50)
+    assert blocks.rdd.getNumPartitions() >= 20
+    got = token_scan.scan(blocks, separator=9, span=7).orderBy("doc_no").collect()
+    ends = np.flatnonzero(ids == 9)
+    starts = np.concatenate([[0], ends + 1])
+    expected = [(i, a, b - a, True) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=False))]
+    if starts[-1] < len(ids):
+        expected.append((len(ends), int(starts[-1]), len(ids) - int(starts[-1]), False))
+    assert [(r["doc_no"], r["start"], r["n_tokens"], r["closed"]) for r in got] == expected
