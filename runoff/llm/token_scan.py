@@ -69,7 +69,7 @@ def write_flat_files(docs: DataFrame, root: str, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "kind int, place long, value binary")
     ordered = rows.sortWithinPartitions("kind", "place").select(F.col("value").cast("string").alias("value"), "kind")
     end = SEPARATOR.to_bytes(np.dtype(DTYPE).itemsize, "little").decode("latin-1")
-    ordered.write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").text(root)
+    ordered.write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", 0).text(root)
 
 
 def _opened(uri: str) -> pa.NativeFile:

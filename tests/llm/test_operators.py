@@ -185,6 +185,21 @@ def test_licences(docs, none):
     assert license_scan.summary(license_scan.scan(none)).count() == 0
 
 
+def test_licence_templates(spark):
+    full = {t.label: t for t in license_scan.NOTICES}
+    mit = full["mit-notice"].text
+    changed = mit.split()
+    changed[60:70] = ["other"] * 10
+    rows = [(1, "x " + mit.upper()), (2, " ".join(changed)), (3, "free of charge is hereby granted permission"), (4, "cc \u212aby cc-BY " * 2000 + "M\u0130T license"), (5, " ".join(t.text for t in license_scan.NOTICES)), (6, "charge hereby " * 3000)]
+    frame = spark.createDataFrame([(*r, "w", 0, 1) for r in rows], "doc_id long, text string, _words string, found int, start int")
+    got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
+    shares = lambda i: {f["label"]: f["share"] for f in got[i]["found"]}
+    assert shares(1) == {"mit-notice": 1.0} and got[1]["found"][0]["start"] == 1
+    assert shares(2) == {"mit-notice": 1 - 10 / len(changed)} and not shares(3) and not shares(6)
+    assert [f["start"] for f in got[4]["found"]] == list(range(2, 8000, 4)) and shares(4) == {"cc-by": 1.0}
+    assert set(full) <= set(shares(5)) and all(shares(5)[label] == 1 for label in full)
+
+
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secret_scan.summary(secret_scan.scan(docs)).collect()}
     for i, t, *_ in fixture_rows():
