@@ -40,8 +40,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 HASHES = 320
 #: Nodes of a candidate group, and bytes of their texts, that are verified among themselves at a time.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
-#: Bytes of text that a task takes on average.
-TASK_BYTES = 8 << 20
+#: Bytes of text that are verified in one call on average, and most partitions that calls are dealt to.
+TASK_BYTES, MOST_PARTS = 1 << 20, 20_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -220,7 +220,8 @@ def node_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     tasks = max(1, -(-(work.agg(F.sum("_size")).first()[0] or 0) // TASK_BYTES))
     texts = _ready(docs, doc_id, text).withColumn("_none", F.isnull("_id")).withColumn("_id", F.coalesce("_id", F.lit(0))).drop("_size")
     full = work.join(texts, ["_none", "_id", "_md"]).withColumn("_task", F.pmod(F.xxhash64("_group", "_a", "_b"), F.lit(tasks)))
-    verified = durable(full.select("_task", "_node", "_n", "_group", "_block", "_a", "_b", "text").groupBy("_task").applyInPandas(_verify(threshold, n), "_node binary, _links long, _root binary"))
+    full = full.select("_task", "_node", "_n", "_group", "_block", "_a", "_b", "text").repartition(min(tasks, MOST_PARTS), "_task")  # few bytes are much work, so they aren't coalesced
+    verified = durable(full.groupBy("_task").applyInPandas(_verify(threshold, n), "_node binary, _links long, _root binary"))
     links = verified.groupBy("_node").agg(F.sum("_links").alias("_links"))
     classes = components(verified.where("_node <> _root").select(F.col("_node").alias("u"), F.col("_root").alias("v")))
     classed = durable(kept.drop("_size").join(links, "_node", "left").join(classes.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("_class", F.coalesce("label", "_node")))
