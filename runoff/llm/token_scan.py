@@ -3,7 +3,8 @@
 A flat file is identifiers one after the other, each document closed by a separator, and may be of any size. Tasks
 read byte ranges of it, blocks cut at any place, and search each block for separators as one vector. A prefix scan
 over the blocks carries the number of tokens, the number of separators and the place of the last separator, which puts
-documents together that lie across blocks. The scan has two levels, blocks within spans of SPAN blocks and spans within
+documents together that lie across blocks. A list of files looks small to the planner whatever they hold, so joins of
+what was read from them ask for a merge, never a broadcast. The scan has two levels, blocks within spans of SPAN blocks and spans within
 the file, and takes three numbers of each block, so one huge file spreads over as many tasks as it has spans; positions
 meet their block's sums after it. Blocks hold at most BLOCK tokens, and a task holds one at a time.
 
@@ -113,7 +114,7 @@ def _sums(found: DataFrame, span: int) -> DataFrame:
     there = Window.partitionBy("file_id").orderBy("span")
     spans = spans.select("file_id", "span", "after", F.coalesce(F.sum("n").over(before(there)), F.lit(0)).alias("base_"), F.coalesce(F.sum("k").over(before(there)), F.lit(0)).alias("doc_"), F.lead(F.lit(1)).over(there).isNull().alias("last_"))
     spans = spans.withColumn("open_", F.max(F.col("base_") + F.col("after")).over(before(there)))
-    both = blocks.drop("after").join(spans.drop("after"), ["file_id", "span"])
+    both = blocks.drop("after").join(spans.drop("after").hint("merge"), ["file_id", "span"])
     return both.select("file_id", "number", (F.col("base") + F.col("base_")).alias("base"), (F.col("doc0") + F.col("doc_")).alias("doc0"), F.coalesce(F.col("open") + F.col("base_"), "open_", F.lit(0)).alias("open"), (F.col("last") & F.col("last_")).alias("last"))
 
 
@@ -131,7 +132,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE, span
 
     kind = dict(blocks.dtypes)["file_id"]
     found = durable(blocks.select("file_id", F.col("number").cast("long").alias("number"), "payload").mapInArrow(search, f"file_id {kind}, number long, n long, at array<long>"))
-    carried = found.join(_sums(found, span), ["file_id", "number"])
+    carried = found.join(_sums(found, span).hint("merge"), ["file_id", "number"])
     ends = """transform(at, (p, i) -> named_struct('doc_no', doc0 + i, 'start', if(i = 0, open, base + element_at(at, i) + 1), 'end', base + p, 'closed', true))"""
     tail = "named_struct('doc_no', doc0 + size(at), 'start', if(size(at) > 0, base + try_element_at(at, -1) + 1, open), 'end', base + n, 'closed', false)"
     docs = carried.select("file_id", F.explode(F.expr(f"if(last and if(size(at) > 0, base + try_element_at(at, -1) + 1, open) < base + n, concat({ends}, array({tail})), {ends})")).alias("d"))
@@ -164,4 +165,4 @@ def count_tokens(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str =
     if not any(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0").select("path").take(1)):
         return spark.createDataFrame([], "doc_id long, file_id int, doc_no long, start long, n_tokens long")
     counted = scan(_numbered(read_flat_files(spark, f"{root}/kind={TOKENS}")))
-    return read_names(spark, f"{root}/kind={NAMES}").join(counted, ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")
+    return read_names(spark, f"{root}/kind={NAMES}").join(counted.hint("merge"), ["file_id", "doc_no"]).select("doc_id", "file_id", "doc_no", "start", "n_tokens")
