@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runoff.plans.iterate import ancestors, durable, levels, sum_by_levels, sum_downstream
+from runoff.plans.iterate import ancestors, dense_index, durable, levels, sum_by_levels, sum_downstream
 from runoff.schema import NODE
 
 
@@ -16,12 +16,16 @@ def accumulate(flow: DataFrame, areas: DataFrame, source: float | DataFrame = 1.
     return (sum_downstream if single else sum_by_levels)(flow, own, "acc")
 
 
+def labelled(flow: DataFrame, surface: DataFrame) -> DataFrame:
+    """grid_id, idx, basin, outlet, and outer: whether the outlet is a base level. Basins count from 0 in the order of
+    unmasked outlets; basin and outer are null where masked."""
+    numbered = dense_index(outlets(flow, surface), "idx", name="basin", within="grid_id")
+    return ancestors(flow, numbered.withColumnRenamed("is_base", "outer")).select(*NODE, "basin", F.col("root").alias("outlet"), "outer")
+
+
 def basins(flow: DataFrame, surface: DataFrame) -> DataFrame:
-    """grid_id, idx, basin, outlet: basins count from 0 in the order of unmasked outlets; null where masked."""
-    roots = ancestors(flow).join(surface.select(*NODE, "masked"), NODE)
-    outlets = roots.where("idx = root and not masked").select("grid_id", "root")
-    numbered = outlets.select("grid_id", "root", (F.row_number().over(Window.partitionBy("grid_id").orderBy("root")) - 1).cast("long").alias("basin"))
-    return roots.join(numbered, ["grid_id", "root"], "left").select(*NODE, F.when(~F.col("masked"), F.col("basin")).alias("basin"), F.col("root").alias("outlet"))
+    """grid_id, idx, basin, outlet."""
+    return labelled(flow, surface).select(*NODE, "basin", "outlet")
 
 
 def outlets(flow: DataFrame, surface: DataFrame) -> DataFrame:
@@ -42,31 +46,49 @@ def donors_count(flow: DataFrame, surface: DataFrame, include_pit_self: bool = T
     return surface.select(*NODE).join(counts, NODE, "left").select(*NODE, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def donors(flow: DataFrame, surface: DataFrame) -> DataFrame:
+    """grid_id, idx, donors: the nodes that drain to each, in order; itself is none of them."""
+    found = flow.where("src <> rec").groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sort_array(F.collect_set("src")).alias("donors"))
+    return surface.select(*NODE).join(found, NODE, "left").withColumn("donors", F.coalesce("donors", F.array().cast("array<long>")))
+
+
+def bfs_order(flow: DataFrame, single: bool = True) -> DataFrame:
+    """grid_id, idx, level, place: nodes by level, in a level by number; each comes after all its receivers."""
+    return dense_index(bfs_levels(flow, single), "level", "idx", name="place", within="grid_id")
+
+
 def bfs_levels(flow: DataFrame, single: bool = True) -> DataFrame:
     """grid_id, idx, level."""
     return ancestors(flow).select(*NODE, F.col("depth").alias("level")) if single else levels(flow)
 
 
-def basin_edges(grid, surface: DataFrame, labelled: DataFrame) -> DataFrame:
-    """grid_id, b0, b1, p0, p1, pass_elev, pass_len: the lowest pass from each inner basin to each basin beside it.
+def basin_edges(grid, surface: DataFrame, known: DataFrame) -> DataFrame:
+    """grid_id, b0, b1, p0, p1, pass_elev, pass_len, z0, z1: the lowest pass from each inner basin to each basin beside it.
 
-    Links from one inner basin to another are kept from the smaller number only. Outer basins are tied to the first of
-    them by links without a pass.
+    known: grid_id, idx, basin, outlet, outer. Links from one inner basin to another are kept from the smaller number
+    only. Outer basins are tied to the first of them by links without a pass.
     """
-    known = durable(labelled.join(surface, NODE).join(surface.select("grid_id", F.col("idx").alias("outlet"), F.col("is_base").alias("outer")), ["grid_id", "outlet"]).where("not masked").select(*NODE, "z", "basin", "outer"))
-    there = known.select("grid_id", F.col("idx").alias("dst"), F.col("z").alias("zn"), F.col("basin").alias("b1"), F.col("outer").alias("o1"))
-    steps = grid.neighbors(known.where("not outer"), ["z", "basin"]).join(there, ["grid_id", "dst"]).where("b1 <> basin and (b1 > basin or o1)")
-    lowest = steps.groupBy("grid_id", F.col("basin").alias("b0"), "b1").agg(F.min(F.struct(F.greatest("z", "zn").alias("e"), "src", "slot", "dst", "distance")).alias("p"))
-    inner = lowest.select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"))
+    known = durable(known.join(surface.where("not masked").select(*NODE, "z"), NODE).select(*NODE, "z", "basin", "outer"))
+    steps = grid.around(known, ["z", "basin", "outer"]).where("not outer").select("grid_id", F.col("idx").alias("src"), "z", "basin", F.explode("near").alias("n"))
+    steps = steps.where("n.basin <> basin and (n.basin > basin or n.outer)")
+    step = F.struct(F.greatest("z", "n.z").alias("e"), "src", "n.slot", "n.dst", "n.distance", F.col("z").alias("z0"), F.col("n.z").alias("z1"))
+    lowest = steps.groupBy("grid_id", F.col("basin").alias("b0"), F.col("n.basin").alias("b1")).agg(F.min(step).alias("p"))
+    inner = lowest.select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
     outer = known.where("outer").select("grid_id", "basin").distinct()
     first = outer.groupBy("grid_id").agg(F.min("basin").alias("b0"))
-    none = F.lit(None).cast("long")
-    tied = outer.join(first, "grid_id").where("basin <> b0").select("grid_id", "b0", F.col("basin").alias("b1"), none.alias("p0"), none.alias("p1"), F.lit(float("-inf")).alias("pass_elev"), F.lit(0.0).alias("pass_len"))
+    none, no_z = F.lit(None).cast("long"), F.lit(None).cast("double")
+    tied = outer.join(first, "grid_id").where("basin <> b0").select("grid_id", "b0", F.col("basin").alias("b1"), none.alias("p0"), none.alias("p1"), F.lit(float("-inf")).alias("pass_elev"), F.lit(0.0).alias("pass_len"), no_z.alias("z0"), no_z.alias("z1"))
     return inner.unionByName(tied)
 
 
 def boruvka(edges: DataFrame) -> DataFrame:
-    """The edges of a minimum spanning forest, by rounds of cheapest outgoing edges and pointer doubling.
+    """The edges of a minimum spanning forest."""
+    return spanning_forest(edges)[0]
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of a minimum spanning forest, by rounds of cheapest outgoing edges and pointer doubling, and
+    (grid_id, b, c): the component that each basin ends in.
 
     Equal passes are ordered by (b0, b1), so the tree is the one that any other method in that order finds.
     """
@@ -88,4 +110,38 @@ def boruvka(edges: DataFrame) -> DataFrame:
         alone = names.select("grid_id", F.col("c").alias("src")).distinct().join(cut, ["grid_id", "src"], "left_anti").withColumn("rec", F.col("src"))
         roots = ancestors(cut.unionByName(alone)).select("grid_id", F.col("idx").alias("c"), "root")
         names = durable(names.join(roots, ["grid_id", "c"]).select("grid_id", "b", F.col("root").alias("c")))
-    return edges.join(tree, ["grid_id", "b0", "b1"]) if tree is not None else edges.limit(0)
+    return edges.join(tree, ["grid_id", "b0", "b1"]) if tree is not None else edges.limit(0), names
+
+
+def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
+    """grid_id, up, down, inside, outside, z_in, z_out, pass_elev, pass_len: each inner basin that the forest ties to an
+    outer one, the basin that it leads to, and the pass.
+
+    Without the outer basins the forest falls into trees, each with one edge to them, whose inner end is the tree's
+    root. A tour along both sides of every edge (an arc's successor is the arc after its reverse around the node where it
+    ends) is ranked by pointer doubling: of an edge's two arcs the earlier one leads away from the root. Arcs are numbered
+    in ranges, so a basin with many neighbours isn't gathered. outer: grid_id, b.
+    """
+    reached = names.join(names.join(outer, ["grid_id", "b"], "left_semi").select("grid_id", "c").distinct(), ["grid_id", "c"], "left_semi").select("grid_id", "b")
+    given = tree.where("p0 is not null").join(reached.withColumnRenamed("b", "b0"), ["grid_id", "b0"], "left_semi")
+    beside = outer.select("grid_id", F.col("b").alias("b1"), F.lit(True).alias("out"))
+    given = durable(given.join(beside, ["grid_id", "b1"], "left").withColumn("out", F.coalesce("out", F.lit(False))))
+    passes = ["pass_elev", "pass_len"]
+    inward = lambda df: df.select("grid_id", F.col("b0").alias("up"), F.col("b1").alias("down"), F.col("p0").alias("inside"), F.col("p1").alias("outside"), F.col("z0").alias("z_in"), F.col("z1").alias("z_out"), *passes)
+    turned = lambda df: df.select("grid_id", F.col("b1").alias("up"), F.col("b0").alias("down"), F.col("p1").alias("inside"), F.col("p0").alias("outside"), F.col("z1").alias("z_in"), F.col("z0").alias("z_out"), *passes)
+    last = inward(given.where("out"))
+    edges = given.where("not out")
+    arcs = edges.select("grid_id", F.col("b0").alias("u"), F.col("b1").alias("v")).union(edges.select("grid_id", "b1", "b0"))
+    arcs = durable(dense_index(arcs, "grid_id", "u", "v"))
+    around = arcs.groupBy("grid_id", F.col("u").alias("v")).agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
+    around = around.join(last.select("grid_id", F.col("up").alias("v"), F.lit(True).alias("root")), ["grid_id", "v"], "left")
+    back = arcs.select("grid_id", F.col("u").alias("v"), F.col("v").alias("u"), F.col("idx").alias("back"))
+    ends = arcs.join(back, ["grid_id", "u", "v"]).join(around, ["grid_id", "v"])
+    after = F.when(F.col("back") < F.col("high"), F.col("back") + 1).when(F.col("root"), F.col("idx")).otherwise(F.col("low"))
+    tour = durable(ends.select("grid_id", "u", "v", F.col("idx").alias("src"), after.alias("rec")))
+    left = ancestors(tour.select("grid_id", "src", "rec")).select("grid_id", F.col("idx").alias("src"), "depth")
+    timed = tour.select("grid_id", "u", "v", "src").join(left, ["grid_id", "src"]).select("grid_id", "u", "v", "depth")
+    there = timed.select("grid_id", F.col("u").alias("b0"), F.col("v").alias("b1"), F.col("depth").alias("d0"))
+    home = timed.select("grid_id", F.col("v").alias("b0"), F.col("u").alias("b1"), F.col("depth").alias("d1"))
+    whole = edges.join(there.join(home, ["grid_id", "b0", "b1"]), ["grid_id", "b0", "b1"])  # d0 > d1: b0 is met first
+    return durable(last.unionByName(inward(whole.where("d0 < d1"))).unionByName(turned(whole.where("d0 > d1"))))

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from runoff.functions.ordinals import from_ordinal, ordinal
 
 
+#: Nodes of a surface that a task may gather; larger surfaces take the plans over all nodes, or go block by block.
+LOCAL_NODES = 1 << 20
+
+
 def per_grid(nodes: DataFrame, edges: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """work(nodes sorted by idx, edges sorted by src and slot) for each grid_id, node numbers 0 to n - 1."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runoff.schema import NODE
@@ -12,24 +12,27 @@ from runoff.sources.grids import Grid
 LEAST_SLOPE = 2.2250738585072014e-308
 
 
-def _descents(grid: Grid, surface: DataFrame) -> DataFrame:
-    """Every step from a node that may drain to a lower unmasked neighbour."""
-    there = surface.where("not masked").select("grid_id", F.col("idx").alias("dst"), F.col("z").alias("zn"))
-    steps = grid.neighbors(surface.where("not masked and not is_base"), ["z"]).join(there, ["grid_id", "dst"])
-    return steps.withColumn("slope", (F.col("z") - F.col("zn")) / F.col("distance"))
+def _lower(grid: Grid, surface: DataFrame) -> DataFrame:
+    """grid_id, idx and low: (slope, slot, dst, distance) of the lower unmasked neighbours of each node that may drain."""
+    near = grid.around(surface, ["z"], ["masked", "is_base"], ~F.col("masked"))
+    steps = F.filter("near", lambda x: x["z"] < F.col("z"))
+    low = F.transform(steps, lambda x: F.struct(((F.col("z") - x["z"]) / x["distance"]).alias("slope"), x["slot"].alias("slot"), x["dst"].alias("dst"), x["distance"].alias("distance")))
+    return near.select(*NODE, F.when(F.col("masked") | F.col("is_base"), F.slice(low, 1, 0)).otherwise(low).alias("low"))
 
 
 def single_flow(grid: Grid, surface: DataFrame) -> DataFrame:
     """Steepest descent, the first slot of equals; one row for each node, itself where nothing is lower."""
-    best = _descents(grid, surface).where(F.col("slope") > LEAST_SLOPE).groupBy("grid_id", F.col("src").alias("idx")).agg(F.max(F.struct("slope", (-F.col("slot")).alias("s"), "dst", "distance")).alias("b"))
-    return surface.select(*NODE).join(best, NODE, "left").select("grid_id", F.col("idx").alias("src"), F.lit(0).alias("slot"), F.coalesce("b.dst", "idx").alias("rec"), F.coalesce("b.distance", F.lit(0.0)).alias("distance"), F.lit(1.0).alias("weight"))
+    steep = F.filter("low", lambda x: x["slope"] > LEAST_SLOPE)
+    best = F.array_max(F.transform(steep, lambda x: F.struct(x["slope"].alias("slope"), (-x["slot"]).alias("s"), x["dst"].alias("dst"), x["distance"].alias("distance"))))
+    found = _lower(grid, surface).select(*NODE, best.alias("b"))
+    return found.select("grid_id", F.col("idx").alias("src"), F.lit(0).alias("slot"), F.coalesce("b.dst", "idx").alias("rec"), F.coalesce("b.distance", F.lit(0.0)).alias("distance"), F.lit(1.0).alias("weight"))
 
 
 def multi_flow(grid: Grid, surface: DataFrame, slope_exp: float = 1.0) -> DataFrame:
     """All lower neighbours, weighted by slope**slope_exp; itself with weight 0 where nothing is lower."""
-    whole = Window.partitionBy("grid_id", "src")
-    power = F.pow("slope", F.lit(float(slope_exp)))
-    lower = _descents(grid, surface).where("zn < z").withColumn("p", power)
-    some = lower.select("grid_id", "src", (F.row_number().over(whole.orderBy("slot")) - 1).alias("slot"), F.col("dst").alias("rec"), "distance", (F.col("p") / F.sum("p").over(whole)).alias("weight"))
-    none = surface.select("grid_id", F.col("idx").alias("src")).join(some.select("grid_id", "src").distinct(), ["grid_id", "src"], "left_anti")
-    return some.unionByName(none.select("grid_id", "src", F.lit(0).alias("slot"), F.col("src").alias("rec"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("weight")))
+    power = lambda x: F.pow(x["slope"], F.lit(float(slope_exp)))
+    total = F.aggregate("low", F.lit(0.0), lambda a, x: a + power(x))
+    some = F.transform("low", lambda x: F.struct(x["dst"].alias("rec"), x["distance"].alias("distance"), (power(x) / F.col("total")).alias("weight")))
+    none = F.array(F.struct(F.col("idx").alias("rec"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("weight")))
+    found = _lower(grid, surface).withColumn("total", total).select("grid_id", F.col("idx").alias("src"), F.posexplode(F.when(F.size("low") > 0, some).otherwise(none)).alias("slot", "r"))
+    return found.select("grid_id", "src", "slot", "r.rec", "r.distance", "r.weight")

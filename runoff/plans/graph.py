@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runoff.operators import analytics, grouped
+from runoff.operators.basin_graph import BasinGraph
 from runoff.operators.routing import multi_flow, single_flow
 from runoff.plans.iterate import durable
 from runoff.schema import FLOW, NODE, FlowDirection, MSTMethod, MSTRouteMethod, NodeStatus
@@ -87,8 +88,9 @@ class PFloodSinkResolver(_Operator):
 class MSTSinkResolver(_Operator):
     """Leads pits over the passes of a minimum spanning tree of basins, then fills along the new routes.
 
-    Both tree methods order equal passes alike and give the same tree; runoff.operators.analytics.boruvka finds it
-    without gathering a surface. Inner basins that the mask cuts off keep their pits.
+    Both tree methods order equal passes alike and give the same routes. Kruskal's gathers a surface in a task, which is
+    the way of ensembles of small surfaces; Borůvka's, and any surface of over grouped.LOCAL_NODES nodes, is resolved by
+    plans over all nodes. Inner basins that the mask cuts off keep their pits.
     """
 
     elevation_updated = graph_updated = True
@@ -101,6 +103,9 @@ class MSTSinkResolver(_Operator):
         if not analytics.pits(state.flow, state.surface).limit(1).count():
             return state
         carve = self.route_method == MSTRouteMethod.CARVE
+        if self.basin_method == MSTMethod.BORUVKA or state.grid.size > grouped.LOCAL_NODES:
+            flow, surface = BasinGraph(state.grid, state.surface, state.flow).resolve(carve)
+            return replace(state, surface=surface, flow=flow)
 
         def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             near = grouped.Adjacency(len(nodes), edges)
@@ -123,6 +128,10 @@ class FlowSnapshot(_Operator):
         return replace(state, graphs=graphs, elevations=elevations)
 
 
+def _where(where: Sequence[int] | F.Column | DataFrame) -> F.Column | DataFrame:
+    return F.col("idx").isin(list(where)) if isinstance(where, (list, tuple, set)) else where
+
+
 class FlowGraph:
     """A grid and a sequence of operators; `update_routes` runs them on elevations (grid_id, idx, z)."""
 
@@ -159,21 +168,44 @@ class FlowGraph:
     def grid_shape(self) -> tuple[int, ...]:
         return self.grid.shape
 
-    def set_base_levels(self, where: Sequence[int] | F.Column) -> None:
-        self._base = where if not isinstance(where, (list, tuple, set)) else F.col("idx").isin(list(where))
+    def set_base_levels(self, where: Sequence[int] | F.Column | DataFrame) -> None:
+        """Node numbers, a condition on the grid's nodes, or a table (grid_id, idx); takes the place of those before."""
+        self._base = _where(where)
+
+    def set_mask(self, where: Sequence[int] | F.Column | DataFrame) -> None:
+        """As set_base_levels, of nodes that take no part."""
+        self._mask = _where(where)
 
-    def set_mask(self, where: Sequence[int] | F.Column) -> None:
-        self._mask = where if not isinstance(where, (list, tuple, set)) else F.col("idx").isin(list(where))
+    def _marked(self) -> DataFrame:
+        nodes = self.grid.nodes
+        for name, where in (("masked", self._mask), ("is_base", self._base)):
+            if isinstance(where, DataFrame):
+                nodes = nodes.join(where.select(*NODE).distinct().withColumn(name, F.lit(True)), NODE, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+            else:
+                nodes = nodes.withColumn(name, F.coalesce(where, F.lit(False)))
+        return nodes.select(*NODE, "masked", "is_base")
 
     def base_levels(self) -> DataFrame:
-        return self.grid.nodes.where(self._base).select(*NODE)
+        return self._marked().where("is_base").select(*NODE)
 
     def mask(self) -> DataFrame:
-        return self.grid.nodes.select(*NODE, self._mask.alias("masked"))
+        return self._marked().select(*NODE, "masked")
+
+    def _surface(self, elevation: DataFrame) -> DataFrame:
+        """grid_id, idx, z, masked, is_base; elevations must be of all nodes, once each, and numbers where not masked."""
+        given = elevation.select(*NODE, F.col("z").cast("double").alias("z"), F.lit(True).alias("given"))
+        surface = durable(given.join(self._marked(), NODE, "full"))
+        count = lambda where: F.count(F.when(where, 1))
+        wrong = (F.col("z").isNull() | F.isnan("z")) & ~F.coalesce("masked", F.lit(False))
+        n, strange, missing, bad = surface.agg(F.count(F.lit(1)), count(F.col("masked").isNull()), count(F.col("given").isNull()), count(wrong)).first()
+        if strange or missing or n != self.grid.n_nodes:
+            raise ValueError(f"elevations must be of the grid's {self.grid.n_nodes} nodes, once each: {strange} are of none, {missing} nodes have none, {n} rows in all")
+        if bad:
+            raise ValueError(f"{bad} elevations are no numbers")
+        return surface.drop("given")
 
     def update_routes(self, elevation: DataFrame) -> DataFrame:
-        nodes = self.grid.nodes.select(*NODE, self._mask.alias("masked"), self._base.alias("is_base"))
-        state = FlowState(self.grid, durable(elevation.select(*NODE, F.col("z").cast("double").alias("z")).join(nodes, NODE)))
+        state = FlowState(self.grid, self._surface(elevation))
         for op in self.operators:
             state = op.apply(state)
         self.state = state
@@ -210,7 +242,24 @@ class FlowGraph:
         return analytics.bfs_levels(self.flow, self.single_flow)
 
     def basin_edges(self) -> DataFrame:
-        return analytics.basin_edges(self.grid, self.state.surface, self.basins())
+        return self.basin_graph().edges().drop("z0", "z1")
+
+    def basin_graph(self) -> BasinGraph:
+        if not self.single_flow:
+            raise ValueError("basins need single flow")
+        return BasinGraph(self.grid, self.state.surface, self.flow)
+
+    def donors(self) -> DataFrame:
+        return analytics.donors(self.flow, self.state.surface)
+
+    def bfs_order(self) -> DataFrame:
+        return analytics.bfs_order(self.flow, self.single_flow)
+
+    def receivers(self) -> DataFrame:
+        """grid_id, idx and by slot: receivers, distances, weights."""
+        each = F.sort_array(F.collect_list(F.struct("slot", "rec", "distance", "weight")))
+        found = self.flow.groupBy("grid_id", F.col("src").alias("idx")).agg(each.alias("r"))
+        return found.select(*NODE, F.col("r.rec").alias("receivers"), F.col("r.distance").alias("distances"), F.col("r.weight").alias("weights"))
 
     def graph_snapshot_keys(self) -> list[str]:
         return sorted(op.snapshot_name for op in self.operators if isinstance(op, FlowSnapshot) and op.save_graph)

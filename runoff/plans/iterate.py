@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from runoff.schema import NODE
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, its lineage cut; a temporary folder only where none is set.
+    """df written to the folder in spark.checkpoint.dir, its lineage cut; a temporary folder only where a local master names none.
 
     A checkpoint keeps the size that was estimated for its plan. Joins multiply estimates, so in a loop their digits
     double each round until planning is all that runs; the rows are therefore handed on without an estimate.
@@ -20,48 +21,96 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="runoff-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runoff-checkpoint-"))
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(kept.sparkSession().createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
-def dense_index(df: DataFrame, *keys: str, name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, *keys: str, name: str = "idx", within: str | None = None) -> DataFrame:
     """df with a gapless number from 0 in the order of unique keys, without a sort in one task.
 
-    Ranges of the keys are sorted apart; only their row counts meet, in a table of one row for each range.
+    Ranges of the keys are sorted apart; only their row counts meet, in a table of one row for each range, or for each
+    range and group where numbers start anew for each group of `within`, which comes before the keys in the order.
     """
-    ranges = durable(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
-    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
-    return ranges.withColumn("_at", within).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_range", "_start", "_at")
-
-
-def ancestors(flow: DataFrame) -> DataFrame:
-    """grid_id, idx, root, depth of a single-receiver flow (grid_id, src, rec): pointer doubling.
-
-    A round replaces each pointer by its pointer's pointer, so a path of d steps takes log2(d) rounds.
+    group, order = [within] if within else [], [within, *keys] if within else list(keys)
+    ranges = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy(*group) if group else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within_range = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*keys)) - 1
+    met = ranges.withColumn("_at", within_range).join(starts if group else F.broadcast(starts), ["_range", *group])
+    return met.withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_range", "_start", "_at")
+
+
+def _bounded(state: DataFrame) -> Iterator[int]:
+    """As many rounds as doubling needs on paths through all rows, then an error."""
+    most = max(state.count(), 1).bit_length() + 2
+    yield from range(most)
+    raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
+
+
+def doubled(flow: DataFrame, values: DataFrame, combine: Mapping[str, Column]) -> DataFrame:
+    """grid_id, idx and the values of each node combined with those of all nodes that it drains through, for a
+    single-receiver flow (grid_id, src, rec) by pointer doubling, in log2(depth) rounds.
+
+    `combine` gives a value's column from a node's own values and, under the names with _up, those of the node that its
+    pointer leads to; it must be associative. Nodes whose pointer is known to end at a root are settled and join nothing
+    more, so a root is met by its own donors only, however many nodes drain to it.
     """
-    state = durable(flow.select("grid_id", F.col("src").alias("idx"), F.col("rec").alias("p"), (F.col("src") != F.col("rec")).cast("long").alias("depth")))
-    while True:
-        up = state.select("grid_id", F.col("idx").alias("p"), F.col("p").alias("pp"), F.col("depth").alias("more"))
-        state = durable(state.join(up, ["grid_id", "p"]).select("grid_id", "idx", F.col("pp").alias("p"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("p") != F.col("pp")).alias("moved")))
-        if not state.where("moved").limit(1).count():
-            return state.select("grid_id", "idx", F.col("p").alias("root"), "depth")
-        state = state.drop("moved")
+    pointer = F.when(F.col("src") != F.col("rec"), F.col("rec"))
+    names = list(combine)
+    state = durable(flow.select("grid_id", F.col("src").alias("idx"), pointer.alias("p")).join(values.select(*NODE, *names), NODE))
+
+    def step(first: bool) -> DataFrame:
+        up = state.select("grid_id", F.col("idx").alias("p"), F.col("p").alias("pp"), *[F.col(c).alias(f"{c}_up") for c in names])
+        met = state.where("p is not null").join(up, ["grid_id", "p"])
+        if first:  # only what drains straight to a root moves on
+            new = met.select(*NODE, F.when(F.col("pp").isNotNull(), F.col("p")).alias("p"), *[F.when(F.col("pp").isNull(), combine[c]).otherwise(F.col(c)).alias(c) for c in names])
+        else:
+            new = met.select(*NODE, F.col("pp").alias("p"), *[combine[c].alias(c) for c in names])
+        return durable(state.where("p is null").unionByName(new))
+
+    size = state.count()
+    state = step(True)
+    for _ in _bounded(state):
+        if not state.where("p is not null").limit(1).count():
+            break
+        state = step(False)
+    if state.count() != size:
+        raise ValueError("the flow leads to nodes that it doesn't have")
+    return state.drop("p")
+
+
+def ancestors(flow: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """grid_id, idx, root, depth of a single-receiver flow, and each root's columns of `given` (grid_id, idx, ...)."""
+    own = flow.select("grid_id", F.col("src").alias("idx"), F.col("rec").alias("root"), (F.col("src") != F.col("rec")).cast("long").alias("depth"))
+    more = [c for c in given.columns if c not in NODE] if given is not None else []
+    own = own.join(given, NODE, "left") if given is not None else own
+    combine = {"root": F.col("root_up"), "depth": F.col("depth") + F.col("depth_up")} | {c: F.col(f"{c}_up") for c in more}
+    return doubled(flow, own, combine)
 
 
 def sum_downstream(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
     """grid_id, idx and value summed over each node and all that drains to it, for a single-receiver flow.
 
     Round k adds to a node what its ancestors' pointers at distance 2**k bring: sums are partly made before each shuffle.
+    A pointer that ends at a root is known to, and needs no lookup; rows without one go by keys of their own.
     """
     pointer = F.when(F.col("src") != F.col("rec"), F.col("rec"))
-    state = durable(flow.select("grid_id", F.col("src").alias("idx"), pointer.alias("p")).join(own.select(*NODE, F.col(value).alias("v")), NODE))
-    while state.where("p is not null").limit(1).count():
+    roots = flow.where("src = rec").select("grid_id", F.col("src").alias("rec"), F.lit(True).alias("last"))
+    known = flow.select("grid_id", "src", "rec").join(roots, ["grid_id", "rec"], "left")
+    state = durable(known.select("grid_id", F.col("src").alias("idx"), pointer.alias("p"), F.coalesce("last", F.lit(False)).alias("last")).join(own.select(*NODE, F.col(value).alias("v")), NODE))
+    for _ in _bounded(state):
+        if not state.where("p is not null").limit(1).count():
+            break
         pushed = state.where("p is not null").groupBy("grid_id", F.col("p").alias("idx")).agg(F.sum("v").alias("more"))
-        up = state.select("grid_id", F.col("idx").alias("p"), F.col("p").alias("pp"))
-        state = durable(state.join(pushed, NODE, "left").join(up, ["grid_id", "p"], "left").select(*NODE, F.col("pp").alias("p"), (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
+        up = state.select("grid_id", F.col("idx").alias("k"), F.col("p").alias("pp"), F.col("last").alias("end"))
+        key = F.when(F.col("p").isNull() | F.col("last"), -1 - F.col("idx")).otherwise(F.col("p"))
+        met = state.join(pushed, NODE, "left").withColumn("k", key).join(up, ["grid_id", "k"], "left")
+        state = durable(met.select(*NODE, F.col("pp").alias("p"), F.coalesce("end", F.lit(True)).alias("last"), (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
     return state.select(*NODE, F.col("v").alias(value))
 
 
@@ -76,6 +125,8 @@ def levels(flow: DataFrame) -> DataFrame:
     while needed.limit(1).count():
         met = steps.join(done.select("grid_id", F.col("idx").alias("rec"), "level"), ["grid_id", "rec"]).groupBy("grid_id", "src").agg(F.count(F.lit(1)).alias("met"), (F.max("level") + 1).alias("level"))
         ready = durable(needed.join(met, ["grid_id", "src"]).where("met = need").select("grid_id", F.col("src").alias("idx"), "level"))
+        if not ready.limit(1).count():
+            raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
         needed = durable(needed.join(ready.select("grid_id", F.col("idx").alias("src")), ["grid_id", "src"], "left_anti"))
         done = durable(done.unionByName(ready))
     return done
@@ -93,15 +144,12 @@ def sum_by_levels(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
     edges = durable(flow.where("src <> rec").select("grid_id", F.col("src").alias("idx"), "rec", "weight"))
     moving = durable(own.select(*NODE, F.col(value).cast("double").alias("v")))
     total = lambda parts: durable(reduce(DataFrame.unionByName, parts).groupBy(*NODE).agg(F.sum("v").alias("v")))
-    parts = [moving]
-    while True:
+    parts, most = [moving], moving.count()
+    for _ in range(most + 1):
         moving = durable(edges.join(moving, NODE).groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sum(F.col("v") * F.col("weight")).alias("v")))
         if not moving.limit(1).count():
             return total(parts).select(*NODE, F.col("v").alias(value))
         parts.append(moving)
         if len(parts) > FOLD:
             parts = [total(parts)]
-
-
-def cond(value: bool | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+    raise ValueError("the flow runs in a circle")

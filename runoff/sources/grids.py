@@ -72,6 +72,14 @@ class Grid:
     is_uniform: bool = False
     n_neighbors_max: int = 20
     _edges: DataFrame | None = field(default=None, repr=False)
+    _n_nodes: int | None = field(default=None, repr=False)
+
+    @property
+    def n_nodes(self) -> int:
+        """Nodes of all surfaces."""
+        if self._n_nodes is None:
+            self._n_nodes = self.nodes.count()
+        return self._n_nodes
 
     def neighbors(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         """grid_id, src, slot, dst, distance and the carried columns, for the nodes in rows."""
@@ -91,6 +99,15 @@ class Grid:
     def nodes_areas(self) -> DataFrame:
         return self.nodes.select(*NODE, "area")
 
+    def around(self, rows: DataFrame, sent: Sequence[str], kept: Sequence[str] = (), speaks: Column | None = None) -> DataFrame:
+        """grid_id, idx, the columns sent and kept of each of rows, and near: (slot, dst, distance, the columns sent) of
+        its neighbours among those rows that speak, in the order of slots. The first column sent is never null."""
+        there = rows.where(speaks) if speaks is not None else rows
+        there = there.select("grid_id", F.col("idx").alias("dst"), *sent)
+        each = F.struct("slot", "dst", "distance", *sent)
+        near = self.neighbors(rows).join(there, ["grid_id", "dst"]).groupBy("grid_id", F.col("src").alias("idx")).agg(F.sort_array(F.collect_list(each)).alias("near"))
+        return rows.select(*NODE, *sent, *kept).join(near, NODE, "left").withColumn("near", F.coalesce("near", F.array()))
+
     def neighbors_count(self) -> DataFrame:
         counts = self.edges.groupBy("grid_id", F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
         return self.nodes.select(*NODE).join(counts, NODE, "left").select(*NODE, F.coalesce("n", F.lit(0)).alias("n"))
@@ -118,31 +135,84 @@ def _overridden(status: Column, given: Mapping[int, NodeStatus], size: int, loop
     return F.coalesce(F.try_element_at(table, F.col("idx").cast("int")), status).cast("byte")
 
 
-class ProfileGrid(Grid):
+class _Regular(Grid):
+    """A grid whose neighbours are steps over rows and columns. The slot of a step back is the last slot less the slot."""
+
+    steps: tuple[tuple[int, int], ...]  #: of each slot, in rows and columns
+
+    def _moved(self, idx: Column, step: tuple[int, int]) -> tuple[Column, Column]:
+        """The node that a step leads to, and whether there is one; a step over a looped border comes in on the other side."""
+        n, m = self.shape if len(self.shape) == 2 else (1, *self.shape)
+        row, col = F.floor(idx / m).cast("long") + step[0], idx % m + step[1]
+        over_rows, over_cols = getattr(self.bounds, "is_vertical_looped", False), self.bounds.is_horizontal_looped
+        inside = F.lit(True)
+        if step[0]:
+            row, inside = (F.pmod(row, F.lit(n)), inside) if over_rows else (row, inside & row.between(0, n - 1))
+        if step[1]:
+            col, inside = (F.pmod(col, F.lit(m)), inside) if over_cols else (col, inside & col.between(0, m - 1))
+        return (row * m + col).cast("long"), inside
+
+    def _length(self, step: tuple[int, int]) -> float:
+        dy, dx = self.spacing if isinstance(self.spacing, tuple) else (0.0, self.spacing)
+        return math.sqrt((step[0] * dy) ** 2 + (step[1] * dx) ** 2)
+
+    def _reached(self, idx: Column, numbers: Sequence[int]) -> Column:
+        """Nodes that each numbered slot leads to, by slot."""
+        found = []
+        for k in numbers:
+            to, inside = self._moved(idx, self.steps[k])
+            found.append(F.struct(F.lit(k).alias("slot"), F.when(inside, to).alias("dst"), F.lit(self._length(self.steps[k])).alias("distance")))
+        return F.filter(F.array(*found), lambda x: x["dst"].isNotNull())
+
+    def neighbors(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        """Computed from node numbers, so it takes no join; a wrapped step is as long as any other."""
+        out = rows.select("grid_id", F.col("idx").alias("src"), *carry, F.explode(self._reached(F.col("idx"), range(len(self.steps)))).alias("k"))
+        return out.select("grid_id", "src", "k.slot", "k.dst", "k.distance", *carry)
+
+    def around(self, rows: DataFrame, sent: Sequence[str], kept: Sequence[str] = (), speaks: Column | None = None) -> DataFrame:
+        """Each node sends its columns to its neighbours, and all that is sent to a node meets in one exchange. Rows that
+        lie near each other are combined before it, so little more than a row for each node is shuffled."""
+        last = len(self.steps) - 1
+        own = F.array(F.struct(F.lit(-1).alias("slot"), F.col("idx").alias("to")))
+        others = F.transform(self._reached(F.col("idx"), range(len(self.steps))), lambda x: F.struct((last - x["slot"]).alias("slot"), x["dst"].alias("to")))
+        sends = F.concat(own, others) if speaks is None else F.when(speaks, F.concat(own, others)).otherwise(own)
+        out = rows.select("grid_id", *sent, *kept, F.explode(sends).alias("k")).select("grid_id", F.col("k.to").alias("idx"), "k.slot", *sent, *kept)
+        at = lambda c, k: F.max(F.when(F.col("slot") == k, F.col(c)))
+        met = out.groupBy(*NODE).agg(F.max(F.col("slot") == -1).alias("here"), *[at(c, -1).alias(c) for c in (*sent, *kept)], *[at(c, k).alias(f"{c}_{k}") for c in sent for k in range(last + 1)])
+        found = []
+        for k, step in enumerate(self.steps):
+            to, _ = self._moved(F.col("idx"), step)
+            found.append(F.struct(F.lit(k).alias("slot"), to.alias("dst"), F.lit(self._length(step)).alias("distance"), *[F.col(f"{c}_{k}").alias(c) for c in sent]))
+        near = F.filter(F.array(*found), lambda x: x[sent[0]].isNotNull())
+        return met.where("here").select(*NODE, *sent, *kept, near.alias("near"))
+
+    def neighbors_count(self) -> DataFrame:
+        """A sum over slots of whether a step stays inside, without a shuffle."""
+        return self.nodes.select(*NODE, F.size(self._reached(F.col("idx"), range(len(self.steps)))).cast("long").alias("n"))
+
+
+class ProfileGrid(_Regular):
+    steps = ((0, -1), (0, 1))
+
     def __init__(self, spark: SparkSession, size: int, spacing: float, bounds: ProfileBoundaryStatus, nodes_status: Mapping[int, NodeStatus] | None = None, grids: int = 1, ids: DataFrame | None = None) -> None:
         if bounds.is_horizontal_looped and set(nodes_status or ()) & {0, size - 1}:
             raise ValueError("a looped node can't be overridden")
         self.spacing, self.length, self.bounds = spacing, spacing * (size - 1), bounds
         border = F.when(F.col("idx") == 0, int(bounds.left)).when(F.col("idx") == size - 1, int(bounds.right)).otherwise(0)
         nodes = (ids if ids is not None else _ids(spark, size, grids)).select(*NODE, _overridden(border, nodes_status or {}, size).alias("status"), F.lit(float(spacing)).alias("area"))
-        super().__init__(nodes, size, (size,), True, True, 2)
+        super().__init__(nodes, size, (size,), True, True, 2, _n_nodes=None if ids is not None else size * grids)
 
     @classmethod
     def from_length(cls, spark: SparkSession, size: int, length: float, bounds: ProfileBoundaryStatus, nodes_status: Mapping[int, NodeStatus] | None = None) -> ProfileGrid:
         return cls(spark, size, length / (size - 1), bounds, nodes_status)
 
-    def neighbors(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-        out = rows.select("grid_id", F.col("idx").alias("src"), *carry, F.posexplode(F.array(F.col("idx") - 1, F.col("idx") + 1)).alias("slot", "dst"))
-        out = out.withColumn("dst", F.pmod("dst", F.lit(self.size))) if self.bounds.is_horizontal_looped else out.where((F.col("dst") >= 0) & (F.col("dst") < self.size))
-        return out.select("grid_id", "src", "slot", "dst", F.lit(float(self.spacing)).alias("distance"), *carry)
-
 
-class RasterGrid(Grid):
+class RasterGrid(_Regular):
     def __init__(self, spark: SparkSession, shape: tuple[int, int], spacing: tuple[float, float], bounds: RasterBoundaryStatus, nodes_status: Mapping[int, NodeStatus] | None = None, connect: RasterConnect = RasterConnect.QUEEN, grids: int = 1, ids: DataFrame | None = None) -> None:
         rows, cols = shape
         if min(shape) < 2:
             raise ValueError("an axis needs two nodes at least")
-        self.spacing, self.bounds, self.connect = spacing, bounds, connect
+        self.spacing, self.bounds, self.connect, self.steps = tuple(spacing), bounds, connect, connect.value
         self.length = tuple(s * (n - 1) for s, n in zip(spacing, shape, strict=True))
         for k in nodes_status or ():
             if bounds.is_horizontal_looped and k % cols in (0, cols - 1) or bounds.is_vertical_looped and k // cols in (0, rows - 1):
@@ -153,22 +223,12 @@ class RasterGrid(Grid):
         status = F.element_at(F.array(*[F.lit(int(s)) for s in _RANK]), best + 1)
         base = (ids if ids is not None else _ids(spark, rows * cols, grids)).select(*NODE, row.alias("row"), col.alias("col"))
         nodes = base.select(*NODE, "row", "col", _overridden(status, nodes_status or {}, rows * cols).alias("status"), F.lit(float(spacing[0] * spacing[1])).alias("area"))
-        super().__init__(nodes, rows * cols, (rows, cols), True, True, len(connect.value))
+        super().__init__(nodes, rows * cols, (rows, cols), True, True, len(connect.value), _n_nodes=None if ids is not None else rows * cols * grids)
 
     @classmethod
     def from_length(cls, spark: SparkSession, shape: tuple[int, int], length: tuple[float, float], bounds: RasterBoundaryStatus, nodes_status: Mapping[int, NodeStatus] | None = None, connect: RasterConnect = RasterConnect.QUEEN) -> RasterGrid:
         return cls(spark, shape, tuple(a / (n - 1) for a, n in zip(length, shape, strict=True)), bounds, nodes_status, connect)
 
-    def neighbors(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-        """Computed from node numbers, so it takes no join; a wrapped step is as long as any other."""
-        (n, m), (dy, dx) = self.shape, self.spacing
-        steps = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(math.sqrt((r * dy) ** 2 + (c * dx) ** 2)).alias("d")) for s, (r, c) in enumerate(self.connect.value)])
-        out = rows.select("grid_id", F.col("idx").alias("src"), *carry, F.explode(steps).alias("k"))
-        row, col = F.floor(F.col("src") / m).cast("long") + F.col("k.r"), F.col("src") % m + F.col("k.c")
-        out = out.withColumn("_r", F.pmod(row, F.lit(n)) if self.bounds.is_vertical_looped else row).withColumn("_c", F.pmod(col, F.lit(m)) if self.bounds.is_horizontal_looped else col)
-        inside = F.col("_r").between(0, n - 1) & F.col("_c").between(0, m - 1)
-        return out.where(inside).select("grid_id", "src", F.col("k.slot").alias("slot"), (F.col("_r") * m + F.col("_c")).alias("dst"), F.col("k.d").alias("distance"), *carry)
-
     def nodes_codes(self) -> DataFrame:
         """Position 0 to 8: three times that of the row (first, inner, last) and that of the column."""
         part = lambda c, n: F.when(F.col(c) == 0, 0).when(F.col(c) == n - 1, 2).otherwise(1)
