@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runoff.functions.ordinals import from_ordinal, ordinal
+from runoff.functions.ordinals import from_ordinal, from_ordinal_column, ordinal, ordinal_column
 
 
 #: Nodes of a surface that a task may gather; larger surfaces take the plans over all nodes, or go block by block.
@@ -62,6 +62,38 @@ def node_levels(n: int, src: np.ndarray, rec: np.ndarray) -> np.ndarray:
     return level
 
 
+def depth_order(n: int, src: np.ndarray, rec: np.ndarray) -> list[int]:
+    """Nodes from the outlets up, depth first; for several receivers, the reverse of a descent from the nodes without donors."""
+    real = src != rec
+    pairs = sorted(zip(rec[real].tolist(), src[real].tolist(), strict=True))
+    donors: dict[int, list[int]] = {}
+    for r, s in pairs:
+        donors.setdefault(r, []).append(s)
+    out: list[int] = []
+    if len(src) == n:
+        for root in np.sort(src[~real]).tolist():
+            out.append(root)
+            open_ = [root]
+            while open_:
+                met = donors.get(open_.pop(), [])
+                out += met
+                open_ += met
+        return out
+    below: dict[int, list[int]] = {}
+    for s, r in zip(src[real].tolist(), rec[real].tolist(), strict=True):
+        below.setdefault(s, []).append(r)
+    waits = {i: len(d) for i, d in donors.items()}
+    for first in range(n):
+        open_ = [] if first in waits else [first]
+        while open_:
+            out.append(i := open_.pop())
+            for r in below.get(i, []):
+                waits[r] -= 1
+                if not waits[r]:
+                    open_.append(r)
+    return out[::-1]
+
+
 def accumulate_np(n: int, src: np.ndarray, rec: np.ndarray, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
     level, acc = node_levels(n, src, rec), own.astype(float).copy()
     real = np.flatnonzero(src != rec)
@@ -239,28 +271,102 @@ def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, right: np.nda
     return dp
 
 
-def diffuse(z: np.ndarray, k: np.ndarray | float, dt: float, dy: float, dx: float) -> np.ndarray:
-    """One ADI step: implicit along rows, then along columns; borders stay."""
+def half_step(z: np.ndarray, k: np.ndarray | float, dt: float, across: float, along: float) -> np.ndarray:
+    """Half an ADI step, implicit along rows; the first and last row and column stay. Each row needs those beside it."""
 
-    def face(k: np.ndarray | float, axis: int, d: float) -> tuple[np.ndarray, ...]:
+    def face(axis: int, d: float) -> tuple[np.ndarray, ...]:
         """Conductances to the node before, at the node, and to the node after along an axis."""
-        k = np.broadcast_to(np.asarray(k, float), z.shape)
-        before, after = np.roll(k, 1, axis), np.roll(k, -1, axis)
-        return 0.25 * (before + k) / d**2, 0.125 * (before + 2 * k + after) / d**2, 0.25 * (k + after) / d**2
-
-    def half(z: np.ndarray, across: tuple[np.ndarray, ...], along: tuple[np.ndarray, ...]) -> np.ndarray:
-        inner = slice(1, -1)
-        right = z[inner].copy()
-        a, b, c = (f[inner] for f in across)
-        right[:, inner] = ((1 - 2 * b * dt) * z[inner] + a * dt * z[:-2] + c * dt * z[2:])[:, inner]
-        lower, diag, upper = -along[0][inner] * dt, 1 + 2 * along[1][inner] * dt, -along[2][inner] * dt
-        for edge in (0, -1):
-            lower[:, edge], diag[:, edge], upper[:, edge] = 0, 1, 0
-        out = z.copy()
+        whole = np.broadcast_to(np.asarray(k, float), z.shape)
+        before, after = np.roll(whole, 1, axis), np.roll(whole, -1, axis)
+        return 0.25 * (before + whole) / d**2, 0.125 * (before + 2 * whole + after) / d**2, 0.25 * (whole + after) / d**2
+
+    inner = slice(1, -1)
+    right, beside = z[inner].copy(), face(1, along)
+    a, b, c = (f[inner] for f in face(0, across))
+    right[:, inner] = ((1 - 2 * b * dt) * z[inner] + a * dt * z[:-2] + c * dt * z[2:])[:, inner]
+    lower, diag, upper = -beside[0][inner] * dt, 1 + 2 * beside[1][inner] * dt, -beside[2][inner] * dt
+    for edge in (0, -1):
+        lower[:, edge], diag[:, edge], upper[:, edge] = 0, 1, 0
+    out = z.copy()
+    if len(right):
         out[inner] = thomas(lower, diag, upper, right)
-        return out
+    return out
+
+
+def diffuse(z: np.ndarray, k: np.ndarray | float, dt: float, dy: float, dx: float) -> np.ndarray:
+    """One ADI step: implicit along rows, then along columns; borders stay."""
+    first = half_step(z, k, dt, dy, dx)
+    return half_step(first.T.copy(), np.asarray(k, float).T, dt, dx, dy).T
+
+
+def half_by_blocks(rows: DataFrame, lines: int, block: int, dt: float, across: float, along: float) -> DataFrame:
+    """half_step on tables (grid_id, line, place, z, k): a task takes `block` lines and the lines beside them."""
+    own, last = F.expr(f"line div {block}"), (lines - 1) // block
+    before = F.when((F.col("line") % block == 0) & (own > 0), own - 1)
+    after = F.when((F.col("line") % block == block - 1) & (own < last), own + 1)
+    dealt = rows.select("*", own.alias("own"), F.explode(F.filter(F.array(own, before, after), lambda x: x.isNotNull())).alias("block"))
+
+    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["line", "place"], ignore_index=True)
+        n = part["line"].nunique()
+        z, k = (part[c].to_numpy(float).reshape(n, -1) for c in ("z", "k"))
+        done = part.assign(z=half_step(z, k, dt, across, along).ravel())
+        return done[done["own"] == key[1]][["grid_id", "line", "place", "z", "k"]]
+
+    return dealt.groupBy("grid_id", "block").applyInPandas(work, "grid_id long, line long, place long, z double, k double")
 
-    rows, cols = face(k, 0, dy), face(k, 1, dx)
-    first = half(z, rows, cols)
-    flip = lambda t: tuple(f.T for f in t)
-    return half(first.T.copy(), flip(cols), flip(rows)).T
+
+def flood_from(own: np.ndarray, base: np.ndarray, masked: np.ndarray, seed: np.ndarray, near: Adjacency) -> np.ndarray:
+    """Levels of a block whose nodes can be reached from outside at `seed` (the largest integer: not at all)."""
+    top = np.iinfo(np.int64).max
+    level = np.full(len(own), top)
+    start = np.where(base, own, np.where(seed < top, np.maximum(own, seed), top))
+    heap = [(int(start[i]), int(i)) for i in np.flatnonzero((start < top) & ~masked)]
+    heapq.heapify(heap)
+    while heap:
+        at, i = heapq.heappop(heap)
+        if at >= level[i]:
+            continue
+        level[i] = at
+        for k in near.of(i):
+            j = near.to[k]
+            if not masked[j] and not base[j] and level[j] > (there := max(int(own[j]), at + 1)):
+                heapq.heappush(heap, (there, int(j)))
+    return level
+
+
+def flood_by_blocks(grid, surface: DataFrame, block: int) -> DataFrame:
+    """As priority_flood, for surfaces of any size: blocks of node numbers are flooded apart, from the levels that the
+    nodes beside them had in the round before, until no level changes. Levels only fall, to the same least surface."""
+    from runoff.plans.iterate import durable
+    from runoff.schema import NODE
+
+    top = np.iinfo(np.int64).max
+    of = lambda c: F.expr(f"{c} div {block}")
+    edges = durable(grid.neighbors(surface.where("not masked")).select("grid_id", "src", "slot", "dst", "distance", of("src").alias("block"), (of("src") != of("dst")).alias("across")))
+    crossing = durable(edges.where("across").select("grid_id", "src", "dst"))
+    inner = edges.where("not across").drop("across")
+    nodes = durable(surface.select(*NODE, "z", "masked", "is_base", of("idx").alias("block")))
+    levels = durable(nodes.select(*NODE, F.lit(top).alias("level")))
+
+    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("idx", ignore_index=True), right.sort_values(["src", "slot"], ignore_index=True)
+        if left.empty:
+            return pd.DataFrame({"grid_id": [], "idx": [], "level": []})
+        at = left["idx"].to_numpy()
+        right = right.assign(src=np.searchsorted(at, right["src"].to_numpy()), dst=np.searchsorted(at, right["dst"].to_numpy()))
+        found = flood_from(ordinal(left["z"].to_numpy(float)), left["is_base"].to_numpy(bool), left["masked"].to_numpy(bool), left["seed"].to_numpy(np.int64), Adjacency(len(left), right))
+        return left[["grid_id", "idx"]].assign(level=found)
+
+    while True:
+        there = levels.where(F.col("level") < top).select("grid_id", F.col("idx").alias("dst"), "level")
+        seeds = crossing.join(there, ["grid_id", "dst"]).groupBy("grid_id", F.col("src").alias("idx")).agg((F.min("level") + 1).alias("seed"))
+        ready = nodes.join(seeds, NODE, "left").withColumn("seed", F.coalesce("seed", F.lit(top)))
+        now = durable(ready.groupBy("grid_id", "block").cogroup(inner.groupBy("grid_id", "block")).applyInPandas(work, "grid_id long, idx long, level long"))
+        changed = now.join(levels.withColumnRenamed("level", "old"), NODE).where("level <> old").limit(1).count()
+        levels = now
+        if not changed:
+            break
+    raised = nodes.join(levels, NODE).withColumn("own", ordinal_column(F.col("z")))
+    z = F.when((F.col("level") < top) & (F.col("level") > F.col("own")), from_ordinal_column(F.col("level"))).otherwise(F.col("z"))
+    return raised.select(*NODE, z.alias("z"), "masked", "is_base")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from runoff.operators import analytics, grouped
 from runoff.operators.basin_graph import BasinGraph
 from runoff.operators.routing import multi_flow, single_flow
-from runoff.plans.iterate import durable
+from runoff.plans.iterate import doubled, durable
 from runoff.schema import FLOW, NODE, FlowDirection, MSTMethod, MSTRouteMethod, NodeStatus
 from runoff.sources.grids import Grid
 
@@ -71,11 +71,15 @@ class MultiFlowRouter(_Operator):
 
 
 class PFloodSinkResolver(_Operator):
-    """Raises closed depressions to the least surface that drains; a surface is flooded in one task."""
+    """Raises closed depressions to the least surface that drains. A surface is flooded in one task, one of over
+    grouped.LOCAL_NODES nodes in blocks of that many, round after round; the outcome is the same."""
 
     elevation_updated = True
 
     def apply(self, state: FlowState) -> FlowState:
+        if state.grid.size > grouped.LOCAL_NODES:
+            return replace(state, surface=durable(grouped.flood_by_blocks(state.grid, state.surface, grouped.LOCAL_NODES)))
+
         def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             near = grouped.Adjacency(len(nodes), edges)
             z = grouped.priority_flood(nodes["z"].to_numpy(float), nodes["is_base"].to_numpy(bool), nodes["masked"].to_numpy(bool), near)
@@ -232,6 +236,10 @@ class FlowGraph:
     def pits(self) -> DataFrame:
         return analytics.pits(self.flow, self.state.surface)
 
+    def apply_kernel(self, kernel: Any, data: Any) -> DataFrame:
+        """The kernel's outputs (grid_id, idx, ...), which the data then holds too."""
+        return kernel.run(data)
+
     def donors_count(self, include_pit_self: bool = True) -> DataFrame:
         return analytics.donors_count(self.flow, self.state.surface, include_pit_self)
 
@@ -274,6 +282,21 @@ class FlowGraph:
         return self.state.elevations[name]
 
 
+def _eroded_by_doubling(nodes: DataFrame, flow: DataFrame, dt: float, area_exp: float) -> DataFrame:
+    """The linear implicit step on surfaces of any size, for one receiver each.
+
+    A node's new elevation is the least of c and a + b * x, with x its receiver's: such functions composed are such
+    functions, so whole paths are composed by pointer doubling. Limits come from rounding alone there; there are none.
+    """
+    below = nodes.select("grid_id", F.col("idx").alias("rec"), F.col("z").alias("zr"))
+    met = flow.join(nodes.withColumnRenamed("idx", "src"), ["grid_id", "src"]).join(below, ["grid_id", "rec"])
+    drains = (F.col("src") != F.col("rec")) & (F.col("zr") <= F.col("z"))
+    f = F.when(drains, F.col("k") * dt * F.pow("acc", F.lit(float(area_exp))) / F.col("distance")).otherwise(0.0)
+    parts = met.withColumn("f", f).select("grid_id", F.col("src").alias("idx"), F.col("z").alias("c"), (F.col("z") / (1 + F.col("f"))).alias("a"), (F.col("f") / (1 + F.col("f"))).alias("b"))
+    whole = doubled(flow, parts, {"c": F.least("c", F.col("a") + F.col("b") * F.col("c_up")), "a": F.col("a") + F.col("b") * F.col("a_up"), "b": F.col("b") * F.col("b_up")})
+    return nodes.join(whole, NODE).select(*NODE, (F.col("z") - F.least("c", "a")).alias("erosion"), F.lit(False).alias("limited"))
+
+
 class SPLEroder:
     """Stream-power erosion, implicit in time. Exponents up to 1 are solved as linear unless strict_exponent."""
 
@@ -299,6 +322,9 @@ class SPLEroder:
         nodes = elevation.select(*NODE, "z").join(drainage_area.select(*NODE, "acc"), NODE)
         nodes = nodes if not isinstance(self.k_coef, DataFrame) else nodes.join(self.k_coef.select(*NODE, "k"), NODE)
 
+        if linear and self.graph.single_flow and self.graph.grid.size > grouped.LOCAL_NODES:
+            return durable(_eroded_by_doubling(nodes.withColumn("k", k), self.graph.flow, dt, m))
+
         def work(nodes: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
             z = nodes["z"].to_numpy(float)
             new, limited = grouped.stream_power(z, nodes["acc"].to_numpy(), nodes["k"].to_numpy(), flow, dt, m, n, tol, linear)
@@ -320,6 +346,9 @@ class DiffusionADIEroder:
         rows = elevation.select(*NODE, "z")
         rows = rows.join(self.k_coef.select(*NODE, "k"), NODE) if isinstance(self.k_coef, DataFrame) else rows.withColumn("k", F.lit(float(self.k_coef)))
 
+        if self.grid.size > grouped.LOCAL_NODES:
+            return self._by_blocks(rows, dt)
+
         def work(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
             nodes = nodes.sort_values("idx", ignore_index=True)
             z = nodes["z"].to_numpy(float).reshape(shape)
@@ -328,5 +357,14 @@ class DiffusionADIEroder:
 
         return rows.groupBy("grid_id").applyInPandas(work, "grid_id long, idx long, erosion double")
 
+    def _by_blocks(self, rows: DataFrame, dt: float) -> DataFrame:
+        """Blocks of rows, then of columns, each with the line before and after it; as many lines as make LOCAL_NODES nodes."""
+        (n, m), (dy, dx) = self.grid.shape, self.grid.spacing
+        lines = lambda size: max(1, grouped.LOCAL_NODES // size)
+        first = grouped.half_by_blocks(rows.select("grid_id", F.expr(f"idx div {m}").alias("line"), (F.col("idx") % m).alias("place"), "z", "k"), n, lines(m), dt, dy, dx)
+        second = grouped.half_by_blocks(first.select("grid_id", F.col("place").alias("line"), F.col("line").alias("place"), "z", "k"), m, lines(n), dt, dx, dy)
+        done = second.select("grid_id", (F.col("place") * m + F.col("line")).alias("idx"), F.col("z").alias("new"))
+        return rows.join(done, NODE).select(*NODE, (F.col("z") - F.col("new")).alias("erosion"))
+
 
 __all__ = ["FLOW", "DiffusionADIEroder", "FlowGraph", "FlowOperator", "FlowSnapshot", "FlowState", "MSTSinkResolver", "MultiFlowRouter", "PFloodSinkResolver", "SPLEroder", "SingleFlowRouter"]

@@ -7,12 +7,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runoff.functions.ordinals import ordinal_column
 from runoff.operators import analytics
 from runoff.operators.kernels import COLUMN, create_flow_kernel
 from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
 from runoff.plans.iterate import dense_index, durable
-from runoff.schema import NODE, FlowGraphTraversalDir, MSTRouteMethod, NodeStatus, RasterConnect
-from runoff.sources.grids import ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh, mesh_edges
+from runoff.schema import NODE, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
+from runoff.sources.grids import HealpixGrid, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh, mesh_edges
 from runoff.sources.surfaces import COLS, orders_raster
 
 _CORE, _FIXED, _GRADIENT, _LOOPED = NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.FIXED_GRADIENT, NodeStatus.LOOPED
@@ -105,6 +106,44 @@ def mst_total_weight(spark, sf_dir) -> DataFrame:
     return tree.where("p0 is not null").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("pass_elev").alias("total"))
 
 
+def _resolved(spark, sf_dir, route=MSTRouteMethod.CARVE) -> FlowGraph:
+    return _routed(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver(MSTMethod.BORUVKA, route))
+
+
+def mst_receivers(spark, sf_dir, route) -> DataFrame:
+    return _resolved(spark, sf_dir, route).flow.select(F.col("src").alias("idx"), "rec", "distance")
+
+
+def mst_fill(spark, sf_dir) -> DataFrame:
+    """Filled elevations, as the whole number below and the steps of a double above it."""
+    filled = _resolved(spark, sf_dir).state.surface.select("idx", F.floor("z").cast("double").alias("level"), "z")
+    return filled.withColumn("a", ordinal_column(F.col("z"))).withColumn("b", ordinal_column(F.col("level"))).select("idx", "level", (F.col("a") - F.col("b")).alias("steps"))
+
+
+def basin_parents(spark, sf_dir) -> DataFrame:
+    """The basin that each inner basin drains to over its lowest pass, and the nodes of the pass."""
+    return _routed(spark, sf_dir).basin_graph().oriented().select("up", "down", "inside", "outside")
+
+
+def ensemble_profiles(spark, sf_dir) -> DataFrame:
+    """A profile for each nation, its customers by key with their balance as elevation: area that reaches each node."""
+    rows = dense_index(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("grid_id"), "c_custkey", "c_acctbal"), "c_custkey", within="grid_id")
+    rows = durable(rows.select(*NODE, F.floor("c_acctbal").cast("double").alias("z")))
+    size = rows.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    kept = rows.where(F.col("idx") < size)  # surfaces of an ensemble are of one size
+    grid = ProfileGrid(spark, size, 2.0, ProfileBoundaryStatus(_FIXED, _CORE), ids=kept.select(*NODE))
+    graph = FlowGraph(grid, [SingleFlowRouter()])
+    graph.update_routes(kept)
+    return graph.flow.select("grid_id", F.col("src").alias("idx"), "rec").join(graph.accumulate(1.0), NODE)
+
+
+def sphere_areas(spark, sf_dir) -> DataFrame:
+    """Pixels of a sphere, their area and the sine of their latitude; the pixels number as many as regions ask for."""
+    nside = spark.read.parquet(f"{sf_dir}/region.parquet").count()
+    grid = HealpixGrid(spark, nside, radius=1.0, strict=True)
+    return grid.nodes.select("idx", F.round("area", 12).alias("area"), F.round(F.sin("lat"), 9).alias("z"))
+
+
 def resolved_outlets(spark, sf_dir, *operators) -> DataFrame:
     """After sinks are resolved, only base levels are outlets, and all area reaches them."""
     graph = _routed(spark, sf_dir, *operators)
@@ -149,8 +188,9 @@ def kernel_accumulate(spark, sf_dir) -> DataFrame:
         if node.receivers.count and node.receivers.distance[0] > 0:
             node.receivers.acc = node.receivers.acc + node.acc * node.receivers.weight
 
-    kernel = create_flow_kernel(graph, push, {"acc": COLUMN}, apply_dir=FlowGraphTraversalDir.BREADTH_DOWNSTREAM, outputs=["acc"])
-    return kernel.apply({}, graph.grid.nodes.select(*NODE, F.col("area").alias("acc"))).drop("grid_id")
+    kernel, data = create_flow_kernel(graph, push, {"acc": COLUMN}, apply_dir=FlowGraphTraversalDir.BREADTH_DOWNSTREAM, outputs=["acc"])
+    data.bind(acc=graph.grid.nodes.select(*NODE, F.col("area").alias("value")))
+    return graph.apply_kernel(kernel, data).drop("grid_id")
 
 
 def snapshot_before_after(spark, sf_dir) -> DataFrame:
@@ -160,7 +200,7 @@ def snapshot_before_after(spark, sf_dir) -> DataFrame:
 
 
 def spl_step(spark, sf_dir) -> DataFrame:
-    graph = _routed(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver())
+    graph = _resolved(spark, sf_dir)
     e = SPLEroder(graph, 1e-3, 0.5, 1.0).erode(graph.state.surface, graph.accumulate(1.0), 1.0)
     return e.select("idx", F.round("erosion", 6).alias("erosion"))
 
@@ -194,6 +234,12 @@ QUERIES = {
     "basin_size_topk": flagship,
     "basin_graph_edges": basin_graph_edges,
     "mst_total_weight": mst_total_weight,
+    "mst_carve_receivers": partial(mst_receivers, route=MSTRouteMethod.CARVE),
+    "mst_basic_receivers": partial(mst_receivers, route=MSTRouteMethod.BASIC),
+    "mst_fill": mst_fill,
+    "basin_parents": basin_parents,
+    "ensemble_profiles": ensemble_profiles,
+    "sphere_areas": sphere_areas,
     "mst_carve_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver()),
     "mst_basic_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, SingleFlowRouter(), MSTSinkResolver(route_method=MSTRouteMethod.BASIC)),
     "pflood_outlets": lambda spark, sf_dir: resolved_outlets(spark, sf_dir, PFloodSinkResolver(), SingleFlowRouter()),
@@ -240,6 +286,40 @@ def _mfd(p: str) -> str:
 _PASSES = """, b AS (SELECT flow.idx, z, root, dense_rank() OVER (ORDER BY root) - 1 AS basin, root < 50 AS outer_ FROM flow JOIN root ON root.idx = flow.idx),
         p AS (SELECT x.basin AS b0, y.basin AS b1, greatest(x.z, y.z) AS pe, e.* FROM e JOIN b x ON x.idx = e.src JOIN b y ON y.idx = e.dst WHERE NOT x.outer_ AND x.basin <> y.basin AND (y.basin > x.basin OR y.outer_)),
         q AS (SELECT *, row_number() OVER (PARTITION BY b0, b1 ORDER BY pe, src, slot) AS k FROM p)"""
+#: Kruskal's tree, an edge at a time in the order of passes, with a list of the basins' labels.
+_KRUSKAL = """, edges AS (SELECT *, row_number() OVER (ORDER BY pe, b0, b1) AS i FROM (
+            SELECT b0, b1, src AS p0, dst AS p1, pe, distance FROM q WHERE k = 1
+            UNION ALL SELECT first, basin, NULL, NULL, '-infinity'::DOUBLE, 0.0 FROM (SELECT DISTINCT basin, min(basin) OVER () AS first FROM b WHERE outer_) WHERE basin <> first)),
+        kruskal AS (SELECT 0::BIGINT AS i, (SELECT list(x ORDER BY x) FROM (SELECT DISTINCT basin AS x FROM b)) AS lab, false AS taken
+            UNION ALL SELECT n.i, CASE WHEN lab[b0 + 1] = lab[b1 + 1] THEN lab ELSE list_transform(lab, lambda x: CASE WHEN x = lab[b1 + 1] THEN lab[b0 + 1] ELSE x END) END, lab[b0 + 1] <> lab[b1 + 1]
+            FROM kruskal s JOIN edges n ON n.i = s.i + 1),
+        tree AS (SELECT e.* FROM edges e JOIN kruskal USING (i) WHERE taken),
+        sides AS (SELECT b0 AS up, b1 AS down, p0 AS inside, p1 AS outside, distance AS len FROM tree WHERE p0 IS NOT NULL UNION ALL SELECT b1, b0, p1, p0, distance FROM tree WHERE p0 IS NOT NULL),
+        hang AS (SELECT DISTINCT basin AS up, NULL::BIGINT AS down, NULL::BIGINT AS inside, NULL::BIGINT AS outside, NULL::DOUBLE AS len, true AS outer_ FROM b WHERE outer_
+            UNION SELECT s.up, s.down, s.inside, s.outside, s.len, false FROM hang JOIN sides s ON s.down = hang.up WHERE s.up NOT IN (SELECT basin FROM b WHERE outer_) AND (hang.down IS NULL OR s.up <> hang.down))"""
+_CARVED = _KRUSKAL + """,
+        turn AS (SELECT inside AS idx, outside AS rec, len AS distance, inside AS last FROM hang WHERE NOT outer_
+            UNION ALL SELECT f.rec, f.idx, f.distance, f.rec FROM turn JOIN flow f ON f.idx = turn.last WHERE f.rec <> f.idx),
+        flow2 AS (SELECT f.idx, coalesce(t.rec, f.rec) AS rec, coalesce(t.distance, f.distance) AS distance, f.z FROM flow f LEFT JOIN turn t ON t.idx = f.idx),
+        path2 AS (SELECT idx, idx AS spot, 0 AS n FROM flow2 UNION ALL SELECT p.idx, f.rec, n + 1 FROM path2 p JOIN flow2 f ON f.idx = p.spot WHERE f.rec <> f.idx),
+        high AS (SELECT p.idx, arg_max(f.z, (f.z, p.n)) AS level, arg_max(p.n, (f.z, p.n)) AS steps FROM path2 p JOIN flow2 f ON f.idx = p.spot GROUP BY p.idx),
+        area2 AS (SELECT spot AS idx, count(*)::DOUBLE AS acc FROM path2 GROUP BY spot)"""
+#: The implicit step along the routes, from the outlets up: K = 1e-3, m = 0.5, n = 1, dt = 1.
+_ERODED = _CARVED + """,
+        filled AS (SELECT idx, level + steps * CASE WHEN level > 0 THEN pow(2.0, floor(log2(level)) - 52) ELSE 0.0 END AS z FROM high),
+        eroded AS (SELECT idx, filled.z, filled.z AS new FROM filled JOIN flow2 USING (idx) WHERE flow2.rec = idx
+            UNION ALL SELECT f.idx, y.z, CASE WHEN y.z <= e.new THEN y.z WHEN e.z > y.z THEN y.z ELSE (y.z + 1e-3 * sqrt(acc) / f.distance * e.new) / (1 + 1e-3 * sqrt(acc) / f.distance) END
+            FROM eroded e JOIN flow2 f ON f.rec = e.idx AND f.idx <> f.rec JOIN filled y ON y.idx = f.idx JOIN area2 a ON a.idx = f.idx)"""
+#: Half a step of diffusion, implicit along c: forward and backward sweeps, a column at a time; a is 0.5 * K * dt.
+_HALF = """,
+        {0}_rhs AS (SELECT r, c, z, z + a * (lag(z) OVER w - 2 * z + lead(z) OVER w) AS rhs, c > 0 AND lead(c) OVER v IS NOT NULL AND lag(z) OVER w IS NOT NULL AND lead(z) OVER w IS NOT NULL AS inner_, a
+            FROM {1}, (SELECT 0.5 * 0.1 AS a) WINDOW w AS (PARTITION BY c ORDER BY r), v AS (PARTITION BY r ORDER BY c)),
+        {0}_fwd AS (SELECT r, 0::BIGINT AS c, 0.0::DOUBLE AS cp, z AS dp FROM {1} WHERE c = 0
+            UNION ALL SELECT g.r, g.c, CASE WHEN inner_ THEN -a / (1 + 2 * a + a * f.cp) ELSE 0.0 END, CASE WHEN inner_ THEN (g.rhs + a * f.dp) / (1 + 2 * a + a * f.cp) ELSE g.z END
+            FROM {0}_fwd f JOIN {0}_rhs g ON g.r = f.r AND g.c = f.c + 1),
+        {0}_bwd AS (SELECT r, c, dp AS x FROM {0}_fwd WHERE c = (SELECT max(c) FROM {1})
+            UNION ALL SELECT f.r, f.c, f.dp - f.cp * b.x FROM {0}_bwd b JOIN {0}_fwd f ON f.r = b.r AND f.c = b.c - 1),
+        {0} AS (SELECT b.r, b.c, CASE WHEN g.inner_ THEN b.x ELSE g.z END AS z FROM {0}_bwd b JOIN {0}_rhs g ON g.r = b.r AND g.c = b.c)"""
 _NEIGHBORS = "SELECT src, slot, dst, distance FROM e"
 _TRIANGLES = """, t AS (SELECT idx AS t0, idx + 1 AS t1, idx + 50 AS t2 FROM dem WHERE r < nr - 1 AND c < 49 UNION ALL SELECT idx + 1, idx + 51, idx + 50 FROM dem WHERE r < nr - 1 AND c < 49),
         h AS (SELECT least(t0, t1) AS a, greatest(t0, t1) AS b FROM t UNION ALL SELECT least(t1, t2), greatest(t1, t2) FROM t UNION ALL SELECT least(t2, t0), greatest(t2, t0) FROM t),
@@ -271,6 +351,29 @@ ORACLE_SQL = {
     "bfs_levels": f"{_d8()} SELECT idx, CAST(depth AS BIGINT) AS level FROM root",
     "basin_size_topk": f"{_d8()} SELECT root AS outlet, count(*) AS n_nodes FROM root GROUP BY root ORDER BY n_nodes DESC, outlet LIMIT 10",
     "basin_graph_edges": f"{_d8()}{_PASSES} SELECT b0, b1, src AS p0, dst AS p1, pe AS pass_elev, distance AS pass_len FROM q WHERE k = 1",
+    "mst_total_weight": f"{_d8()}{_PASSES}{_KRUSKAL} SELECT count(*) AS n_edges, sum(pe) AS total FROM tree WHERE p0 IS NOT NULL",
+    "basin_parents": f"{_d8()}{_PASSES}{_KRUSKAL} SELECT up, down, inside, outside FROM hang WHERE NOT outer_",
+    "mst_carve_receivers": f"{_d8()}{_PASSES}{_CARVED} SELECT idx, rec, distance FROM flow2",
+    "mst_basic_receivers": f"""{_d8()}{_PASSES}{_KRUSKAL},
+        led AS (SELECT h.inside, h.outside, h.len, r.root AS pit, x.z < y.z AS over FROM hang h JOIN root r ON r.idx = h.inside JOIN flow x ON x.idx = h.inside JOIN flow y ON y.idx = h.outside WHERE NOT h.outer_),
+        new AS (SELECT pit AS idx, CASE WHEN over THEN outside ELSE inside END AS rec, 1.7976931348623157e308::DOUBLE AS distance FROM led WHERE over OR pit <> inside UNION ALL SELECT inside, outside, len FROM led WHERE NOT over)
+        SELECT f.idx, coalesce(n.rec, f.rec) AS rec, coalesce(n.distance, f.distance) AS distance FROM flow f LEFT JOIN new n ON n.idx = f.idx""",
+    "mst_fill": f"{_d8()}{_PASSES}{_CARVED} SELECT idx, level, CAST(steps AS BIGINT) AS steps FROM high",
+    "spl_step": f"{_d8()}{_PASSES}{_ERODED} SELECT idx, round(z - new, 6) AS erosion FROM eroded",
+    "diffusion_step": f"""WITH RECURSIVE {_DEM}, start AS (SELECT r, c, z FROM dem){_HALF.format("one", "start")},
+        flipped AS (SELECT c AS r, r AS c, z FROM one){_HALF.format("two", "flipped")}
+        SELECT idx, round(dem.z - two.z, 6) AS erosion FROM dem JOIN two ON two.r = dem.c AND two.c = dem.r""",
+    "ensemble_profiles": """WITH RECURSIVE ranked AS (SELECT CAST(c_nationkey AS BIGINT) AS grid_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, CAST(floor(c_acctbal) AS DOUBLE) AS z, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+        node AS (SELECT grid_id, idx, z FROM ranked WHERE idx < (SELECT min(n) FROM ranked)),
+        near AS (SELECT *, lag(z) OVER w AS before_, lead(z) OVER w AS after_ FROM node WINDOW w AS (PARTITION BY grid_id ORDER BY idx)),
+        flow AS (SELECT grid_id, idx, CASE WHEN idx = 0 THEN idx WHEN before_ < z AND (after_ IS NULL OR before_ <= after_) THEN idx - 1 WHEN after_ < z THEN idx + 1 ELSE idx END AS rec FROM near),
+        path AS (SELECT grid_id, idx AS spot FROM flow UNION ALL SELECT p.grid_id, f.rec FROM path p JOIN flow f ON f.grid_id = p.grid_id AND f.idx = p.spot WHERE f.rec <> f.idx)
+        SELECT f.grid_id, f.idx, f.rec, n * 2.0::DOUBLE AS acc FROM flow f JOIN (SELECT grid_id, spot, count(*) AS n FROM path GROUP BY 1, 2) a ON a.grid_id = f.grid_id AND a.spot = f.idx""",
+    "sphere_areas": """WITH s AS (SELECT count(*) AS k FROM region), pixel AS (SELECT unnest(range(0, CAST(12 * k * k AS BIGINT))) AS idx, k FROM s),
+        up AS (SELECT *, least(idx, 12 * k * k - 1 - idx) AS u, idx >= 6 * k * k AS south FROM pixel),
+        ring AS (SELECT *, CASE WHEN u < 2 * k * (k - 1) THEN CAST(floor((1 + sqrt(1 + 2 * u)) / 2) AS BIGINT) ELSE k + (u - 2 * k * (k - 1)) // (4 * k) END AS i FROM up),
+        high AS (SELECT *, CASE WHEN u < 2 * k * (k - 1) THEN 1 - i * i / (3.0 * k * k) ELSE 2 * (2.0 * k - i) / (3.0 * k) END AS h FROM ring)
+        SELECT idx, round(4 * pi() / (12 * k * k), 12) AS area, round(CASE WHEN south AND h <> 0 THEN -h ELSE h END, 9) AS z FROM high""",
     "mst_carve_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",
     "mst_basic_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",
     "pflood_outlets": f"WITH {_DEM} SELECT count(*) FILTER (r = 0) AS n_outlets, count(*)::DOUBLE AS area FROM dem",

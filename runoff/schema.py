@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import Enum, IntEnum
 
 
@@ -45,6 +46,35 @@ class FlowGraphTraversalDir(Enum):
     BREADTH_UPSTREAM = "breadth_upstream"
 
 
+@dataclass
+class Node:
+    idx: int
+    status: NodeStatus
+
+
+@dataclass
+class Neighbor:
+    idx: int
+    distance: float
+    status: NodeStatus
+
+
+@dataclass
+class RasterNode:
+    row: int
+    col: int
+    status: NodeStatus
+
+
+@dataclass
+class RasterNeighbor:
+    flatten_idx: int
+    row: int
+    col: int
+    distance: float
+    status: NodeStatus
+
+
 EARTH_RADIUS = 6.371e6
 NODE = ["grid_id", "idx"]
 FLOW = "grid_id long, src long, slot int, rec long, distance double, weight double"

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runoff.schema import EARTH_RADIUS, NODE, NodeStatus, RasterConnect
+from runoff.schema import EARTH_RADIUS, NODE, Neighbor, NodeStatus, RasterConnect, RasterNeighbor
 
 #: Which status wins where borders meet: later ones.
 _RANK = [NodeStatus.CORE, NodeStatus.LOOPED, NodeStatus.FIXED_GRADIENT, NodeStatus.FIXED_VALUE]
@@ -112,12 +112,32 @@ class Grid:
         counts = self.edges.groupBy("grid_id", F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
         return self.nodes.select(*NODE).join(counts, NODE, "left").select(*NODE, F.coalesce("n", F.lit(0)).alias("n"))
 
+    def _one(self, idx: int, grid_id: int) -> DataFrame:
+        if not 0 <= idx < self.size:
+            raise IndexError(f"node {idx} is out of range")
+        return self.nodes.where((F.col("grid_id") == grid_id) & (F.col("idx") == idx))
+
+    def node_status(self, idx: int, grid_id: int = 0) -> NodeStatus:
+        return NodeStatus(self._one(idx, grid_id).first()["status"])
+
+    def node_area(self, idx: int, grid_id: int = 0) -> float:
+        return self._one(idx, grid_id).first()["area"]
+
     def neighbors_of(self, idx: int, grid_id: int = 0) -> DataFrame:
         """slot, dst, distance and status of one node's neighbours."""
-        found = self.neighbors(self.nodes.where((F.col("grid_id") == grid_id) & (F.col("idx") == idx)))
+        found = self.neighbors(self._one(idx, grid_id))
         there = self.nodes.select("grid_id", F.col("idx").alias("dst"), "status")
         return found.join(there, ["grid_id", "dst"]).select("slot", "dst", "distance", "status").orderBy("slot")
 
+    def neighbor_records(self, idx: int, grid_id: int = 0) -> list[Neighbor]:
+        return [Neighbor(r["dst"], r["distance"], NodeStatus(r["status"])) for r in self.neighbors_of(idx, grid_id).collect()]
+
+    def neighbors_indices(self, idx: int, grid_id: int = 0) -> list[int]:
+        return [n.idx for n in self.neighbor_records(idx, grid_id)]
+
+    def neighbors_distances(self, idx: int, grid_id: int = 0) -> list[float]:
+        return [n.distance for n in self.neighbor_records(idx, grid_id)]
+
 
 def _ids(spark: SparkSession, size: int, grids: int) -> DataFrame:
     return spark.range(grids * size).select(F.floor(F.col("id") / size).cast("long").alias("grid_id"), (F.col("id") % size).alias("idx"))
@@ -235,11 +255,19 @@ class RasterGrid(_Regular):
         return self.nodes.select(*NODE, (3 * part("row", self.shape[0]) + part("col", self.shape[1])).alias("code"))
 
     def ravel_idx(self, row: int, col: int) -> int:
+        if not (0 <= row < self.shape[0] and 0 <= col < self.shape[1]):
+            raise IndexError(f"node ({row}, {col}) is out of range")
         return row * self.shape[1] + col
 
     def unravel_idx(self, idx: int) -> tuple[int, int]:
+        if not 0 <= idx < self.size:
+            raise IndexError(f"node {idx} is out of range")
         return divmod(idx, self.shape[1])
 
+    def raster_neighbors(self, row: int, col: int, grid_id: int = 0) -> list[RasterNeighbor]:
+        """The neighbours of the node at a row and column."""
+        return [RasterNeighbor(n.idx, *self.unravel_idx(n.idx), n.distance, n.status) for n in self.neighbor_records(self.ravel_idx(row, col), grid_id)]
+
 
 def mesh_edges(triangles: DataFrame) -> DataFrame:
     """grid_id, a, b, uses: each undirected edge once, a < b."""
@@ -269,9 +297,9 @@ class TriMesh(Grid):
         edges = mesh_edges(triangles)
         size = points.count()
         if isinstance(nodes_status, DataFrame):
-            if nodes_status.count() != size:
-                raise ValueError("a status is needed for every node")
-            status = points.select(*NODE).join(nodes_status.select(*NODE, "status"), NODE)
+            status = points.select(*NODE).join(nodes_status.select(*NODE, F.col("status").cast("byte").alias("status")), NODE)
+            if nodes_status.count() != size or status.distinct().count() != size or status.where("status is null").limit(1).count():
+                raise ValueError("a status is needed for every node, once")
         elif nodes_status:
             status = points.select(*NODE, _overridden(F.lit(0), nodes_status, size).alias("status"))
         else:
@@ -387,10 +415,12 @@ def healpix_neighbors(pixel: np.ndarray, nside: int) -> np.ndarray:
 class HealpixGrid(Grid):
     """12 * nside**2 pixels of equal area in RING order; nodes carry lon, lat (radians) and x, y, z (times radius)."""
 
-    def __init__(self, spark: SparkSession, nside: int, nodes_status: Mapping[int, NodeStatus] | None = None, radius: float = EARTH_RADIUS, strict: bool = False) -> None:
+    def __init__(self, spark: SparkSession, nside: int, nodes_status: Mapping[int, NodeStatus] | DataFrame | None = None, radius: float = EARTH_RADIUS, strict: bool = False) -> None:
         size = 12 * nside * nside
-        given = dict(nodes_status or {})
-        if NodeStatus.LOOPED in given.values():
+        table = nodes_status if isinstance(nodes_status, DataFrame) else None
+        given = {} if table is not None else dict(nodes_status or {})
+        statuses = {r["status"] for r in table.select("status").distinct().collect()} if table is not None else set(given.values())  # one row a status
+        if NodeStatus.LOOPED in statuses:
             raise ValueError("looped nodes don't exist on a sphere")
         self.nside, self.radius, self.strict = nside, radius, strict
 
@@ -400,9 +430,17 @@ class HealpixGrid(Grid):
                 yield pd.DataFrame({"grid_id": rows["grid_id"], "idx": rows["idx"], "lon": lon, "lat": lat, "x": radius * np.cos(lat) * np.cos(lon), "y": radius * np.cos(lat) * np.sin(lon), "z3": radius * np.sin(lat)})
 
         placed = _ids(spark, size, 1).mapInPandas(place, "grid_id long, idx long, lon double, lat double, x double, y double, z3 double")
-        nodes = placed.select("*", _overridden(F.lit(0), given, size).alias("status"), F.lit(4 * math.pi * radius**2 / size).alias("area"))
-        super().__init__(nodes, size, (size,), False, True, 8)
-        self.ghosts = nodes.where(F.col("status") == int(NodeStatus.GHOST)).select(*NODE) if NodeStatus.GHOST in given.values() else None
+        if table is None:
+            placed = placed.withColumn("status", _overridden(F.lit(0), given, size))
+        else:
+            if table.where((F.col("idx") < 0) | (F.col("idx") >= size)).limit(1).count():
+                raise IndexError("a node of the status table is out of range")
+            if table.groupBy("idx").count().where("count > 1").limit(1).count():
+                raise ValueError("a node has more than one status")
+            placed = placed.join(table.select("idx", F.col("status").cast("byte").alias("status")), "idx", "left").withColumn("status", F.coalesce("status", F.lit(0).cast("byte")))
+        nodes = placed.select(*NODE, "lon", "lat", "x", "y", "z3", "status", F.lit(4 * math.pi * radius**2 / size).alias("area"))
+        super().__init__(nodes, size, (size,), False, True, 8, _n_nodes=size)
+        self.ghosts = nodes.where(F.col("status") == int(NodeStatus.GHOST)).select(*NODE) if NodeStatus.GHOST in statuses else None
 
     def nodes_lonlat(self) -> DataFrame:
         return self.nodes.select(*NODE, "lon", "lat")

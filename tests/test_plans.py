@@ -1,14 +1,18 @@
 """Plans over all nodes against the way that gathers a surface, and what must be refused."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runoff.operators import grouped
-from runoff.plans.graph import FlowGraph, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter
+from runoff.operators.kernels import COLUMN, SCALAR, FlowKernelEroder, create_flow_kernel
+from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
 from runoff.plans.iterate import ancestors, sum_downstream
-from runoff.schema import MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
-from runoff.sources.grids import ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid
+from runoff.schema import FlowDirection, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
+from runoff.sources.grids import HealpixGrid, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh
+from runoff.sources.surfaces import synthetic
 
 C, F_, L = NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.LOOPED
 BOTTOM = RasterBoundaryStatus(C, C, C, F_)
@@ -137,3 +141,131 @@ def test_order_and_donors(spark):
     multi.update_routes(surfaces(spark, [0, 0.2, 0.1, 0.2, 0.4, 0.6, 0.3, 0]))
     assert all(len(r["receivers"]) == len(r["weights"]) for r in multi.receivers().collect())
     assert grouped.LOCAL_NODES >= 1 << 10
+
+
+def test_large_surfaces_as_in_a_task(spark, monkeypatch):
+    """Flooding, erosion and diffusion of surfaces too large for a task."""
+    rng = np.random.default_rng(8)
+    z = rng.random((13, 9)) * 50
+    grid = RasterGrid(spark, (13, 9), (2.0, 3.0), BOTTOM)
+    k = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(rng.random(117))], "grid_id long, idx long, k double")
+
+    def outcome():
+        flooded = FlowGraph(grid, [PFloodSinkResolver(), SingleFlowRouter()])
+        flooded.set_mask([40, 41, 42])
+        filled = rows(flooded.update_routes(surfaces(spark, z)), "grid_id", "idx", "z")
+        plain = FlowGraph(grid, [SingleFlowRouter()])
+        plain.update_routes(surfaces(spark, z))
+        eroded = rows(SPLEroder(plain, k, 0.4, 1.0).erode(surfaces(spark, z), plain.accumulate(1.0), 10.0), "grid_id", "idx", "erosion")
+        return filled, rows(DiffusionADIEroder(grid, k).erode(surfaces(spark, z), 0.5), "grid_id", "idx", "erosion"), eroded
+
+    small = outcome()
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 30)
+    large = outcome()
+    assert small[:2] == large[:2] and [r[:2] for r in small[2]] == [r[:2] for r in large[2]]
+    assert np.allclose([r[2] for r in small[2]], [r[2] for r in large[2]], atol=1e-9) and max(r[2] for r in large[2]) > 1
+
+
+def test_kernels(spark):
+    grid = ProfileGrid(spark, 8, 1.0, ProfileBoundaryStatus.of(F_))
+    graph = FlowGraph(grid, [SingleFlowRouter()])
+    graph.update_routes(surfaces(spark, [0, 0.2, 0.1, 0.2, 0.4, 0.6, 0.3, 0]))
+
+    def depth(node):
+        node.d = node.receivers.d[0] + node.step if node.receivers.distance[0] > 0 else 0.0
+
+    found = []
+    for threads in (1, 2):
+        kernel, data = create_flow_kernel(graph, depth, {"d": COLUMN, "step": SCALAR}, apply_dir=FlowGraphTraversalDir.BREADTH_UPSTREAM, outputs=["d"], n_threads=threads)
+        with pytest.raises(ValueError):
+            graph.apply_kernel(kernel, data)
+        data.bind(d=np.full(8, 7.0), step=2.0)
+        found.append(rows(graph.apply_kernel(kernel, data), "grid_id", "idx", "d"))
+        assert rows(data.d, "grid_id", "idx", "value") == found[-1]
+    assert found[0] == found[1] and [d for *_, d in found[0]] == [0, 2, 0, 2, 4, 4, 2, 0]
+    assert data.var_names == ("d", "step") and data.grid_var_names == ("d",) and len(data) == 2 and data["step"] == 2.0 and data.missing is None
+    with pytest.raises(ValueError):
+        data.bind(d=np.zeros(7))
+    with pytest.raises(KeyError):
+        data.bind(other=1.0)
+    with pytest.raises(TypeError):
+        create_flow_kernel(graph, lambda node, more: None, {"d": COLUMN}, outputs=["d"])
+    with pytest.raises(ValueError):
+        create_flow_kernel(graph, depth, {"d": COLUMN}, outputs=["d"], n_threads=2)
+
+
+@pytest.mark.parametrize(("threads", "output"), [(1, "a"), (2, "b")])
+def test_kernels_write_outputs_only(spark, threads, output):
+    graph = FlowGraph(ProfileGrid(spark, 3, 1.0, ProfileBoundaryStatus.of(F_)), [SingleFlowRouter()])
+    graph.update_routes(surfaces(spark, [0, 1, 2]))
+
+    def push(node):
+        node.receivers.b = 9.0
+
+    kernel, data = create_flow_kernel(graph, push, {"a": (COLUMN, 1.0), "b": (COLUMN, 2.0)}, apply_dir=FlowGraphTraversalDir.ANY, outputs=[output], n_threads=threads)
+    with pytest.raises(Exception, match="no output"):
+        graph.apply_kernel(kernel, data)
+
+
+def test_depth_order():
+    src, rec = np.arange(8), np.array([0, 0, 2, 2, 3, 6, 7, 7])
+    assert grouped.depth_order(8, src, rec) == [0, 1, 2, 3, 4, 7, 6, 5]
+    many = grouped.depth_order(4, np.array([0, 1, 2, 3, 3]), np.array([0, 0, 0, 1, 2]))
+    assert sorted(many) == [0, 1, 2, 3] and many[0] == 0 and many[-1] == 3
+
+
+def test_single_nodes(spark):
+    grid = RasterGrid.from_length(spark, (3, 4), (2.0, 6.0), BOTTOM)
+    assert grid.spacing == (1.0, 2.0) and grid.node_status(11) == F_ and grid.node_area(0) == 2.0
+    assert grid.neighbors_indices(0) == [1, 4, 5] and grid.neighbors_distances(0) == pytest.approx([2.0, 1.0, 5**0.5])
+    assert [(n.row, n.col, n.status) for n in grid.raster_neighbors(2, 3)] == [(1, 2, C), (1, 3, C), (2, 2, F_)]
+    assert ProfileGrid.from_length(spark, 5, 8.0, ProfileBoundaryStatus.of(C)).spacing == 2.0
+    for call in (lambda: grid.node_status(12), lambda: grid.neighbors_of(-1), lambda: grid.ravel_idx(3, 0), lambda: grid.unravel_idx(12)):
+        with pytest.raises(IndexError):
+            call()
+
+
+def test_status_tables(spark):
+    table = spark.createDataFrame([(0, int(NodeStatus.GHOST)), (5, int(F_))], "idx long, status int")
+    sphere = HealpixGrid(spark, 2, table)
+    plain = HealpixGrid(spark, 2, {0: NodeStatus.GHOST, 5: F_})
+    assert rows(sphere.nodes, "grid_id", "idx", "status") == rows(plain.nodes, "grid_id", "idx", "status")
+    assert sphere.edges.count() == plain.edges.count()
+    with pytest.raises(ValueError):
+        HealpixGrid(spark, 2, table.unionByName(table))
+    points = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0), (0, 2, 0.0, 1.0)], "grid_id long, idx long, x double, y double")
+    triangles = spark.createDataFrame([(0, 0, 1, 2)], "grid_id long, t0 long, t1 long, t2 long")
+    with pytest.raises(ValueError):
+        TriMesh(points, triangles, spark.createDataFrame([(0, 0, 1), (0, 0, 1), (0, 1, 0)], "grid_id long, idx long, status int"))
+
+
+def test_snapshots_own_operators_and_eroders(spark):
+    class Lift:
+        name, elevation_updated, graph_updated = "Lift", True, False
+        in_flowdir = out_flowdir = FlowDirection.UNDEFINED
+
+        def apply(self, state):
+            return replace(state, surface=state.surface.withColumn("z", F.col("z") + 1))
+
+    graph = FlowGraph(ProfileGrid(spark, 4, 1.0, ProfileBoundaryStatus(F_, C)), [FlowSnapshot("raw", save_graph=False, save_elevation=True), Lift(), SingleFlowRouter()])
+    z = surfaces(spark, [0, 1, 2, 3])
+    assert [r[2] for r in rows(graph.update_routes(z), "grid_id", "idx", "z")] == [1, 2, 3, 4]
+    assert graph.elevation_snapshot_keys() == ["raw"] and [r[2] for r in rows(graph.elevation_snapshot("raw"), "grid_id", "idx", "z")] == [0, 1, 2, 3]
+
+    class Slope(FlowKernelEroder):
+        param_spec = staticmethod(lambda: ["k"])
+        input_spec = staticmethod(lambda: ["h"])
+        kernel_apply_dir = staticmethod(lambda: FlowGraphTraversalDir.ANY)
+
+        @staticmethod
+        def eroder_kernel(node):
+            node.erosion = node.k * (node.h - node.receivers.h[0])
+
+    heights = z.withColumnRenamed("z", "value")
+    assert [r[2] for r in rows(Slope(graph).erode(k=0.5, h=heights), "grid_id", "idx", "erosion")] == [0, 0.5, 0.5, 0.5]
+    with pytest.raises(KeyError):
+        Slope(graph).erode(k=0.5)
+    with pytest.raises(ValueError):
+        Slope(graph).erode(k=0.5, h=heights, more=1)
+    cone = {r["idx"]: r["z"] for r in synthetic(RasterGrid(spark, (3, 3), (1.0, 1.0), BOTTOM), "cone").collect()}
+    assert cone[4] == pytest.approx(2**0.5) and cone[0] == pytest.approx(0)
