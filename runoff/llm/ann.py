@@ -17,7 +17,7 @@ never the pairs. Only three numbers of each range, its M, mean square and count,
 
 Defined results: rows whose identifier or vector is null, whose vector is zero, holds a null or non-finite component or
 isn't as long as most vectors are, take no part. Equal scores go by the smaller identifier. A query's own identifier is
-never its neighbour; rows that share an identifier count once. Empty tables give empty results; extra columns are
+never its neighbour; rows that share an identifier count once; very long vectors are vectors like any other. Empty tables give empty results; extra columns are
 ignored.
 """
 

@@ -7,7 +7,7 @@ rises; the emptiest bins give first, so they run empty and go, and the fullest t
 gives and takes, until none has a step left. What lies in bins filled below LOOSE meets again in larger groups
 for a second pass. Only identifiers, lengths and checksums are shuffled, never texts.
 
-Defined results: null and empty texts are one token, END. Rows that share an identifier are packed as documents of
+Defined results: null and empty texts are one token, END; texts of any length are cut into pieces, none is dropped. Rows that share an identifier are packed as documents of
 their own. An empty table gives an empty result. Extra columns are ignored.
 """
 

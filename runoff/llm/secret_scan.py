@@ -8,7 +8,7 @@ unless an allow-list pattern matches it or it overlaps a pattern's span.
 
 All of it is one pass without a shuffle; a text is split only by patterns that it holds. Places are code points.
 
-Defined results: null text is empty. Equal rows give equal results. Empty tables give empty results. Extra columns are
+Defined results: null text is empty; texts of any length are scanned whole. Equal rows give equal results. Empty tables give empty results. Extra columns are
 ignored.
 """
 

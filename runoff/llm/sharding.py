@@ -7,7 +7,9 @@ is gathered in one task or broadcast is the map or a count for each cell: SLOTS
 records there are.
 
 Defined results: null text has no bytes, a null identifier hashes like any other value; rows repeated in full share a
-slot and take places of their own. An empty table gives an empty result and a map of empty slots.
+slot and take places of their own. Equal texts with different identifiers may lie in different shards: a group of them
+may hold a third of all rows, which no one shard can take under the law `bytes`. Of a text of any length only its size
+and checksum are kept. An empty table gives an empty result and a map of empty slots. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -213,6 +213,28 @@ def test_secrets(docs, none):
     assert secret_scan.summary(secret_scan.scan(none)).count() == 0
 
 
+def test_entropy_of_windows(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "0123456789abcdef", secret_scan.ALPHABET) for n in (5, 19, 20, 21, 60)]
+    got = [r["e"] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", secret_scan.most_entropy(F.col("w")).alias("e")).orderBy("i").collect()]
+
+    def entropy(part):
+        return -sum(c / len(part) * np.log2(c / len(part)) for c in Counter(part).values())
+
+    expected = [max((entropy(w[i : i + 20]) for i in range(len(w) - 19)), default=0.0) for w in words]
+    assert np.allclose(got, expected, atol=1e-12)
+
+
+def test_shards_hold_nearly_equal_bytes(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randint(0, 4000), "s", 1) for i in range(20_000)] + [(90_000 + i, "the same " * 40, "s", 1) for i in range(6_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int"), 24, new_path(spark, "maps")).groupBy("shard").sum("size").collect()
+    sizes = [r["sum(size)"] for r in got]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 24
+
+
 def test_secrets_of_letters(spark):
     rng = random.Random(11)
     letters = "abcdefghijklmnopqrstuvwxyz"
