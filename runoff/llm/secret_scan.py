@@ -2,9 +2,10 @@
 
 Patterns give spans of the kinds assign, access and hex. Other candidates are runs of CANDIDATE characters. A window of
 WINDOW characters slides along each; its Shannon entropy comes from counts of which each step changes two, by
-H = log2(W) - sum(c * log2(c)) / W. A candidate is of the class of its characters (hexadecimal, lower-case letters,
-upper-case letters, letters, mixed), and is a span of the kind entropy if some window reaches its class's threshold,
-unless an allow-list pattern matches it or it overlaps a pattern's span.
+H = log2(W) - sum(c * log2(c)) / W. A candidate that meets patterns' spans is cut to what lies outside them. It is of
+the class of its characters (hexadecimal, lower-case letters, upper-case letters, letters, mixed), and is a span of the
+kind entropy if some window reaches its class's threshold, unless an allow-list pattern matches all of it. Windows that
+touch a placeholder don't count, those beside it do.
 
 All of it is one pass without a shuffle; a text is split only by patterns that it holds. Places are code points.
 
@@ -33,13 +34,16 @@ WINDOW = 20
 #: theirs in 68, 83 and 95 %, of upper-case ones in 84, 94 and 99 %, of both cases in 96, 99 and 100 %; so do 6 of 38
 #: words of 19 letters or more and 6 of 16 identifiers in camel case.
 BITS = {"hex": 3.0, "lower": 3.6, "upper": 3.5, "letters": 3.7, "mixed": 3.7}
-#: Candidates that are no secrets: identifiers in canonical form, paths and dates, alphabets, placeholders.
+#: A word, or up to four words in camel case, and a short number.
+_NAME = "(?:[A-Z]{1,15}|[A-Z]?[a-z]{0,14}(?:[A-Z][a-z]{1,14}){0,3})[0-9]{0,4}"
+#: Candidates that are no secrets: identifiers in canonical form, separators, numbers and dates, paths and compound names.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[/_=+-]*$|^[0-9/_=+-]*$",
-    r"^/?(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}/?$",
-    r"(?i)0123456789|abcdefghij|qwertyuiop|example|placeholder|x{6}|your[_-]?",
+    f"^(?:{_NAME}[/_-])+{_NAME}$",
 )
+#: Alphabets and stand-ins within a candidate.
+PLACEHOLDER = r"(?i)0123456789|abcdefghij|qwertyuiop|example|placeholder|x{6,}|your[_-]"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -83,7 +87,21 @@ def most_entropy(candidate: Column, window: int = WINDOW) -> Column:
     return F.aggregate(indexed, start, step, lambda acc: acc["best"])
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def _outside(x: Column, spans: Column, least: int) -> Column:
+    """The parts of a match (start, end, text) that lie in none of the sorted spans and have least characters or more."""
+    met = F.filter(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    start = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        gap = F.struct(acc["at"].alias("start"), b["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    gaps = F.aggregate(met, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["end"].alias("end")))))
+    text = lambda g: F.substring(x["m"], g["start"] - x["start"] + 1, g["end"] - g["start"])
+    return F.transform(F.filter(gaps, lambda g: g["end"] - g["start"] >= least), lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), text(g).alias("m")))
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ALLOWED, placeholder: str = PLACEHOLDER) -> DataFrame:
     """doc_id, base and found: arrays of (start, rank of the kind, end), the patterns' spans and the entropy spans."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = F.col("_t")
@@ -97,12 +115,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", allowed: t
     def secret(x: Column) -> Column:
         m = x["m"]
         bits = F.when(m.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(m.rlike("^[a-z]+$"), BITS["lower"]).when(m.rlike("^[A-Z]+$"), BITS["upper"]).when(m.rlike("^[A-Za-z]+$"), BITS["letters"]).otherwise(BITS["mixed"])
-        free = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        free = F.lit(True)
         for pattern in allowed:
             free = free & ~m.rlike(pattern)
-        return free & F.when(free, most_entropy(m) >= bits).otherwise(False)
+        most = F.array_max(F.transform(F.split(m, placeholder, -1), lambda part: most_entropy(part)))
+        return free & F.when(free, most >= bits).otherwise(False)
 
-    return rows.select("doc_id", "base", _spans(t, "entropy", CANDIDATE, F.filter(_placed(t, CANDIDATE), secret)).alias("found"))
+    candidates = F.flatten(F.transform(_placed(t, CANDIDATE), lambda x: _outside(x, F.col("base"), WINDOW)))
+    return rows.select("doc_id", "base", _spans(t, "entropy", CANDIDATE, F.filter(candidates, secret)).alias("found"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

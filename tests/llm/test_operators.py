@@ -248,6 +248,24 @@ def test_secrets_of_letters(spark):
     assert found[0] >= 85 and found[1] >= 90 and found[2] >= 95 and found[9] == 0
 
 
+def test_secrets_beside_what_is_allowed(spark):
+    key, word = "Zq7KpX2mVb9RtY4nLw8C", "e2d9b1f07a6c4385e2d9b1f07a6c4385"
+    spans = {
+        f"{key}": "entropy:0:20",
+        "sk-AbQdEfTjXkZmWpCrLsGu": "entropy:0:23",  # a separator and letters only, but no words
+        f"your_example-{key}": "entropy:0:33",  # a placeholder beside a key
+        "your_example_placeholder_xxxxxxxxxxxx": "",
+        f"{word}{key}": "hex:0:32,entropy:32:52",  # beyond a base span
+        f"my_secret={key}": "assign:3:30",
+        "src/main/javaSource/readMeFirst/Index2": "",
+        "123e4567-e89b-12d3-a456-426614174000": "",
+        "2024-01-01/2025-12-31/0099": "",
+    }
+    rows = [(i, t, 1) for i, t in enumerate(spans)]
+    got = secret_scan.summary(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, base int"))).orderBy("doc_id").collect()
+    assert [r["spans"] for r in got] == list(spans.values())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
