@@ -359,10 +359,10 @@ ORACLE_SQL = {
         new AS (SELECT pit AS idx, CASE WHEN over THEN outside ELSE inside END AS rec, 1.7976931348623157e308::DOUBLE AS distance FROM led WHERE over OR pit <> inside UNION ALL SELECT inside, outside, len FROM led WHERE NOT over)
         SELECT f.idx, coalesce(n.rec, f.rec) AS rec, coalesce(n.distance, f.distance) AS distance FROM flow f LEFT JOIN new n ON n.idx = f.idx""",
     "mst_fill": f"{_d8()}{_PASSES}{_CARVED} SELECT idx, level, CAST(steps AS BIGINT) AS steps FROM high",
-    "spl_step": f"{_d8()}{_PASSES}{_ERODED} SELECT idx, round(z - new, 6) AS erosion FROM eroded",
+    "spl_step": f"{_d8()}{_PASSES}{_ERODED} SELECT idx, round(z - new, 6) + 0 AS erosion FROM eroded",
     "diffusion_step": f"""WITH RECURSIVE {_DEM}, start AS (SELECT r, c, z FROM dem){_HALF.format("one", "start")},
         flipped AS (SELECT c AS r, r AS c, z FROM one){_HALF.format("two", "flipped")}
-        SELECT idx, round(dem.z - two.z, 6) AS erosion FROM dem JOIN two ON two.r = dem.c AND two.c = dem.r""",
+        SELECT idx, round(dem.z - two.z, 6) + 0 AS erosion FROM dem JOIN two ON two.r = dem.c AND two.c = dem.r""",
     "ensemble_profiles": """WITH RECURSIVE ranked AS (SELECT CAST(c_nationkey AS BIGINT) AS grid_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, CAST(floor(c_acctbal) AS DOUBLE) AS z, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
         node AS (SELECT grid_id, idx, z FROM ranked WHERE idx < (SELECT min(n) FROM ranked)),
         near AS (SELECT *, lag(z) OVER w AS before_, lead(z) OVER w AS after_ FROM node WINDOW w AS (PARTITION BY grid_id ORDER BY idx)),
