@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runoff.plans.iterate import ancestors, dense_index, durable, levels, sum_by_levels, sum_downstream
+from runoff.plans.iterate import ancestors, dense_index, doubled, durable, levels, sum_by_levels, sum_downstream
 from runoff.schema import NODE
 
 
@@ -57,6 +57,26 @@ def bfs_order(flow: DataFrame, single: bool = True) -> DataFrame:
     return dense_index(bfs_levels(flow, single), "level", "idx", name="place", within="grid_id")
 
 
+def dfs_order(flow: DataFrame) -> DataFrame:
+    """grid_id, idx, place: from each outlet up, depth first, for a single-receiver flow.
+
+    A node on top of the stack is taken off and its donors come next in the order, by number; then they are put on the
+    stack. Nodes are so taken off in preorder, larger donors first: a node's turn is the sum, along its path, of one and
+    of the nodes that drain through its larger siblings. The order is then by outlet, turn of the receiver and number.
+    """
+    counted = sum_downstream(flow, flow.select("grid_id", F.col("src").alias("idx"), F.lit(1.0).alias("n")), "n")
+    one = durable(flow.select("grid_id", F.col("src").alias("idx"), "rec").join(counted, NODE))
+    larger = Window.partitionBy("grid_id", "rec").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    below = one.where("idx <> rec").select(*NODE, (F.coalesce(F.sum("n").over(larger), F.lit(0.0)) + 1).cast("long").alias("turn"))
+    turns = below.unionByName(one.where("idx = rec").select(*NODE, F.lit(0).cast("long").alias("turn")))
+    own = one.join(turns, NODE).select(*NODE, "turn", F.col("rec").alias("root"))
+    known = durable(doubled(flow, own, {"turn": F.col("turn") + F.col("turn_up"), "root": F.col("root_up")}))
+    after = known.select("grid_id", F.col("idx").alias("rec"), F.col("turn").alias("after"))
+    upper = one.where("idx <> rec").select(*NODE, "rec").join(after, ["grid_id", "rec"]).select(*NODE, "after")
+    placed = known.join(upper, NODE, "left").select(*NODE, "root", F.coalesce("after", F.lit(-1)).alias("after"))
+    return dense_index(placed, "root", "after", "idx", name="place", within="grid_id").select(*NODE, "place")
+
+
 def bfs_levels(flow: DataFrame, single: bool = True) -> DataFrame:
     """grid_id, idx, level."""
     return ancestors(flow).select(*NODE, F.col("depth").alias("level")) if single else levels(flow)

@@ -263,6 +263,11 @@ class FlowGraph:
     def bfs_order(self) -> DataFrame:
         return analytics.bfs_order(self.flow, self.single_flow)
 
+    def dfs_order(self) -> DataFrame:
+        """grid_id, idx, place: depth first from the outlets; with several receivers bfs_order, where each node also comes
+        after all its receivers."""
+        return analytics.dfs_order(self.flow) if self.single_flow else self.bfs_order().drop("level")
+
     def receivers(self) -> DataFrame:
         """grid_id, idx and by slot: receivers, distances, weights."""
         each = F.sort_array(F.collect_list(F.struct("slot", "rec", "distance", "weight")))

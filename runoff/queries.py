@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 from runoff.functions.ordinals import ordinal_column
 from runoff.operators import analytics
-from runoff.operators.kernels import COLUMN, create_flow_kernel
+from runoff.operators.kernels import COLUMN, SCALAR, FlowKernelEroder, create_flow_kernel
 from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
 from runoff.plans.iterate import dense_index, durable
-from runoff.schema import NODE, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
+from runoff.schema import NODE, FlowDirection, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
 from runoff.sources.grids import HealpixGrid, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh, mesh_edges
-from runoff.sources.surfaces import COLS, orders_raster
+from runoff.sources.surfaces import COLS, orders_raster, synthetic
 
 _CORE, _FIXED, _GRADIENT, _LOOPED = NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.FIXED_GRADIENT, NodeStatus.LOOPED
 _ALL_LOOPED = RasterBoundaryStatus.of(_LOOPED)
@@ -181,18 +182,146 @@ def trimesh_areas(spark, sf_dir) -> DataFrame:
     return mesh.nodes.select("idx", F.col("status").cast("int").alias("status"), F.round("area", 6).alias("area"))
 
 
-def kernel_accumulate(spark, sf_dir) -> DataFrame:
+def mesh_receivers(spark, sf_dir) -> DataFrame:
+    """Routes over a mesh whose statuses come from a table: its lower side is the base."""
+    points, triangles = _lattice(spark, sf_dir)
+    mesh = TriMesh(points, triangles, points.select(*NODE, (F.col("y") == 0).cast("int").alias("status")))
+    graph = FlowGraph(mesh, [SingleFlowRouter()])
+    graph.update_routes(orders_raster(spark, sf_dir)[1])
+    return graph.flow.select(F.col("src").alias("idx"), "rec", "distance")
+
+
+def kernel_accumulate(spark, sf_dir, apply_dir=FlowGraphTraversalDir.BREADTH_DOWNSTREAM) -> DataFrame:
     graph = _routed(spark, sf_dir)
 
     def push(node):
         if node.receivers.count and node.receivers.distance[0] > 0:
             node.receivers.acc = node.receivers.acc + node.acc * node.receivers.weight
 
-    kernel, data = create_flow_kernel(graph, push, {"acc": COLUMN}, apply_dir=FlowGraphTraversalDir.BREADTH_DOWNSTREAM, outputs=["acc"])
+    kernel, data = create_flow_kernel(graph, push, {"acc": COLUMN}, apply_dir=apply_dir, outputs=["acc"])
     data.bind(acc=graph.grid.nodes.select(*NODE, F.col("area").alias("value")))
     return graph.apply_kernel(kernel, data).drop("grid_id")
 
 
+def kernel_lengths(spark, sf_dir, apply_dir, n_threads=1) -> DataFrame:
+    """Twice the length of the way to the outlet, from the outlets up."""
+    graph = _routed(spark, sf_dir)
+
+    def extend(node):
+        node.d = node.receivers.d[0] + node.factor * node.receivers.distance[0] if node.receivers.distance[0] > 0 else 0.0
+
+    kernel, data = create_flow_kernel(graph, extend, {"d": (COLUMN, 0.0), "factor": (SCALAR, 2.0)}, apply_dir=apply_dir, outputs=["d"], n_threads=n_threads)
+    return graph.apply_kernel(kernel, data).select("idx", F.round("d", 6).alias("d"))
+
+
+class _Relaxing(FlowKernelEroder):
+    """Takes a share of the step to the receiver off each node."""
+
+    param_spec = staticmethod(lambda: ["share"])
+    input_spec = staticmethod(lambda: ["z"])
+    kernel_apply_dir = staticmethod(lambda: FlowGraphTraversalDir.ANY)
+
+    @staticmethod
+    def eroder_kernel(node):
+        node.erosion = node.share * (node.z - node.receivers.z[0])
+
+
+def kernel_erosion(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir)
+    return _Relaxing(graph).erode(share=0.25, z=graph.state.surface.select(*NODE, F.col("z").alias("value"))).drop("grid_id")
+
+
+class _Terraces:
+    """An operator of one's own: elevations in steps of 64."""
+
+    name, elevation_updated, graph_updated = "Terraces", True, False
+    in_flowdir = out_flowdir = FlowDirection.UNDEFINED
+
+    def apply(self, state):
+        return replace(state, surface=state.surface.withColumn("z", 64.0 * F.floor(F.col("z") / 64)))
+
+
+def own_operator(spark, sf_dir) -> DataFrame:
+    graph = _routed(spark, sf_dir, _Terraces(), SingleFlowRouter())
+    return graph.flow.select(F.col("src").alias("idx"), "rec").join(graph.state.surface.select("idx", "z"), "idx")
+
+
+def elevation_snapshot(spark, sf_dir) -> DataFrame:
+    """Elevations before sinks are resolved, and which of them filling raises."""
+    graph = _routed(spark, sf_dir, FlowSnapshot("raw", save_graph=False, save_elevation=True), SingleFlowRouter(), MSTSinkResolver())
+    now = graph.state.surface.select(*NODE, F.col("z").alias("filled"))
+    return graph.elevation_snapshot("raw").join(now, NODE).select("idx", "z", (F.col("filled") > F.col("z")).alias("raised"))
+
+
+def _spaced(spark, sf_dir) -> RasterGrid:
+    """A raster by its lengths, with statuses of single nodes."""
+    rows = orders_raster(spark, sf_dir)[0].shape[0]
+    bounds = RasterBoundaryStatus(_FIXED, _GRADIENT, _GRADIENT, _CORE)
+    return RasterGrid.from_length(spark, (rows, COLS), (2.0 * (rows - 1), 3.0 * (COLS - 1)), bounds, {COLS + 1: NodeStatus.GHOST, 2 * COLS + 7: _FIXED, 3: _CORE})
+
+
+def spaced_nodes(spark, sf_dir) -> DataFrame:
+    grid = _spaced(spark, sf_dir)
+    found = grid.nodes_indices().join(grid.nodes_status(), NODE).join(grid.nodes_areas(), NODE)
+    return found.select("idx", F.col("status").cast("int").alias("status"), "area")
+
+
+def neighbor_records(spark, sf_dir) -> DataFrame:
+    return _spaced(spark, sf_dir).neighbors_records().drop("grid_id").withColumn("status", F.col("status").cast("int"))
+
+
+def profile_edges(spark, sf_dir) -> DataFrame:
+    """A ring as long as two and a half times the number of parts."""
+    size = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    return ProfileGrid.from_length(spark, size, 2.5 * (size - 1), ProfileBoundaryStatus.of(_LOOPED)).edges.drop("grid_id")
+
+
+def own_base_levels(spark, sf_dir) -> DataFrame:
+    """Receivers and pits where every 97th node is a base level and row 0 isn't."""
+    grid, dem = orders_raster(spark, sf_dir)
+    graph = FlowGraph(grid, [SingleFlowRouter()])
+    graph.set_base_levels(F.col("idx") % 97 == 5)
+    graph.update_routes(dem)
+    pit = graph.pits().withColumn("pit", F.lit(True))
+    found = graph.flow.select("grid_id", F.col("src").alias("idx"), "rec").join(pit, NODE, "left")
+    return found.select("idx", "rec", F.coalesce("pit", F.lit(False)).alias("pit"))
+
+
+def donor_lists(spark, sf_dir) -> DataFrame:
+    return _routed(spark, sf_dir).donors().select("idx", F.array_join("donors", ",").alias("donors"))
+
+
+def receiver_lists(spark, sf_dir) -> DataFrame:
+    found = _routed(spark, sf_dir, MultiFlowRouter(1.0)).receivers()
+    total = F.aggregate("distances", F.lit(0.0), lambda a, x: a + x)
+    return found.select("idx", F.array_join("receivers", ",").alias("receivers"), F.size("weights").cast("long").alias("n"), F.round(total, 6).alias("length"))
+
+
+def traversal(spark, sf_dir, order) -> DataFrame:
+    return getattr(_routed(spark, sf_dir), order)().select("idx", "place")
+
+
+def synthetic_surfaces(spark, sf_dir) -> DataFrame:
+    """The surfaces without noise, on a raster with as many rows as there are nations."""
+    grid = RasterGrid(spark, (spark.read.parquet(f"{sf_dir}/nation.parquet").count(), 40), (1.0, 1.0), RasterBoundaryStatus.of(_FIXED))
+    found = [synthetic(grid, kind).select("idx", F.lit(kind).alias("kind"), (F.round("z", 9) + 0).alias("z")) for kind in ("cone", "cone_inv", "gauss")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def spl_newton_step(spark, sf_dir) -> DataFrame:
+    """Slope exponent 2."""
+    graph = _resolved(spark, sf_dir)
+    e = SPLEroder(graph, 1e-3, 0.5, 2.0, tolerance=1e-9).erode(graph.state.surface, graph.accumulate(1.0), 1.0)
+    return e.select("idx", (F.round("erosion", 6) + 0).alias("erosion"))
+
+
+def diffusion_varied_step(spark, sf_dir) -> DataFrame:
+    """A coefficient of its own for each node."""
+    grid, dem = orders_raster(spark, sf_dir)
+    k = dem.select(*NODE, (0.05 * (1 + F.col("idx") % 3)).alias("k"))
+    return DiffusionADIEroder(grid, k).erode(dem, 1.0).select("idx", (F.round("erosion", 6) + 0).alias("erosion"))
+
+
 def snapshot_before_after(spark, sf_dir) -> DataFrame:
     graph = _routed(spark, sf_dir, SingleFlowRouter(), FlowSnapshot("before"), MSTSinkResolver())
     before = graph.graph_snapshot("before").select("src", F.col("rec").alias("r0"))
@@ -250,6 +379,24 @@ QUERIES = {
     "snapshot_before_after": snapshot_before_after,
     "spl_step": spl_step,
     "diffusion_step": diffusion_step,
+    "mesh_receivers": mesh_receivers,
+    "kernel_accumulate_depth": partial(kernel_accumulate, apply_dir=FlowGraphTraversalDir.DEPTH_DOWNSTREAM),
+    "kernel_lengths_depth": partial(kernel_lengths, apply_dir=FlowGraphTraversalDir.DEPTH_UPSTREAM),
+    "kernel_lengths_levels": partial(kernel_lengths, apply_dir=FlowGraphTraversalDir.BREADTH_UPSTREAM, n_threads=2),
+    "kernel_erosion": kernel_erosion,
+    "own_operator": own_operator,
+    "elevation_snapshot": elevation_snapshot,
+    "spaced_nodes": spaced_nodes,
+    "neighbor_records": neighbor_records,
+    "profile_edges": profile_edges,
+    "own_base_levels": own_base_levels,
+    "donor_lists": donor_lists,
+    "receiver_lists": receiver_lists,
+    "bfs_order": partial(traversal, order="bfs_order"),
+    "dfs_order": partial(traversal, order="dfs_order"),
+    "synthetic_surfaces": synthetic_surfaces,
+    "spl_newton_step": spl_newton_step,
+    "diffusion_varied_step": diffusion_varied_step,
 }
 
 _DEM = """dem AS (SELECT idx, idx // 50 AS r, idx % 50 AS c, CAST(CAST(floor(o_totalprice) AS BIGINT) % 1024 + 128 * (idx // 50) AS DOUBLE) AS z, n // 50 AS nr
@@ -266,10 +413,10 @@ def _edges(wrap_rows: bool = False, wrap_cols: bool = False) -> str:
         FROM (SELECT idx, nr, slot, dr, dc, {r} AS nr2, {c} AS nc2 FROM dem, o) WHERE nr2 BETWEEN 0 AND nr - 1 AND nc2 BETWEEN 0 AND 49)"""
 
 
-def _d8(mask: str = "false", wrap_cols: bool = False) -> str:
+def _d8(mask: str = "false", wrap_cols: bool = False, base: str = "a.r = 0") -> str:
     return f"""WITH RECURSIVE {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges(False, wrap_cols)},
         s AS (SELECT e.src, e.slot, e.dst, e.distance, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst
-              WHERE a.r > 0 AND NOT (a.idx % 7 = 3 AND {mask}) AND NOT (b.idx % 7 = 3 AND {mask}) AND a.z > b.z),
+              WHERE NOT ({base}) AND NOT (a.idx % 7 = 3 AND {mask}) AND NOT (b.idx % 7 = 3 AND {mask}) AND a.z > b.z),
         best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY slope DESC, slot) AS k FROM s) WHERE k = 1),
         flow AS (SELECT idx, coalesce(dst, idx) AS rec, coalesce(distance, 0.0) AS distance, z, r FROM dem LEFT JOIN best ON src = idx),
         path AS (SELECT idx, rec AS spot, 1 AS n FROM flow WHERE rec <> idx UNION ALL SELECT path.idx, flow.rec, n + 1 FROM path JOIN flow ON flow.idx = path.spot WHERE flow.rec <> path.spot),
@@ -279,8 +426,8 @@ def _d8(mask: str = "false", wrap_cols: bool = False) -> str:
 
 def _mfd(p: str) -> str:
     return f"""WITH RECURSIVE {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges()},
-        s AS (SELECT e.src, e.slot, e.dst, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst WHERE a.r > 0 AND a.z > b.z),
-        w AS (SELECT src AS idx, dst AS rec, ({p}) / sum({p}) OVER (PARTITION BY src) AS weight FROM s)"""
+        s AS (SELECT e.src, e.slot, e.dst, e.distance, (a.z - b.z) / e.distance AS slope FROM e JOIN dem a ON a.idx = e.src JOIN dem b ON b.idx = e.dst WHERE a.r > 0 AND a.z > b.z),
+        w AS (SELECT src AS idx, slot, dst AS rec, distance, ({p}) / sum({p}) OVER (PARTITION BY src) AS weight FROM s)"""
 
 
 _PASSES = """, b AS (SELECT flow.idx, z, root, dense_rank() OVER (ORDER BY root) - 1 AS basin, root < 50 AS outer_ FROM flow JOIN root ON root.idx = flow.idx),
@@ -320,6 +467,24 @@ _HALF = """,
         {0}_bwd AS (SELECT r, c, dp AS x FROM {0}_fwd WHERE c = (SELECT max(c) FROM {1})
             UNION ALL SELECT f.r, f.c, f.dp - f.cp * b.x FROM {0}_bwd b JOIN {0}_fwd f ON f.r = b.r AND f.c = b.c - 1),
         {0} AS (SELECT b.r, b.c, CASE WHEN g.inner_ THEN b.x ELSE g.z END AS z FROM {0}_bwd b JOIN {0}_rhs g ON g.r = b.r AND g.c = b.c)"""
+#: As _ERODED for a slope exponent of 2, whose equation has a closed form.
+_ERODED_SQUARE = _ERODED.replace(
+    "(y.z + 1e-3 * sqrt(acc) / f.distance * e.new) / (1 + 1e-3 * sqrt(acc) / f.distance)",
+    "e.new + (sqrt(1 + 4e-3 * sqrt(acc) / f.distance ** 2 * (y.z - e.new)) - 1) / (2e-3 * sqrt(acc) / f.distance ** 2)",
+)
+#: As _HALF, for a coefficient k of each node: conductances to the nodes before and after along r (pr, qr) and along c (pc, qc).
+_HALF_VARIED = """,
+        {0}_face AS (SELECT *, 0.25 * (lag(k) OVER w + k) AS pr, 0.25 * (k + lead(k) OVER w) AS qr, 0.25 * (lag(k) OVER v + k) AS pc, 0.25 * (k + lead(k) OVER v) AS qc, lag(z) OVER w AS z0, lead(z) OVER w AS z1
+            FROM {1} WINDOW w AS (PARTITION BY c ORDER BY r), v AS (PARTITION BY r ORDER BY c)),
+        {0}_rhs AS (SELECT r, c, z, k, pc, qc, z + pr * (z0 - z) + qr * (z1 - z) AS rhs, pr + qr + pc + qc IS NOT NULL AS inner_ FROM {0}_face),
+        {0}_fwd AS (SELECT r, 0::BIGINT AS c, 0.0::DOUBLE AS cp, z AS dp FROM {1} WHERE c = 0
+            UNION ALL SELECT g.r, g.c, CASE WHEN inner_ THEN -qc / (1 + pc + qc + pc * f.cp) ELSE 0.0 END, CASE WHEN inner_ THEN (g.rhs + pc * f.dp) / (1 + pc + qc + pc * f.cp) ELSE g.z END
+            FROM {0}_fwd f JOIN {0}_rhs g ON g.r = f.r AND g.c = f.c + 1),
+        {0}_bwd AS (SELECT r, c, dp AS x FROM {0}_fwd WHERE c = (SELECT max(c) FROM {1})
+            UNION ALL SELECT f.r, f.c, f.dp - f.cp * b.x FROM {0}_bwd b JOIN {0}_fwd f ON f.r = b.r AND f.c = b.c - 1),
+        {0} AS (SELECT b.r, b.c, g.k, CASE WHEN g.inner_ THEN b.x ELSE g.z END AS z FROM {0}_bwd b JOIN {0}_rhs g ON g.r = b.r AND g.c = b.c)"""
+_SPACED = """spaced AS (SELECT idx, r, c, CASE WHEN idx = 51 THEN 4 WHEN idx = 107 THEN 1 WHEN idx = 3 THEN 0 WHEN c = 0 THEN 1 WHEN c = 49 OR r = 0 THEN 2 ELSE 0 END AS status FROM dem)"""
+_LENGTHS = " SELECT root.idx, round(coalesce(d, 0.0), 6) AS d FROM root LEFT JOIN (SELECT p.idx, sum(2.0 * f.distance) AS d FROM (SELECT idx, idx AS spot FROM root UNION ALL SELECT idx, spot FROM path) p JOIN flow f ON f.idx = p.spot GROUP BY p.idx) t ON t.idx = root.idx"
 _NEIGHBORS = "SELECT src, slot, dst, distance FROM e"
 _TRIANGLES = """, t AS (SELECT idx AS t0, idx + 1 AS t1, idx + 50 AS t2 FROM dem WHERE r < nr - 1 AND c < 49 UNION ALL SELECT idx + 1, idx + 51, idx + 50 FROM dem WHERE r < nr - 1 AND c < 49),
         h AS (SELECT least(t0, t1) AS a, greatest(t0, t1) AS b FROM t UNION ALL SELECT least(t1, t2), greatest(t1, t2) FROM t UNION ALL SELECT least(t2, t0), greatest(t2, t0) FROM t),
@@ -383,4 +548,36 @@ ORACLE_SQL = {
         round(CASE WHEN r IN (0, nr - 1) THEN 0.5 ELSE 1.0 END * CASE WHEN c IN (0, 49) THEN 0.5 ELSE 1.0 END, 6) AS area FROM dem""",
     "kernel_accumulate": f"{_d8()} SELECT idx, 1.0 + coalesce(k, 0)::DOUBLE AS acc FROM flow LEFT JOIN (SELECT spot, count(*) AS k FROM path GROUP BY spot) ON spot = idx",
     "snapshot_before_after": f"{_d8()} SELECT idx, rec AS rec_before FROM flow WHERE rec = idx",
+    "mesh_receivers": f"""WITH {_DEM}{_TRIANGLES}, n AS (SELECT a AS src, b AS dst FROM u UNION ALL SELECT b, a FROM u),
+        s AS (SELECT src, dst, sqrt(CAST((x.r - y.r) ** 2 + (x.c - y.c) ** 2 AS DOUBLE)) AS distance, x.z - y.z AS drop FROM n JOIN dem x ON x.idx = src JOIN dem y ON y.idx = dst WHERE x.r > 0 AND x.z > y.z),
+        best AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY drop / distance DESC, dst) AS i FROM s)
+        SELECT idx, coalesce(dst, idx) AS rec, coalesce(distance, 0.0) AS distance FROM dem LEFT JOIN best ON src = idx AND i = 1""",
+    "kernel_accumulate_depth": f"{_d8()} SELECT idx, 1.0 + coalesce(k, 0)::DOUBLE AS acc FROM flow LEFT JOIN (SELECT spot, count(*) AS k FROM path GROUP BY spot) ON spot = idx",
+    "kernel_lengths_depth": _d8() + _LENGTHS,
+    "kernel_lengths_levels": _d8() + _LENGTHS,
+    "kernel_erosion": f"{_d8()} SELECT f.idx, 0.25::DOUBLE * (f.z - g.z) AS erosion FROM flow f JOIN flow g ON g.idx = f.rec",
+    "own_operator": f"{_d8().replace(_DEM, _DEM.replace('dem AS', 'raw AS') + ', dem AS (SELECT idx, r, c, 64.0::DOUBLE * floor(z / 64) AS z, nr FROM raw)')} SELECT idx, rec, z FROM flow",
+    "elevation_snapshot": f"{_d8()}{_PASSES}{_CARVED} SELECT dem.idx, dem.z, level > dem.z OR steps > 0 AS raised FROM dem JOIN high ON high.idx = dem.idx",
+    "spaced_nodes": f"WITH {_DEM}, {_SPACED} SELECT idx, CAST(status AS INTEGER) AS status, 6.0::DOUBLE AS area FROM spaced",
+    "neighbor_records": f"""WITH {_DEM}, {_offsets(RasterConnect.QUEEN)}, {_edges()}, {_SPACED}
+        SELECT src, e.slot, dst, sqrt(CAST(4 * dr * dr + 9 * dc * dc AS DOUBLE)) AS distance, s.r AS "row", s.c AS col, CAST(s.status AS INTEGER) AS status FROM e JOIN o USING (slot) JOIN spaced s ON s.idx = dst""",
+    "profile_edges": """WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS src, count(*) OVER () AS n FROM part)
+        SELECT src, 0 AS slot, (src + n - 1) % n AS dst, 2.5::DOUBLE AS distance FROM p UNION ALL SELECT src, 1, (src + 1) % n, 2.5::DOUBLE FROM p""",
+    "own_base_levels": f"{_d8(base='a.idx % 97 = 5')} SELECT idx, rec, rec = idx AND idx % 97 <> 5 AS pit FROM flow",
+    "donor_lists": f"{_d8()} SELECT f.idx, coalesce(string_agg(CAST(d.idx AS VARCHAR), ',' ORDER BY d.idx), '') AS donors FROM flow f LEFT JOIN flow d ON d.rec = f.idx AND d.idx <> f.idx GROUP BY f.idx",
+    "receiver_lists": f"""{_mfd('slope')}, all_ AS (SELECT idx, slot, rec, distance FROM w UNION ALL SELECT idx, 0, idx, 0.0 FROM dem WHERE idx NOT IN (SELECT idx FROM w))
+        SELECT idx, string_agg(CAST(rec AS VARCHAR), ',' ORDER BY slot) AS receivers, count(*) AS n, round(sum(distance), 6) AS length FROM all_ GROUP BY idx""",
+    "bfs_order": f"{_d8()} SELECT idx, row_number() OVER (ORDER BY depth, idx) - 1 AS place FROM root",
+    "dfs_order": f"""{_d8()}, walk AS (SELECT idx, idx AS root, CAST([] AS BIGINT[]) AS above, CAST([] AS BIGINT[]) AS own, true AS first FROM flow WHERE rec = idx
+            UNION ALL SELECT f.idx, w.root, w.own, list_append(w.own, -f.idx), false FROM walk w JOIN flow f ON f.rec = w.idx AND f.idx <> f.rec)
+        SELECT idx, row_number() OVER (ORDER BY root, NOT first, above, idx) - 1 AS place FROM walk""",
+    "synthetic_surfaces": """WITH n AS (SELECT count(*) AS rows FROM nation), p AS (SELECT unnest(range(0, rows * 40)) AS idx, rows FROM n),
+        xy AS (SELECT idx, (idx % 40) * (2.0::DOUBLE / 39) - 1 AS x, (idx // 40) * (2.0::DOUBLE / (rows - 1)) - 1 AS y FROM p)
+        SELECT idx, 'cone' AS kind, round(sqrt(2) - sqrt(x * x + y * y), 9) + 0 AS z FROM xy
+        UNION ALL SELECT idx, 'cone_inv', round(sqrt(x * x + y * y) - sqrt(2), 9) + 0 FROM xy
+        UNION ALL SELECT idx, 'gauss', round(exp(-(x * x + y * y) / 2), 9) + 0 FROM xy""",
+    "spl_newton_step": f"{_d8()}{_PASSES}{_ERODED_SQUARE} SELECT idx, round(z - new, 6) + 0 AS erosion FROM eroded",
+    "diffusion_varied_step": f"""WITH RECURSIVE {_DEM}, start AS (SELECT r, c, z, 0.05::DOUBLE * (1 + idx % 3) AS k FROM dem){_HALF_VARIED.format("one", "start")},
+        flipped AS (SELECT c AS r, r AS c, z, k FROM one){_HALF_VARIED.format("two", "flipped")}
+        SELECT idx, round(dem.z - two.z, 6) + 0 AS erosion FROM dem JOIN two ON two.r = dem.c AND two.c = dem.r""",
 }

@@ -112,6 +112,12 @@ class Grid:
         counts = self.edges.groupBy("grid_id", F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
         return self.nodes.select(*NODE).join(counts, NODE, "left").select(*NODE, F.coalesce("n", F.lit(0)).alias("n"))
 
+    def neighbors_records(self) -> DataFrame:
+        """grid_id, src, slot, dst, distance and the neighbour's status, of all nodes; row and col too where nodes have them."""
+        more = [c for c in ("row", "col") if c in self.nodes.columns]
+        met = self.around(self.nodes, ["status", *more]).select("grid_id", F.col("idx").alias("src"), F.explode("near").alias("n"))
+        return met.select("grid_id", "src", "n.slot", "n.dst", "n.distance", "n.status", *[f"n.{c}" for c in more])
+
     def _one(self, idx: int, grid_id: int) -> DataFrame:
         if not 0 <= idx < self.size:
             raise IndexError(f"node {idx} is out of range")
