@@ -218,10 +218,11 @@ def resolve_by_tree(z: np.ndarray, rec: np.ndarray, distance: np.ndarray, base:
     return rec, distance, z
 
 
-def stream_power(z: np.ndarray, area: np.ndarray, k: np.ndarray, flow: pd.DataFrame, dt: float, m: float, n: float, tolerance: float, linear: bool) -> tuple[np.ndarray, np.ndarray]:
-    """New elevations by the implicit scheme, level by level from the outlets up, and which nodes were limited."""
+def stream_power(z: np.ndarray, area: np.ndarray, k: np.ndarray, flow: pd.DataFrame, dt: float, m: float, n: float, tolerance: float, linear: bool, start_from: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """New elevations by the implicit scheme, level by level from the outlets up, and which nodes were limited. Nodes
+    without a receiver keep what start_from holds, or z."""
     src, rec, distance, weight = (flow[c].to_numpy() for c in ("src", "rec", "distance", "weight"))
-    level, new, limited = node_levels(len(z), src, rec), z.astype(float).copy(), np.zeros(len(z), bool)
+    level, new, limited = node_levels(len(z), src, rec), (z if start_from is None else start_from).astype(float).copy(), np.zeros(len(z), bool)
     real = np.flatnonzero(src != rec)
     real = real[np.lexsort((real, level[src[real]]))]
     for part in np.split(real, np.flatnonzero(np.diff(level[src[real]])) + 1) if len(real) else []:
@@ -251,10 +252,58 @@ def stream_power(z: np.ndarray, area: np.ndarray, k: np.ndarray, flow: pd.DataFr
         low = open_ & (value < floor)
         value[low] = floor[low] + np.finfo(float).tiny
         limited[ids[low]] = True
-        new[ids[open_]] = value[open_]
+        new[ids] = np.where(open_, value, z[ids])
     return new, limited
 
 
+def erode_by_blocks(nodes: DataFrame, flow: DataFrame, block: int, dt: float, m: float, n: float, tolerance: float, linear: bool) -> DataFrame:
+    """stream_power for surfaces of any size: grid_id, idx, erosion, limited. nodes: grid_id, idx, z, acc, k.
+
+    A round settles, in every block of node numbers that isn't done, the nodes all of whose ways down leave the block at
+    settled nodes, or not at all. There are as many rounds as the most blocks that a way down enters.
+    """
+    from runoff.plans.iterate import durable
+    from runoff.schema import NODE
+
+    of = lambda c: F.expr(f"{c} div {block}")
+    low = nodes.select("grid_id", F.col("idx").alias("rec"), F.col("z").alias("zr"))
+    edges = flow.where("src <> rec").join(low, ["grid_id", "rec"]).select("grid_id", "src", "slot", "rec", "distance", "weight", "zr", of("src").alias("block"), (of("src") != of("rec")).alias("across"))
+    edges, own = durable(edges), ["grid_id", "block"]
+    state = durable(nodes.select(*NODE, "z", "acc", "k", of("idx").alias("block"), F.lit(None).cast("double").alias("new"), F.lit(False).alias("limited")))
+
+    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("idx", ignore_index=True), right.sort_values(["src", "slot"], ignore_index=True)
+        size, ids, out = len(left), left["idx"].to_numpy(), right["across"].to_numpy(bool)
+        beyond = right[out].drop_duplicates("rec").sort_values("rec", ignore_index=True)
+        src, rec = np.searchsorted(ids, right["src"].to_numpy()), np.searchsorted(ids, right["rec"].to_numpy())
+        rec[out] = size + np.searchsorted(beyond["rec"].to_numpy(), right["rec"].to_numpy()[out])
+        local = pd.DataFrame({"src": src, "rec": rec, "distance": right["distance"].to_numpy(), "weight": right["weight"].to_numpy()})
+        known, zr = beyond["newr"].to_numpy(float), beyond["zr"].to_numpy(float)
+        waits = np.concatenate([np.zeros(size, bool), np.isnan(known)])
+        z, start = np.concatenate([left["z"].to_numpy(float), zr]), np.concatenate([left["z"].to_numpy(float), np.where(np.isnan(known), zr, known)])
+        area, k = (np.concatenate([left[c].to_numpy(float), np.zeros(len(beyond))]) for c in ("acc", "k"))
+        new, limited = stream_power(z, area, k, local, dt, m, n, tolerance, linear, start)
+        level = node_levels(len(z), src, rec)[src]
+        by_level = np.argsort(level, kind="stable")
+        for part in np.split(by_level, np.flatnonzero(np.diff(level[by_level])) + 1):
+            np.logical_or.at(waits, src[part], waits[rec[part]])
+        return left[["grid_id", "idx", "z", "acc", "k", "block"]].assign(new=np.where(waits, np.nan, new)[:size], limited=(limited & ~waits)[:size])
+
+    unsettled = F.col("new").isNull() | F.isnan("new")
+    left = state.where(unsettled).count()
+    while left:
+        todo = durable(state.where(unsettled).select(*own).distinct())
+        here = edges.join(todo, own, "left_semi")
+        known = state.where(~unsettled).select("grid_id", F.col("idx").alias("rec"), F.col("new").alias("newr"))
+        there = here.where("across").join(known, ["grid_id", "rec"], "left").unionByName(here.where("not across").withColumn("newr", F.lit(None).cast("double")))
+        now = state.join(todo, own, "left_semi").groupBy(*own).cogroup(there.groupBy(*own)).applyInPandas(work, "grid_id long, idx long, z double, acc double, k double, block long, new double, limited boolean")
+        state = durable(state.join(todo, own, "left_anti").unionByName(now))
+        before, left = left, state.where(unsettled).count()
+        if left == before:
+            raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
+    return state.select(*NODE, (F.col("z") - F.col("new")).alias("erosion"), "limited")
+
+
 def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Tridiagonal systems, one in each row, solved side by side."""
     cp, dp = np.empty_like(right), np.empty_like(right)

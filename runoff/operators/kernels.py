@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from numbers import Real
 from typing import Any
 
 import numpy as np
@@ -84,13 +85,13 @@ class FlowKernelData(Mapping):
             if name not in self._spec:
                 raise KeyError(f"unknown: {name}")
             if self._spec[name] == SCALAR:
-                if not np.isscalar(value):
+                if not isinstance(value, Real):
                     raise TypeError(f"{name} must be a number")
             elif isinstance(value, np.ndarray):
                 if value.shape not in ((self._graph.size,), tuple(self._graph.grid_shape)):
                     raise ValueError(f"{name} must have {self._graph.size} values, one for each node")
                 value = value.ravel()
-            elif not np.isscalar(value) and not isinstance(value, DataFrame):
+            elif not isinstance(value, Real) and not isinstance(value, DataFrame):
                 raise TypeError(f"{name} must be a number, an array or a table")
             self._bound[name] = value
 
@@ -103,7 +104,7 @@ class FlowKernelData(Mapping):
         rows = self._graph.grid.nodes.select(*NODE)
         for name in self.grid_var_names:
             value = self._bound[name]
-            if np.isscalar(value):
+            if isinstance(value, Real):
                 rows = rows.withColumn(name, F.lit(float(value)))
             else:
                 on = NODE

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from numbers import Real
 from typing import Any, Protocol
 
 import numpy as np
@@ -302,12 +303,44 @@ def _eroded_by_doubling(nodes: DataFrame, flow: DataFrame, dt: float, area_exp:
     return nodes.join(whole, NODE).select(*NODE, (F.col("z") - F.least("c", "a")).alias("erosion"), F.lit(False).alias("limited"))
 
 
+def _coefficient(grid: Grid, value: float | np.ndarray | DataFrame) -> float | DataFrame:
+    """A number, or a table (grid_id, idx, k) with a row for each node; an array is of one surface, for all of them."""
+    if isinstance(value, Real):
+        return float(value)
+    if isinstance(value, np.ndarray):
+        if value.shape not in ((grid.size,), tuple(grid.shape)):
+            raise ValueError(f"a coefficient must have {grid.size} values, one for each node")
+        rows = pd.DataFrame({"idx": np.arange(grid.size), "k": value.ravel().astype(float)})
+        return grid.nodes.select(*NODE).join(grid.nodes.sparkSession.createDataFrame(rows), "idx").select(*NODE, "k")
+    if not isinstance(value, DataFrame):
+        raise TypeError("a coefficient is a number, an array or a table")
+    given = value.select(*NODE, F.col("k").cast("double").alias("k"))
+    rows, known = given.join(grid.nodes.select(*NODE, F.lit(True).alias("known")), NODE, "left").agg(F.count(F.lit(1)), F.count_distinct(F.when(F.col("known") & F.col("k").isNotNull(), F.struct(*NODE)))).first()
+    if rows != known or known != grid.n_nodes:
+        raise ValueError(f"a coefficient must be of the grid's {grid.n_nodes} nodes, once each")
+    return given
+
+
 class SPLEroder:
     """Stream-power erosion, implicit in time. Exponents up to 1 are solved as linear unless strict_exponent."""
 
-    def __init__(self, graph: FlowGraph, k_coef: float | DataFrame, area_exp: float, slope_exp: float, tolerance: float = 1e-3, strict_exponent: bool = False) -> None:
+    def __init__(self, graph: FlowGraph, k_coef: float | np.ndarray | DataFrame, area_exp: float, slope_exp: float, tolerance: float = 1e-3, strict_exponent: bool = False) -> None:
         self.graph, self.k_coef, self.area_exp, self.tolerance, self.strict = graph, k_coef, area_exp, tolerance, strict_exponent
         self.slope_exp = slope_exp
+        self._eroded: DataFrame | None = None
+
+    @property
+    def k_coef(self) -> float | DataFrame:
+        return self._k_coef
+
+    @k_coef.setter
+    def k_coef(self, value: float | np.ndarray | DataFrame) -> None:
+        self._k_coef = _coefficient(self.graph.grid, value)
+
+    @property
+    def n_corr(self) -> int:
+        """Nodes that the last step limited to the level of their receivers."""
+        return 0 if self._eroded is None else self._eroded.where("limited").count()
 
     @property
     def slope_exp(self) -> float:
@@ -321,14 +354,20 @@ class SPLEroder:
         self._slope_exp = value
 
     def erode(self, elevation: DataFrame, drainage_area: DataFrame, dt: float) -> DataFrame:
-        """grid_id, idx, erosion, limited; n_corr is the number of limited nodes."""
+        """grid_id, idx, erosion, limited."""
+        self._eroded = self._step(elevation, drainage_area, dt)
+        return self._eroded
+
+    def _step(self, elevation: DataFrame, drainage_area: DataFrame, dt: float) -> DataFrame:
         m, n, tol, linear = self.area_exp, self._slope_exp, self.tolerance, self.linear
         k = F.lit(float(self.k_coef)) if not isinstance(self.k_coef, DataFrame) else F.col("k")
         nodes = elevation.select(*NODE, "z").join(drainage_area.select(*NODE, "acc"), NODE)
         nodes = nodes if not isinstance(self.k_coef, DataFrame) else nodes.join(self.k_coef.select(*NODE, "k"), NODE)
 
-        if linear and self.graph.single_flow and self.graph.grid.size > grouped.LOCAL_NODES:
-            return durable(_eroded_by_doubling(nodes.withColumn("k", k), self.graph.flow, dt, m))
+        if self.graph.grid.size > grouped.LOCAL_NODES:
+            if linear and self.graph.single_flow:
+                return durable(_eroded_by_doubling(nodes.withColumn("k", k), self.graph.flow, dt, m))
+            return durable(grouped.erode_by_blocks(nodes.withColumn("k", k), self.graph.flow, grouped.LOCAL_NODES, dt, m, n, tol, linear))
 
         def work(nodes: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
             z = nodes["z"].to_numpy(float)
@@ -341,11 +380,19 @@ class SPLEroder:
 class DiffusionADIEroder:
     """Hillslope diffusion on rasters by alternating directions; borders keep their elevation."""
 
-    def __init__(self, grid: Grid, k_coef: float | DataFrame) -> None:
+    def __init__(self, grid: Grid, k_coef: float | np.ndarray | DataFrame) -> None:
         if not hasattr(grid, "connect"):
             raise TypeError("diffusion needs a raster")
         self.grid, self.k_coef = grid, k_coef
 
+    @property
+    def k_coef(self) -> float | DataFrame:
+        return self._k_coef
+
+    @k_coef.setter
+    def k_coef(self, value: float | np.ndarray | DataFrame) -> None:
+        self._k_coef = _coefficient(self.grid, value)
+
     def erode(self, elevation: DataFrame, dt: float) -> DataFrame:
         shape, (dy, dx) = self.grid.shape, self.grid.spacing
         rows = elevation.select(*NODE, "z")

@@ -166,6 +166,62 @@ def test_large_surfaces_as_in_a_task(spark, monkeypatch):
     assert np.allclose([r[2] for r in small[2]], [r[2] for r in large[2]], atol=1e-9) and max(r[2] for r in large[2]) > 1
 
 
+@pytest.mark.parametrize(("router", "exponent"), [(SingleFlowRouter, 2.0), (MultiFlowRouter, 1.0)])
+def test_stream_power_by_blocks(spark, monkeypatch, router, exponent):
+    """Laws that don't compose, on surfaces too large for a task; the ways down wind through many blocks."""
+    rng = np.random.default_rng(5)
+    z = rng.random((9, 7)) * 40
+    grid = RasterGrid(spark, (9, 7), (2.0, 3.0), BOTTOM, grids=2)
+    graph = FlowGraph(grid, [PFloodSinkResolver(), router()])
+    filled = graph.update_routes(surfaces(spark, z, z[:, ::-1]))
+    area = graph.accumulate(1.0)
+
+    def outcome(k):
+        eroder = SPLEroder(graph, k, 0.4, exponent, tolerance=1e-9)
+        done = rows(eroder.erode(filled, area, 5.0), "grid_id", "idx", "erosion", "limited")
+        assert eroder.n_corr == sum(r[3] for r in done)
+        return done
+
+    k = rng.random((9, 7)) * 0.2
+    small = outcome(k)
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 11)
+    assert outcome(k) == small and max(r[2] for r in small) > 1
+
+
+def test_coefficients(spark):
+    grid = RasterGrid(spark, (3, 4), (1.0, 1.0), BOTTOM)
+    graph = FlowGraph(grid, [SingleFlowRouter()])
+    table = grid.nodes.select("grid_id", "idx", F.lit(0.5).alias("k"))
+    for eroder in (DiffusionADIEroder(grid, 0.5), SPLEroder(graph, 0.5, 0.5, 1.0)):
+        assert eroder.k_coef == 0.5
+        eroder.k_coef = np.full((3, 4), 0.25)
+        assert eroder.k_coef.count() == 12
+        eroder.k_coef = table
+        for bad in (np.ones(11), table.where("idx > 0"), table.unionByName(table), table.withColumn("k", F.when(F.col("idx") > 0, 1.0))):
+            with pytest.raises(ValueError):
+                eroder.k_coef = bad
+        with pytest.raises(TypeError):
+            eroder.k_coef = "much"
+    assert SPLEroder(graph, 0.5, 0.5, 1.0).n_corr == 0
+
+
+def test_depth_first_by_plans(spark):
+    rng = np.random.default_rng(6)
+    graph = FlowGraph(RasterGrid(spark, (12, 10), (1.0, 1.0), BOTTOM, grids=2), [SingleFlowRouter()])
+    graph.set_mask([33, 34])
+    graph.update_routes(surfaces(spark, rng.random((12, 10)), rng.integers(0, 4, (12, 10))))
+    for g in (0, 1):
+        rec = np.array([r[1] for r in rows(graph.flow.where(f"grid_id = {g}"), "src", "rec")])
+        found = [r["idx"] for r in graph.dfs_order().where(f"grid_id = {g}").orderBy("place").collect()]
+        assert found == grouped.depth_order(120, np.arange(120), rec)
+
+
+def test_records_of_neighbors(spark):
+    grid = RasterGrid(spark, (3, 4), (1.0, 2.0), BOTTOM, connect=RasterConnect.ROOK)
+    found = rows(grid.neighbors_records().where("src = 5"), "slot", "dst", "distance", "status", "row", "col")
+    assert found == [(0, 1, 1.0, 0, 0, 1), (1, 4, 2.0, 0, 1, 0), (2, 6, 2.0, 0, 1, 2), (3, 9, 1.0, 1, 2, 1)]
+
+
 def test_kernels(spark):
     grid = ProfileGrid(spark, 8, 1.0, ProfileBoundaryStatus.of(F_))
     graph = FlowGraph(grid, [SingleFlowRouter()])
