@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runoff.plans.iterate import ancestors, dense_index, doubled, durable, levels, sum_by_levels, sum_downstream
+from runoff.plans import iterate
+from runoff.plans.iterate import ancestors, dense_index, doubled, durable, few, levels, sum_by_levels, sum_downstream
 from runoff.schema import NODE
 
 
@@ -70,7 +73,7 @@ def dfs_order(flow: DataFrame) -> DataFrame:
     below = one.where("idx <> rec").select(*NODE, (F.coalesce(F.sum("n").over(larger), F.lit(0.0)) + 1).cast("long").alias("turn"))
     turns = below.unionByName(one.where("idx = rec").select(*NODE, F.lit(0).cast("long").alias("turn")))
     own = one.join(turns, NODE).select(*NODE, "turn", F.col("rec").alias("root"))
-    known = durable(doubled(flow, own, {"turn": F.col("turn") + F.col("turn_up"), "root": F.col("root_up")}))
+    known = doubled(flow, own, {"turn": lambda a, b: a["turn"] + b["turn"], "root": lambda a, b: b["root"]})
     after = known.select("grid_id", F.col("idx").alias("rec"), F.col("turn").alias("after"))
     upper = one.where("idx <> rec").select(*NODE, "rec").join(after, ["grid_id", "rec"]).select(*NODE, "after")
     placed = known.join(upper, NODE, "left").select(*NODE, "root", F.coalesce("after", F.lit(-1)).alias("after"))
@@ -107,16 +110,98 @@ def boruvka(edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges of a minimum spanning forest, by rounds of cheapest outgoing edges and pointer doubling, and
-    (grid_id, b, c): the component that each basin ends in.
+    """The edges of a minimum spanning forest and (grid_id, b, c): the component that each basin ends in.
 
-    Equal passes are ordered by (b0, b1), so the tree is the one that any other method in that order finds.
+    Equal passes are ordered by (b0, b1), so the tree is the one that any other method in that order finds. A task merges
+    the basins of a block of numbers as far as their cheapest edges stay inside; what is left between blocks is merged in
+    the same way, by a task where it is little, or by rounds of cheapest edges where blocks hardly shorten it.
     """
+    edges = edges.select("*", F.col("b0").alias("n0"), F.col("b1").alias("n1"))
+    tree, names = _forest(edges, iterate.BLOCK)
+    return tree.drop("n0", "n1"), names.withColumnRenamed("n", "b")
+
+
+#: Kinds of rows that merging a block makes: the component of a node, an edge of the forest, an edge that is left.
+_NAME, _TREE, _LEFT = 0, 1, 2
+
+
+def _merged(part: pd.DataFrame, low: int, high: int) -> pd.DataFrame:
+    """Nodes from low to high of a surface merged along edges, in their order, as long as one side's cheapest edge is known.
+
+    Edges to nodes beyond are there too. A component that has met one is stuck: its next edges may not be its cheapest.
+    """
+    part = part.iloc[np.lexsort((part["b1"], part["b0"], part["pass_elev"]))].reset_index(drop=True)
+    n0, n1 = part["n0"].to_numpy(), part["n1"].to_numpy()
+    in0, in1 = (n0 >= low) & (n0 < high), (n1 >= low) & (n1 < high)
+    ids = np.unique(np.concatenate([n0[in0], n1[in1]]))
+    at0, at1 = np.where(in0, np.searchsorted(ids, n0), -1).tolist(), np.where(in1, np.searchsorted(ids, n1), -1).tolist()
+    parent, stuck, taken = list(range(len(ids))), bytearray(len(ids)), np.zeros(len(part), bool)
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, (i, j) in enumerate(zip(at0, at1, strict=True)):
+        if i < 0 or j < 0:
+            stuck[top(max(i, j))] = 1
+            continue
+        p, q = top(i), top(j)
+        if p != q and not (stuck[p] and stuck[q]):
+            p, q = min(p, q), max(p, q)
+            parent[q], taken[k] = p, True
+            stuck[p] |= stuck[q]
+    root = np.array([top(x) for x in range(len(ids))], np.int64)
+    ends = [np.where(w, root[np.clip(at, 0, None)], -1) for w, at in ((in0, at0), (in1, at1))] if len(ids) else [n0, n1]
+    left = in0 & ~taken & (~in1 | (ends[0] != ends[1]))
+    named = pd.DataFrame({"kind": _NAME, "n": ids, "c": ids[root]})
+    return pd.concat([named, part[taken].assign(kind=_TREE), part[left].assign(kind=_LEFT)], ignore_index=True)
+
+
+def _forest(edges: DataFrame, block: int | None, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The forest of edges between n0 and n1, and the component c of each node n."""
+    names = ["grid_id", *[c for c in edges.columns if c != "grid_id"]]
+    schema = "kind int, n long, c long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*names).schema)
+    columns = ["kind", "n", "c", *names]
+    if block is None:
+        met = edges.select(*names).groupBy("grid_id").applyInPandas(lambda part: _merged(part, 0, 1 << 62).assign(grid_id=part["grid_id"].iloc[0])[columns], schema)
+    else:
+        own = F.array_distinct(F.array(F.expr(f"n0 div {block}"), F.expr(f"n1 div {block}")))
+
+        def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return _merged(part, key[1] * block, (key[1] + 1) * block).assign(grid_id=key[0])[columns]
+
+        met = edges.select(*names, F.explode(own).alias("block")).groupBy("grid_id", "block").applyInPandas(lambda key, part: work(key, part.drop(columns="block")), schema)
+    met = durable(met)
+    tree, known = met.where(F.col("kind") == _TREE).select(*names), met.where(F.col("kind") == _NAME).select("grid_id", "n", "c")
+    left = durable(met.where(F.col("kind") == _LEFT).select(*names))
+    n = 0 if block is None else left.count()
+    if not n:
+        return tree, known
+    ends = durable(left.select("grid_id", F.explode(F.array("n0", "n1")).alias("n")).distinct())
+    named = durable(known.join(few(ends, n), ["grid_id", "n"]))
+    for k in ("n0", "n1"):
+        left = left.join(few(named.select("grid_id", F.col("n").alias(k), F.col("c").alias(f"_{k}")), n), ["grid_id", k]).drop(k).withColumnRenamed(f"_{k}", k)
+    left = durable(left.where("n0 <> n1").select(*names))
+    if n <= iterate.GATHERED or size is None or n <= size // 2:
+        more, upper = _forest(left, None if n <= iterate.GATHERED else block * 16, n)
+    else:
+        more, upper = _cheapest(left)
+    upper = durable(upper.select("grid_id", F.col("n").alias("c"), F.col("c").alias("whole")))
+    whole = known.join(few(upper, n), ["grid_id", "c"], "left").select("grid_id", "n", F.coalesce("whole", "c").alias("c"))
+    kept = durable(more.select("grid_id", "b0", "b1"))
+    rest = met.where(F.col("kind") == _LEFT).select(*names).join(few(kept, n), ["grid_id", "b0", "b1"], "left_semi").select(*names)
+    return tree.unionByName(rest), durable(whole)
+
+
+def _cheapest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_forest by rounds of cheapest outgoing edges and pointer doubling."""
     edges = durable(edges)
-    names = durable(edges.select("grid_id", F.explode(F.array("b0", "b1")).alias("b")).distinct().withColumn("c", F.col("b")))
+    names = durable(edges.select("grid_id", F.explode(F.array("n0", "n1")).alias("n")).distinct().withColumn("c", F.col("n")))
     tree = None
     while True:
-        ends = edges.join(names.select("grid_id", F.col("b").alias("b0"), F.col("c").alias("c0")), ["grid_id", "b0"]).join(names.select("grid_id", F.col("b").alias("b1"), F.col("c").alias("c1")), ["grid_id", "b1"]).where("c0 <> c1")
+        ends = edges.join(names.select("grid_id", F.col("n").alias("n0"), F.col("c").alias("c0")), ["grid_id", "n0"]).join(names.select("grid_id", F.col("n").alias("n1"), F.col("c").alias("c1")), ["grid_id", "n1"]).where("c0 <> c1")
         key = F.struct("pass_elev", "b0", "b1", "c0", "c1")
         both = ends.select("grid_id", F.explode(F.array(F.struct(F.col("c0").alias("c"), key.alias("k")), F.struct(F.col("c1").alias("c"), key.alias("k")))).alias("x"))
         best = durable(both.groupBy("grid_id", F.col("x.c").alias("c")).agg(F.min("x.k").alias("k")))
@@ -129,8 +214,8 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         cut = hop.join(back, ["grid_id", "to"], "left").select("grid_id", "src", F.when((F.col("again") == F.col("src")) & (F.col("src") < F.col("to")), F.col("src")).otherwise(F.col("to")).alias("rec"))
         alone = names.select("grid_id", F.col("c").alias("src")).distinct().join(cut, ["grid_id", "src"], "left_anti").withColumn("rec", F.col("src"))
         roots = ancestors(cut.unionByName(alone)).select("grid_id", F.col("idx").alias("c"), "root")
-        names = durable(names.join(roots, ["grid_id", "c"]).select("grid_id", "b", F.col("root").alias("c")))
-    return edges.join(tree, ["grid_id", "b0", "b1"]) if tree is not None else edges.limit(0), names
+        names = durable(names.join(roots, ["grid_id", "c"]).select("grid_id", "n", F.col("root").alias("c")))
+    return edges.join(tree, ["grid_id", "b0", "b1"], "left_semi").select(*edges.columns) if tree is not None else edges.limit(0), names
 
 
 def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
@@ -142,7 +227,8 @@ def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
     ends) is ranked by pointer doubling: of an edge's two arcs the earlier one leads away from the root. Arcs are numbered
     in ranges, so a basin with many neighbours isn't gathered. outer: grid_id, b.
     """
-    reached = names.join(names.join(outer, ["grid_id", "b"], "left_semi").select("grid_id", "c").distinct(), ["grid_id", "c"], "left_semi").select("grid_id", "b")
+    drained = durable(names.join(outer, ["grid_id", "b"], "left_semi").select("grid_id", "c").distinct())
+    reached = names.join(few(drained, drained.count()), ["grid_id", "c"], "left_semi").select("grid_id", "b")
     given = tree.where("p0 is not null").join(reached.withColumnRenamed("b", "b0"), ["grid_id", "b0"], "left_semi")
     beside = outer.select("grid_id", F.col("b").alias("b1"), F.lit(True).alias("out"))
     given = durable(given.join(beside, ["grid_id", "b1"], "left").withColumn("out", F.coalesce("out", F.lit(False))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runoff.functions.ordinals import from_ordinal_column, ordinal_column
 from runoff.operators import analytics
-from runoff.plans.iterate import doubled, durable, sum_downstream
+from runoff.plans.iterate import doubled, durable, greatest, sum_downstream
 from runoff.schema import NODE
 
 
@@ -80,6 +80,6 @@ def fill(surface: DataFrame, flow: DataFrame) -> DataFrame:
     """
     own = surface.select(*NODE, ordinal_column(F.col("z")).alias("m"))
     own = own.join(flow.select("grid_id", F.col("src").alias("idx"), (F.col("src") != F.col("rec")).cast("long").alias("steps")), NODE)
-    high = doubled(flow, own, {"m": F.greatest("m", F.col("m_up") + F.col("steps")), "steps": F.col("steps") + F.col("steps_up")})
+    high = doubled(flow, own, {"m": lambda a, b: greatest(a["m"], b["m"] + a["steps"]), "steps": lambda a, b: a["steps"] + b["steps"]})
     both = surface.select("*", ordinal_column(F.col("z")).alias("_own")).join(high.select(*NODE, "m"), NODE)
     return durable(both.select(*NODE, F.when(F.col("m") > F.col("_own"), from_ordinal_column(F.col("m"))).otherwise(F.col("z")).alias("z"), *[c for c in surface.columns if c not in (*NODE, "z")]))

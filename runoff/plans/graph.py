@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runoff.operators import analytics, grouped
 from runoff.operators.basin_graph import BasinGraph
 from runoff.operators.routing import multi_flow, single_flow
-from runoff.plans.iterate import doubled, durable
+from runoff.plans.iterate import doubled, durable, least
 from runoff.schema import FLOW, NODE, FlowDirection, MSTMethod, MSTRouteMethod, NodeStatus
 from runoff.sources.grids import Grid
 
@@ -299,7 +299,7 @@ def _eroded_by_doubling(nodes: DataFrame, flow: DataFrame, dt: float, area_exp:
     drains = (F.col("src") != F.col("rec")) & (F.col("zr") <= F.col("z"))
     f = F.when(drains, F.col("k") * dt * F.pow("acc", F.lit(float(area_exp))) / F.col("distance")).otherwise(0.0)
     parts = met.withColumn("f", f).select("grid_id", F.col("src").alias("idx"), F.col("z").alias("c"), (F.col("z") / (1 + F.col("f"))).alias("a"), (F.col("f") / (1 + F.col("f"))).alias("b"))
-    whole = doubled(flow, parts, {"c": F.least("c", F.col("a") + F.col("b") * F.col("c_up")), "a": F.col("a") + F.col("b") * F.col("a_up"), "b": F.col("b") * F.col("b_up")})
+    whole = doubled(flow, parts, {"c": lambda x, up: least(x["c"], x["a"] + x["b"] * up["c"]), "a": lambda x, up: x["a"] + x["b"] * up["a"], "b": lambda x, up: x["b"] * up["b"]})
     return nodes.join(whole, NODE).select(*NODE, (F.col("z") - F.least("c", "a")).alias("erosion"), F.lit(False).alias("limited"))
 
 

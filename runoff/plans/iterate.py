@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,57 +55,207 @@ def _bounded(state: DataFrame) -> Iterator[int]:
     raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
 
 
-def doubled(flow: DataFrame, values: DataFrame, combine: Mapping[str, Column]) -> DataFrame:
-    """grid_id, idx and the values of each node combined with those of all nodes that it drains through, for a
-    single-receiver flow (grid_id, src, rec) by pointer doubling, in log2(depth) rounds.
+#: Node numbers of a block, whose paths a task composes.
+BLOCK = 1 << 16
+#: Rows of what is left between blocks that a task gathers, and that are broadcast.
+GATHERED = 1 << 17
+#: Pointers of nodes that have no further node, and of those that run in a circle; others are node numbers.
+ENDS, CIRCLES = -1, -2
+
+
+def greatest(a: Any, b: Any) -> Any:
+    """Of columns or of arrays."""
+    return F.greatest(a, b) if isinstance(a, Column) else np.maximum(a, b)
+
+
+def least(a: Any, b: Any) -> Any:
+    """Of columns or of arrays."""
+    return F.least(a, b) if isinstance(a, Column) else np.minimum(a, b)
+
+
+Combine = Mapping[str, Callable[[Mapping[str, Any], Mapping[str, Any]], Any]]
+
+
+def _inside(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's pointer leads in rows sorted by idx, ENDS where it leads out of them, and the pointers."""
+    ids, p = part["idx"].to_numpy(), part["p"].to_numpy().copy()
+    at = np.minimum(np.searchsorted(ids, p), len(ids) - 1)
+    return np.where((p >= 0) & (ids[at] == p), at, ENDS), p
+
+
+def _composed(part: pd.DataFrame, combine: Combine) -> pd.DataFrame:
+    """Pointers and values composed until every pointer leads out of the rows, or ends."""
+    part = part.sort_values("idx", ignore_index=True)
+    q, p = _inside(part)
+    data = {c: part[c].to_numpy().copy() for c in combine}
+    for _ in range(len(part).bit_length() + 2):
+        live = np.flatnonzero(q >= 0)
+        if not len(live):
+            break
+        to = q[live]
+        own, up = ({c: data[c][at] for c in combine} for at in (live, to))
+        new = {c: f(own, up) for c, f in combine.items()}
+        q[live], p[live] = q[to], p[to]
+        for c in combine:
+            data[c][live] = new[c]
+    p[q >= 0] = CIRCLES
+    return part[["grid_id", "idx"]].assign(p=p, **data)
+
+
+def _summed(part: pd.DataFrame) -> pd.DataFrame:
+    """Sums `s` of v over each row and what drains to it inside of the rows, and the pointer `away` that its path leaves by."""
+    part = part.sort_values("idx", ignore_index=True)
+    q, away = _inside(part)
+    s, leaves = part["v"].to_numpy().astype(float), (q < 0) & (away >= 0)
+    for _ in range(len(part).bit_length() + 2):
+        live = np.flatnonzero(q >= 0)
+        if not len(live):
+            break
+        to = q[live]
+        s += np.bincount(to, s[live], len(s))
+        q[live], away[live] = q[to], away[to]
+    away[q >= 0] = CIRCLES
+    return part[["grid_id", "idx", "p", "v"]].assign(away=away, s=s, leaves=leaves)
+
+
+def by_block(rows: DataFrame, block: int | None, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """work on the rows of each block of node numbers; on all rows of a surface, if block is None."""
+    on = [F.col("grid_id")] if block is None else [F.col("grid_id"), F.expr(f"idx div {block}")]
+    return rows.groupBy(*on).applyInPandas(lambda part: work(part), schema)
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """Rows that n numbers at most, to be broadcast where that is little."""
+    return F.broadcast(rows) if n <= GATHERED else rows
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _solved(state: DataFrame, combine: Combine, block: int | None, size: int) -> DataFrame:
+    """state (grid_id, idx, p, values) with pointers followed to their ends; rows whose pointers have none are left out.
 
-    `combine` gives a value's column from a node's own values and, under the names with _up, those of the node that its
-    pointer leads to; it must be associative. Nodes whose pointer is known to end at a root are settled and join nothing
-    more, so a root is met by its own donors only, however many nodes drain to it.
+    A task composes the paths inside of a block. What is left are the nodes where paths enter blocks: they are solved in
+    the same way, by a task where they are few, or by rounds of pointer doubling where blocks hardly shorten the paths.
     """
-    pointer = F.when(F.col("src") != F.col("rec"), F.col("rec"))
-    names = list(combine)
-    state = durable(flow.select("grid_id", F.col("src").alias("idx"), pointer.alias("p")).join(values.select(*NODE, *names), NODE))
+    inner = durable(by_block(state, block, lambda part: _composed(part, combine), _schema(state)))
+    entries = durable(inner.where("p >= 0").select("grid_id", F.col("p").alias("idx")).distinct())
+    n = 0 if block is None else entries.count()
+    if not n:
+        return inner.where(F.col("p") == ENDS)
+    if n <= GATHERED or n <= size // 2:
+        left = inner.join(few(entries, n), NODE, "left_semi").select(*inner.columns)
+        left = durable(_solved(left, combine, None if n <= GATHERED else block * 16, n))
+    else:
+        left = _rounds(inner, combine)
+    up = left.select("grid_id", F.col("idx").alias("p"), *[F.col(c).alias(f"{c}_up") for c in combine])
+    met = inner.where("p >= 0").join(few(up, n), ["grid_id", "p"])
+    own, above = {c: F.col(c) for c in combine}, {c: F.col(f"{c}_up") for c in combine}
+    done = met.select(*NODE, F.lit(ENDS).cast("long").alias("p"), *[f(own, above).alias(c) for c, f in combine.items()])
+    return inner.where(F.col("p") == ENDS).unionByName(done)
+
+
+def _rounds(state: DataFrame, combine: Combine) -> DataFrame:
+    """_solved by pointer doubling over all rows. Nodes whose pointer is known to end at a root join nothing more, so a
+    root is met by its own donors only, however many nodes drain to it."""
+    own, above, names = {c: F.col(c) for c in combine}, {c: F.col(f"{c}_up") for c in combine}, list(combine)
 
     def step(first: bool) -> DataFrame:
-        up = state.select("grid_id", F.col("idx").alias("p"), F.col("p").alias("pp"), *[F.col(c).alias(f"{c}_up") for c in names])
-        met = state.where("p is not null").join(up, ["grid_id", "p"])
+        up = state.where(F.col("p") != CIRCLES).select("grid_id", F.col("idx").alias("p"), F.col("p").alias("pp"), *[F.col(c).alias(f"{c}_up") for c in names])
+        met = state.where("p >= 0").join(up, ["grid_id", "p"])
+        new = {c: f(own, above) for c, f in combine.items()}
         if first:  # only what drains straight to a root moves on
-            new = met.select(*NODE, F.when(F.col("pp").isNotNull(), F.col("p")).alias("p"), *[F.when(F.col("pp").isNull(), combine[c]).otherwise(F.col(c)).alias(c) for c in names])
+            ended = F.col("pp") == ENDS
+            moved = met.select(*NODE, F.when(ended, F.col("pp")).otherwise(F.col("p")).alias("p"), *[F.when(ended, new[c]).otherwise(F.col(c)).alias(c) for c in names])
         else:
-            new = met.select(*NODE, F.col("pp").alias("p"), *[combine[c].alias(c) for c in names])
-        return durable(state.where("p is null").unionByName(new))
+            moved = met.select(*NODE, F.col("pp").alias("p"), *[new[c].alias(c) for c in names])
+        return durable(state.where(F.col("p") == ENDS).unionByName(moved))
 
-    size = state.count()
     state = step(True)
     for _ in _bounded(state):
-        if not state.where("p is not null").limit(1).count():
+        if not state.where("p >= 0").limit(1).count():
             break
         state = step(False)
-    if state.count() != size:
-        raise ValueError("the flow leads to nodes that it doesn't have")
-    return state.drop("p")
+    return state
+
+
+def _pointers(flow: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    return flow.select("grid_id", F.col("src").alias("idx"), F.when(F.col("src") != F.col("rec"), F.col("rec")).otherwise(F.lit(ENDS)).cast("long").alias("p"), *more)
+
+
+def doubled(flow: DataFrame, values: DataFrame | None, combine: Combine, size: int | None = None) -> DataFrame:
+    """grid_id, idx and the values of each node combined with those of all nodes that it drains through, for a
+    single-receiver flow (grid_id, src, rec): by blocks of node numbers, then over the nodes where paths enter a block.
+
+    `combine` gives a value from a node's own values and those of the node that its pointer leads to, of columns as of
+    arrays; it must be associative, and values no nulls. Without `values` (grid_id, idx, ...) the flow holds them.
+    """
+    names = list(combine)
+    state = _pointers(flow).join(values.select(*NODE, *names), NODE) if values is not None else _pointers(flow, names)
+    size = flow.count() if size is None else size
+    done = durable(_solved(state, combine, BLOCK, size))
+    if done.count() != size:
+        raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
+    return done.drop("p")
+
+
+#: Stands for a null where paths are composed.
+_NULL = -(2**63)
 
 
 def ancestors(flow: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """grid_id, idx, root, depth of a single-receiver flow, and each root's columns of `given` (grid_id, idx, ...)."""
-    own = flow.select("grid_id", F.col("src").alias("idx"), F.col("rec").alias("root"), (F.col("src") != F.col("rec")).cast("long").alias("depth"))
-    more = [c for c in given.columns if c not in NODE] if given is not None else []
-    own = own.join(given, NODE, "left") if given is not None else own
-    combine = {"root": F.col("root_up"), "depth": F.col("depth") + F.col("depth_up")} | {c: F.col(f"{c}_up") for c in more}
-    return doubled(flow, own, combine)
+    """grid_id, idx, root, depth of a single-receiver flow, and each root's columns of `given` (grid_id, idx, ...), which
+    are whole numbers or booleans."""
+    own = flow.select("grid_id", F.col("src").alias("idx"), "rec", F.col("rec").alias("root"), (F.col("src") != F.col("rec")).cast("long").alias("depth"))
+    kinds = {f.name: f.dataType for f in given.schema if f.name not in NODE} if given is not None else {}
+    if given is not None:
+        coded = given.select(*NODE, *[F.col(c).cast("long").alias(c) for c in kinds])
+        own = own.join(coded, NODE, "left").select(*own.columns, *[F.coalesce(c, F.lit(_NULL)).alias(c) for c in kinds])
+    combine: Combine = {"root": lambda a, b: b["root"], "depth": lambda a, b: a["depth"] + b["depth"]} | {c: lambda a, b, c=c: b[c] for c in kinds}
+    done = doubled(own.withColumnRenamed("idx", "src"), None, combine)
+    return done.select(*NODE, "root", "depth", *[F.when(F.col(c) != _NULL, F.col(c)).cast(t).alias(c) for c, t in kinds.items()])
 
 
 def sum_downstream(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
     """grid_id, idx and value summed over each node and all that drains to it, for a single-receiver flow.
 
-    Round k adds to a node what its ancestors' pointers at distance 2**k bring: sums are partly made before each shuffle.
-    A pointer that ends at a root is known to, and needs no lookup; rows without one go by keys of their own.
+    A task adds up what drains inside of a block. What blocks send to each other is summed over the nodes where it
+    enters, in the same way; a second pass adds it to the nodes below.
     """
-    pointer = F.when(F.col("src") != F.col("rec"), F.col("rec"))
-    roots = flow.where("src = rec").select("grid_id", F.col("src").alias("rec"), F.lit(True).alias("last"))
-    known = flow.select("grid_id", "src", "rec").join(roots, ["grid_id", "rec"], "left")
-    state = durable(known.select("grid_id", F.col("src").alias("idx"), pointer.alias("p"), F.coalesce("last", F.lit(False)).alias("last")).join(own.select(*NODE, F.col(value).alias("v")), NODE))
+    state = durable(_pointers(flow).join(own.select(*NODE, F.col(value).cast("double").alias("v")), NODE))
+    return _drained(state, BLOCK, state.count()).select(*NODE, F.col("s").alias(value))
+
+
+_SUMS = "grid_id long, idx long, p long, v double, away long, s double, leaves boolean"
+
+
+def _drained(state: DataFrame, block: int | None, size: int) -> DataFrame:
+    """grid_id, idx, s: v of state (grid_id, idx, p, v) summed over each row and all that drains to it."""
+    inner = durable(by_block(state, block, _summed, _SUMS))
+    sent = durable(inner.where("leaves").groupBy("grid_id", F.col("p").alias("idx")).agg(F.sum("s").alias("more")))
+    n, circles = sent.count(), inner.where(F.col("away") == CIRCLES).limit(1).count()
+    if circles or n and block is None:
+        raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
+    if not n:
+        return inner
+    left = durable(inner.select(*NODE, "away").join(few(sent, n), NODE).select(*NODE, F.col("away").alias("p"), F.col("more").alias("v")))
+    if left.count() != n:
+        raise ValueError("the flow leads to nodes that it doesn't have")
+    if n <= GATHERED or n <= size // 2:
+        entered = durable(_drained(left, None if n <= GATHERED else block * 16, n))
+    else:
+        entered = _summed_rounds(left)
+    more = entered.select(*NODE, F.col("s").alias("more"))
+    met = inner.select(*NODE, "p", "v").join(few(more, n), NODE, "left").select(*NODE, "p", (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v"))
+    return by_block(met, block, _summed, _SUMS)
+
+
+def _summed_rounds(state: DataFrame) -> DataFrame:
+    """_drained by pointer doubling over all rows: round k adds to a node what its ancestors' pointers at distance 2**k
+    bring. A pointer that ends at a root is known to, and needs no lookup; rows without one go by keys of their own."""
+    roots = state.where("p < 0").select("grid_id", F.col("idx").alias("p"), F.lit(True).alias("last"))
+    state = durable(state.join(roots, ["grid_id", "p"], "left").select(*NODE, F.when(F.col("p") >= 0, F.col("p")).alias("p"), F.coalesce("last", F.lit(False)).alias("last"), "v"))
     for _ in _bounded(state):
         if not state.where("p is not null").limit(1).count():
             break
@@ -111,7 +264,7 @@ def sum_downstream(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
         key = F.when(F.col("p").isNull() | F.col("last"), -1 - F.col("idx")).otherwise(F.col("p"))
         met = state.join(pushed, NODE, "left").withColumn("k", key).join(up, ["grid_id", "k"], "left")
         state = durable(met.select(*NODE, F.col("pp").alias("p"), F.coalesce("end", F.lit(True)).alias("last"), (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
-    return state.select(*NODE, F.col("v").alias(value))
+    return state.select(*NODE, F.col("v").alias("s"))
 
 
 def levels(flow: DataFrame) -> DataFrame:

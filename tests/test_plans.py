@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runoff.operators import grouped
+from runoff.operators import analytics, grouped
 from runoff.operators.kernels import COLUMN, SCALAR, FlowKernelEroder, create_flow_kernel
 from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
+from runoff.plans import iterate
 from runoff.plans.iterate import ancestors, sum_downstream
 from runoff.schema import FlowDirection, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
 from runoff.sources.grids import HealpixGrid, ProfileBoundaryStatus, ProfileGrid, RasterBoundaryStatus, RasterGrid, TriMesh
@@ -53,6 +54,78 @@ def test_circles_and_lost_nodes_end(spark, recs):
             sum_downstream(flow, spark.range(4).selectExpr("0L as grid_id", "id as idx", "1.0D as v"), "v")
 
 
+@pytest.fixture(params=[(7, 1 << 17), (7, 3)], ids=["gathered", "rounds"])
+def small_blocks(request, monkeypatch):
+    """Blocks of few nodes; what is left between them is gathered, or solved by rounds."""
+    for name, value in zip(("BLOCK", "GATHERED"), request.param, strict=True):
+        monkeypatch.setattr(iterate, name, value)
+
+
+def test_paths_by_blocks(spark, small_blocks):
+    rng = np.random.default_rng(3)
+    recs = [[0] + [int(rng.integers(max(0, i - 5), i)) for i in range(1, 90)], [int(rng.integers(0, i + 1)) for i in range(90)]]
+    flow = spark.createDataFrame([(g, i, r) for g, rec in enumerate(recs) for i, r in enumerate(rec)], "grid_id long, src long, rec long")
+    own = spark.createDataFrame([(g, i, float(i % 7)) for g in (0, 1) for i in range(90)], "grid_id long, idx long, v double")
+    depth, root, total = [], [], []
+    for g, rec in enumerate(recs):
+        sums = [float(i % 7) for i in range(90)]
+        for i in range(89, -1, -1):
+            if rec[i] != i:
+                sums[rec[i]] += sums[i]
+        d, r = [0] * 90, list(range(90))
+        for i in range(90):
+            if rec[i] != i:
+                d[i], r[i] = d[rec[i]] + 1, r[rec[i]]
+        depth += [(g, i, x) for i, x in enumerate(d)]
+        root += [(g, i, x) for i, x in enumerate(r)]
+        total += [(g, i, x) for i, x in enumerate(sums)]
+    given = flow.where("src = rec").select("grid_id", F.col("src").alias("idx"), (F.col("src") % 2 == 0).alias("even"))
+    found = ancestors(flow, given)
+    assert rows(found, "grid_id", "idx", "depth") == depth and rows(found, "grid_id", "idx", "root") == root
+    assert [r[2] for r in rows(found, "grid_id", "idx", "even")] == [x % 2 == 0 for _, _, x in root]
+    assert rows(sum_downstream(flow, own, "v"), "grid_id", "idx", "v") == total
+
+
+@pytest.mark.parametrize("recs", [[1, 2, 0, 3], [0, 9, 1, 2], [0, 8, 1, 2, 3, 4, 5, 6, 7]])
+def test_circles_across_blocks_end(spark, small_blocks, recs):
+    flow = spark.createDataFrame([(0, i, r) for i, r in enumerate(recs)], "grid_id long, src long, rec long")
+    with pytest.raises(ValueError):
+        ancestors(flow)
+    with pytest.raises(ValueError):
+        sum_downstream(flow, spark.range(len(recs)).selectExpr("0L as grid_id", "id as idx", "1.0D as v"), "v")
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """Not one round for each doubling of the path's length."""
+    made = []
+    plain = iterate.durable
+    monkeypatch.setattr(iterate, "durable", lambda df: made.append(1) or plain(df))
+    flow = spark.range(3000).selectExpr("0L as grid_id", "id as src", "greatest(id - 1, 0L) as rec")
+    assert ancestors(flow).agg(F.sum("depth")).first()[0] == 2999 * 1500 and len(made) <= 4
+    made.clear()
+    total = sum_downstream(flow, flow.select("grid_id", F.col("src").alias("idx"), F.lit(1.0).alias("v")), "v")
+    assert total.agg(F.max("v")).first()[0] == 3000 and len(made) <= 4
+
+
+def test_forest_by_blocks(spark, small_blocks):
+    """As Kruskal's, with equal passes and surfaces that fall apart."""
+    rng = np.random.default_rng(7)
+    pairs = sorted({(g, min(a, b), max(a, b)) for g in (0, 1) for a, b in rng.integers(0, 60, (150 - 90 * g, 2)).tolist() if abs(a - b) < 20 and a != b})
+    edges = [(g, a, b, float(rng.integers(0, 9))) for g, a, b in pairs]
+    tree, names = analytics.spanning_forest(spark.createDataFrame(edges, "grid_id long, b0 long, b1 long, pass_elev double"))
+    wanted, parts = [], 0
+    for g in (0, 1):
+        here = [e for e in edges if e[0] == g]
+        b0, b1, elev = (np.array([e[k] for e in here]) for k in (1, 2, 3))
+        kept = grouped.spanning_tree(b0, b1, elev, 60)
+        wanted += [here[k][:3] for k in kept]
+        parts += len(set(b0.tolist()) | set(b1.tolist())) - len(kept)
+    assert sorted(tuple(r) for r in tree.select("grid_id", "b0", "b1").collect()) == sorted(wanted)
+    assert names.select("grid_id", "b").distinct().count() == names.count() and names.select("grid_id", "c").distinct().count() == parts
+    ends = tree.join(names, (names.grid_id == tree.grid_id) & (names.b == tree.b0)).select(tree.grid_id, "b1", "c")
+    assert ends.join(names.select("grid_id", F.col("b").alias("b1"), F.col("c").alias("d")), ["grid_id", "b1"]).where("c <> d").count() == 0
+
+
 @pytest.mark.parametrize(("route", "case"), [(MSTRouteMethod.CARVE, "masked"), (MSTRouteMethod.BASIC, "ties")])
 def test_resolved_by_plans_as_in_a_task(spark, route, case):
     rng = np.random.default_rng(4)
