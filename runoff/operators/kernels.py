@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runoff.operators import grouped
+from runoff.plans import iterate
 from runoff.plans.graph import FlowGraph
-from runoff.plans.iterate import durable
+from runoff.plans.iterate import ancestors, durable
 from runoff.schema import NODE, FlowGraphTraversalDir
 
 _RESERVED = {"receivers", "donors", "count", "distance", "weight", "idx", "grid_id"}
@@ -136,7 +137,12 @@ class FlowKernel:
         """Applies the kernel to bound data; the outputs are bound anew."""
         data.check_bindings()
         scalars, columns = {k: data[k] for k, v in self.spec.items() if v == SCALAR}, data.columns()
-        done = durable(self.apply(scalars, columns) if self.n_threads == 1 else self.apply_by_levels(scalars, columns))
+        if self.n_threads == 1:
+            done = durable(self.apply(scalars, columns))
+        elif self.apply_dir == FlowGraphTraversalDir.ANY or (bundles := self._bundles()) is None:
+            done = durable(self.apply_by_levels(scalars, columns))
+        else:  # in a basin a level's nodes are no neighbours, so one after the other is as side by side
+            done = durable(self._by_bundle(scalars, columns, bundles, frozenset()))
         data.bind(**{o: done.select(*NODE, F.col(o).alias("value")) for o in self.outputs})
         return done
 
@@ -181,6 +187,41 @@ class FlowKernel:
         unbound = [k for k, v in self.spec.items() if (k not in scalars if v == SCALAR else k not in columns.columns)]
         if unbound:
             raise ValueError(f"not bound: {unbound}")
+        need = [k for k, v in self.spec.items() if v == COLUMN]
+        bundles = self._bundles() if self.graph.grid.size > iterate.BLOCK else None
+        if bundles is not None:
+            return self._by_bundle(scalars, columns, bundles, frozenset(self.outputs))
+        return grouped.per_grid(columns.select(*NODE, *need), self.graph.flow, self._work(scalars, frozenset(self.outputs)), self._schema())
+
+    def _schema(self) -> str:
+        return "grid_id long, idx long, " + ", ".join(f"{k} double" for k in self.outputs)
+
+    def _bundles(self) -> DataFrame | None:
+        """grid_id, idx, bundle: each node of single flow by the block of its outlet's number, if no bundle is larger than a
+        task may gather. A node meets its receivers and donors only, so basins know nothing of each other."""
+        if not self.graph.single_flow:
+            return None
+        bundles = durable(ancestors(self.graph.flow).select(*NODE, F.expr(f"root div {iterate.BLOCK}").alias("bundle")))
+        most = bundles.groupBy("grid_id", "bundle").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        return bundles if most is None or most <= grouped.LOCAL_NODES else None
+
+    def _by_bundle(self, scalars: Mapping[str, float], columns: DataFrame, bundles: DataFrame, beside: frozenset[str]) -> DataFrame:
+        """The kernel on the basins of a bundle in a task; node numbers are made dense there, in their order."""
+        need, work = [k for k, v in self.spec.items() if v == COLUMN], self._work(scalars, beside)
+        flow = self.graph.flow.select("grid_id", F.col("src").alias("idx"), "rec", "distance", "weight")
+        rows = columns.select(*NODE, *need).join(flow, NODE).join(bundles, NODE)
+
+        def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("idx", ignore_index=True)
+            ids = part["idx"].to_numpy()
+            local = pd.DataFrame({"src": np.arange(len(ids)), "rec": np.searchsorted(ids, part["rec"].to_numpy()), "distance": part["distance"], "weight": part["weight"]})
+            return work(part, local).assign(grid_id=key[0])[names]
+
+        names = [*NODE, *self.outputs]
+        return rows.groupBy("grid_id", "bundle").applyInPandas(run, self._schema())
+
+    def _work(self, scalars: Mapping[str, float], beside: frozenset[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        """The kernel on nodes sorted by number and their flow; `beside`: what may be written to receivers and donors."""
         func, spec, outputs, direction = self.func, self.spec, self.outputs, self.apply_dir
         values = {k: v for k, v in scalars.items() if k in spec}
 
@@ -204,11 +245,10 @@ class FlowKernel:
             for i in order:
                 s = slice(to.start[i], to.start[i + 1])
                 donors = to.src[by_rec[start[i] : start[i + 1]]]
-                func(_Node(data, i, _Side(data, to.to[s], to.distance[s], weight[s], wanted), _Side(data, donors, None, None, wanted), wanted))
+                func(_Node(data, i, _Side(data, to.to[s], to.distance[s], weight[s], beside), _Side(data, donors, None, None, beside), wanted))
             return nodes[["idx"]].assign(**{k: data[k] for k in outputs})
 
-        need = [k for k, v in spec.items() if v == COLUMN]
-        return grouped.per_grid(columns.select(*NODE, *need), self.graph.flow, work, "grid_id long, idx long, " + ", ".join(f"{k} double" for k in outputs))
+        return work
 
 
 def create_flow_kernel(graph: FlowGraph, func: Callable[[Any], Any], spec: Mapping[str, Any], *, apply_dir: FlowGraphTraversalDir = FlowGraphTraversalDir.DEPTH_UPSTREAM, outputs: Sequence[str] = (), n_threads: int = 1) -> tuple[FlowKernel, FlowKernelData]:
