@@ -287,22 +287,83 @@ def levels(flow: DataFrame) -> DataFrame:
 
 #: Rounds whose shares are added up together.
 FOLD = 32
+#: Kinds of rows that a block makes: what reaches a node, what leaves the block, and edges below the nodes where flow enters.
+_REACHED, _LEFT, _BELOW, _CIRCLE = 0, 1, 2, 3
+
+
+def _pushed(edges: pd.DataFrame, moving: pd.DataFrame) -> pd.DataFrame:
+    """What moves in a block, led down its edges: kind, idx, rec, v."""
+    made = {k: [] for k in ("kind", "idx", "rec", "v")}
+
+    def add(kind: int, idx: np.ndarray, rec: np.ndarray | None, v: np.ndarray) -> None:
+        for k, x in zip(made, (np.full(len(idx), kind), idx, np.full(len(idx), -1) if rec is None else rec, v), strict=True):
+            made[k].append(x)
+
+    src, rec, weight, across = (edges[c].to_numpy(t) for c, t in (("src", np.int64), ("rec", np.int64), ("weight", float), ("across", bool)))
+    ids = np.unique(np.concatenate([src, rec[~across], moving["idx"].to_numpy(np.int64)]))
+    v, enters = np.zeros(len(ids)), np.zeros(len(ids), bool)
+    at = np.searchsorted(ids, moving["idx"].to_numpy())
+    np.add.at(v, at, moving["v"].to_numpy())
+    enters[at[moving["enters"].to_numpy(bool)]] = True
+    s, r = np.searchsorted(ids, src), np.where(across, -1, np.searchsorted(ids, rec))
+    inner = np.flatnonzero(~across)
+    wait = np.bincount(r[inner], minlength=len(ids))
+    by_src = np.argsort(s, kind="stable")
+    start = np.searchsorted(s[by_src], np.arange(len(ids) + 1))
+    front, seen, below = np.flatnonzero(wait == 0), 0, np.zeros(len(src), bool)
+    while len(front):  # a node moves on once all that drains to it has
+        seen += len(front)
+        counts = start[front + 1] - start[front]
+        edge = by_src[np.repeat(start[front] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        below[edge] = enters[s[edge]]
+        edge = edge[r[edge] >= 0]
+        np.add.at(v, r[edge], v[s[edge]] * weight[edge])
+        enters[r[edge][enters[s[edge]]]] = True
+        np.subtract.at(wait, r[edge], 1)
+        front = np.unique(r[edge][wait[r[edge]] == 0])
+    if seen < len(ids):
+        add(_CIRCLE, ids[:1], None, np.zeros(1))
+    there = np.flatnonzero(v)
+    add(_REACHED, ids[there], None, v[there])
+    out = np.flatnonzero(across & (v[s] != 0))
+    add(_LEFT, src[out], rec[out], v[s[out]] * weight[out])
+    add(_BELOW, src[below], rec[below], weight[below])
+    return pd.DataFrame({k: np.concatenate(x) for k, x in made.items()})
 
 
 def sum_by_levels(flow: DataFrame, own: DataFrame, value: str) -> DataFrame:
     """As sum_downstream, for flow with weights to several receivers.
 
-    Round k moves what each node has sent k steps down, combined before the shuffle; rounds end with the longest path.
+    A round leads what moves down to the borders of its block; rounds end with the path that crosses most borders. After
+    the first, only the edges below nodes where flow enters a block take part.
     """
-    edges = durable(flow.where("src <> rec").select("grid_id", F.col("src").alias("idx"), "rec", "weight"))
-    moving = durable(own.select(*NODE, F.col(value).cast("double").alias("v")))
-    total = lambda parts: durable(reduce(DataFrame.unionByName, parts).groupBy(*NODE).agg(F.sum("v").alias("v")))
-    parts, most = [moving], moving.count()
-    for _ in range(most + 1):
-        moving = durable(edges.join(moving, NODE).groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sum(F.col("v") * F.col("weight")).alias("v")))
-        if not moving.limit(1).count():
-            return total(parts).select(*NODE, F.col("v").alias(value))
-        parts.append(moving)
-        if len(parts) > FOLD:
-            parts = [total(parts)]
-    raise ValueError("the flow runs in a circle")
+    of = lambda c: F.expr(f"{c} div {BLOCK}")
+    edges = flow.where("src <> rec").select("grid_id", of("src").alias("block"), "src", "rec", "weight", (of("src") != of("rec")).alias("across"))
+    start = own.select(*NODE, F.col(value).cast("double").alias("v"), F.lit(False).alias("enters"))
+    entered = edges.where("across").select("grid_id", F.col("rec").alias("idx"), F.lit(0.0).alias("v"), F.lit(True).alias("enters")).distinct()
+    moving, most, below, parts = start.unionByName(entered), None, None, []
+
+    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return pd.DataFrame({c: [] for c in ("grid_id", "kind", "idx", "rec", "v")})
+        return _pushed(left, right).assign(grid_id=key[0])
+
+    while True:
+        here = moving.select(*[F.col(c).alias(c) for c in moving.columns], of("idx").alias("block"))  # columns of its own
+        made = durable(edges.groupBy("grid_id", "block").cogroup(here.groupBy("grid_id", "block")).applyInPandas(work, "grid_id long, kind long, idx long, rec long, v double"))
+        counts = {r["kind"]: r["n"] for r in made.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if _CIRCLE in counts:
+            raise ValueError("the flow runs in a circle")
+        parts.append(made.where(F.col("kind") == _REACHED).select(*NODE, "v"))
+        if _LEFT not in counts:
+            break
+        if below is None:
+            below, most = made.where(F.col("kind") == _BELOW), counts.get(_REACHED, 0)
+            edges = durable(below.select("grid_id", of("idx").alias("block"), F.col("idx").alias("src"), "rec", F.col("v").alias("weight"), (of("idx") != of("rec")).alias("across")))
+        elif len(parts) > most + 1:
+            raise ValueError("the flow runs in a circle")
+        if len(parts) > FOLD:  # the first part is of all nodes
+            parts = [parts[0], durable(reduce(DataFrame.unionByName, parts[1:]).groupBy(*NODE).agg(F.sum("v").alias("v")))]
+        moving = made.where(F.col("kind") == _LEFT).groupBy("grid_id", F.col("rec").alias("idx")).agg(F.sum("v").alias("v")).withColumn("enters", F.lit(False))
+    zero = start.select(*NODE, F.lit(0.0).alias("v"))
+    return durable(reduce(DataFrame.unionByName, [zero, *parts]).groupBy(*NODE).agg(F.sum("v").alias(value)))
