@@ -18,7 +18,7 @@ from runoff.functions.ordinals import from_ordinal, from_ordinal_column, ordinal
 
 
 #: Nodes of a surface that a task may gather; larger surfaces take the plans over all nodes, or go block by block.
-LOCAL_NODES = 1 << 20
+LOCAL_NODES = 1 << 18
 
 
 def per_grid(nodes: DataFrame, edges: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -259,49 +259,67 @@ def stream_power(z: np.ndarray, area: np.ndarray, k: np.ndarray, flow: pd.DataFr
 def erode_by_blocks(nodes: DataFrame, flow: DataFrame, block: int, dt: float, m: float, n: float, tolerance: float, linear: bool) -> DataFrame:
     """stream_power for surfaces of any size: grid_id, idx, erosion, limited. nodes: grid_id, idx, z, acc, k.
 
-    A round settles, in every block of node numbers that isn't done, the nodes all of whose ways down leave the block at
-    settled nodes, or not at all. There are as many rounds as the most blocks that a way down enters.
+    Blocks of node numbers are eroded side by side, from what nodes beyond them were in the round before (at first, as
+    high as they are), until none of those changes; only blocks beside a change are eroded again. Flow runs in no circle,
+    so the outcome is the same as in a task, after as many rounds as a way down enters blocks at most. Rounds make rows
+    of borders only; the last pass makes all.
     """
-    from runoff.plans.iterate import durable
+    from runoff.plans.iterate import durable, few
     from runoff.schema import NODE
 
     of = lambda c: F.expr(f"{c} div {block}")
-    low = nodes.select("grid_id", F.col("idx").alias("rec"), F.col("z").alias("zr"))
-    edges = flow.where("src <> rec").join(low, ["grid_id", "rec"]).select("grid_id", "src", "slot", "rec", "distance", "weight", "zr", of("src").alias("block"), (of("src") != of("rec")).alias("across"))
-    edges, own = durable(edges), ["grid_id", "block"]
-    state = durable(nodes.select(*NODE, "z", "acc", "k", of("idx").alias("block"), F.lit(None).cast("double").alias("new"), F.lit(False).alias("limited")))
-
-    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    own = ["grid_id", "block"]
+    edges = durable(flow.where("src <> rec").select("grid_id", "src", "slot", "rec", "distance", "weight", of("src").alias("block"), (of("src") != of("rec")).alias("across")))
+    met = durable(edges.where("across").select("grid_id", F.col("rec").alias("idx")).distinct())
+    count = met.count()
+    known = durable(nodes.select(*NODE, "z").join(few(met, count), NODE, "left_semi").select(*NODE, "z", F.col("z").alias("new")))
+    if known.count() != count:
+        raise ValueError("the flow leads to nodes that it doesn't have")
+    reads = durable(edges.where("across").select(*own, F.col("rec").alias("idx")).distinct())
+    state = durable(nodes.select(*NODE, "z", "acc", "k", of("idx").alias("block")).join(few(met.withColumn("met", F.lit(True)), count), NODE, "left").withColumn("met", F.coalesce("met", F.lit(False))))
+
+    def eroded(left: pd.DataFrame, right: pd.DataFrame, beyond: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("idx", ignore_index=True), right.sort_values(["src", "slot"], ignore_index=True)
         size, ids, out = len(left), left["idx"].to_numpy(), right["across"].to_numpy(bool)
-        beyond = right[out].drop_duplicates("rec").sort_values("rec", ignore_index=True)
+        beyond = beyond.sort_values("idx", ignore_index=True)
         src, rec = np.searchsorted(ids, right["src"].to_numpy()), np.searchsorted(ids, right["rec"].to_numpy())
-        rec[out] = size + np.searchsorted(beyond["rec"].to_numpy(), right["rec"].to_numpy()[out])
+        rec[out] = size + np.searchsorted(beyond["idx"].to_numpy(), right["rec"].to_numpy()[out])
         local = pd.DataFrame({"src": src, "rec": rec, "distance": right["distance"].to_numpy(), "weight": right["weight"].to_numpy()})
-        known, zr = beyond["newr"].to_numpy(float), beyond["zr"].to_numpy(float)
-        waits = np.concatenate([np.zeros(size, bool), np.isnan(known)])
-        z, start = np.concatenate([left["z"].to_numpy(float), zr]), np.concatenate([left["z"].to_numpy(float), np.where(np.isnan(known), zr, known)])
+        z, start = (np.concatenate([left["z"].to_numpy(float), beyond[c].to_numpy(float)]) for c in ("z", "new"))
         area, k = (np.concatenate([left[c].to_numpy(float), np.zeros(len(beyond))]) for c in ("acc", "k"))
         new, limited = stream_power(z, area, k, local, dt, m, n, tolerance, linear, start)
-        level = node_levels(len(z), src, rec)[src]
-        by_level = np.argsort(level, kind="stable")
-        for part in np.split(by_level, np.flatnonzero(np.diff(level[by_level])) + 1):
-            np.logical_or.at(waits, src[part], waits[rec[part]])
-        return left[["grid_id", "idx", "z", "acc", "k", "block"]].assign(new=np.where(waits, np.nan, new)[:size], limited=(limited & ~waits)[:size])
-
-    unsettled = F.col("new").isNull() | F.isnan("new")
-    left = state.where(unsettled).count()
-    while left:
-        todo = durable(state.where(unsettled).select(*own).distinct())
-        here = edges.join(todo, own, "left_semi")
-        known = state.where(~unsettled).select("grid_id", F.col("idx").alias("rec"), F.col("new").alias("newr"))
-        there = here.where("across").join(known, ["grid_id", "rec"], "left").unionByName(here.where("not across").withColumn("newr", F.lit(None).cast("double")))
-        now = state.join(todo, own, "left_semi").groupBy(*own).cogroup(there.groupBy(*own)).applyInPandas(work, "grid_id long, idx long, z double, acc double, k double, block long, new double, limited boolean")
-        state = durable(state.join(todo, own, "left_anti").unionByName(now))
-        before, left = left, state.where(unsettled).count()
-        if left == before:
+        return left[["grid_id", "idx", "z", "met"]].assign(new=new[:size], limited=limited[:size])
+
+    def step(blocks: DataFrame | None, whole: bool) -> DataFrame:
+        """Blocks with all their rows, or with those that others read."""
+        there = reads.join(few(known, count), NODE)
+        parts = [(state, ["idx", "z", "acc", "k", "met"]), (edges, ["src", "slot", "rec", "distance", "weight", "across"])]
+        (left, _), (right, _) = [(df if blocks is None else df.join(F.broadcast(blocks), own, "left_semi"), c) for df, c in parts]
+        there = there if blocks is None else there.join(F.broadcast(blocks), own, "left_semi")
+        none = lambda t: F.lit(None).cast(t)
+        right = right.withColumn("new", none("double")).unionByName(there.select(*own, none("long").alias("src"), none("int").alias("slot"), F.col("idx").alias("rec"), F.col("z").alias("distance"), none("double").alias("weight"), none("boolean").alias("across"), "new"))
+
+        def work(key: tuple, rows: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+            at = more["src"].isna().to_numpy()
+            beyond = more.loc[at, ["rec", "distance", "new"]].rename(columns={"rec": "idx", "distance": "z"})
+            flowing = more[~at].assign(src=more.loc[~at, "src"].astype("int64"))
+            done = eroded(rows, flowing, beyond)
+            return (done if whole else done[done["met"]])[["grid_id", "idx", "z", "new", "limited"]]
+
+        return durable(left.groupBy(*own).cogroup(right.groupBy(*own)).applyInPandas(work, "grid_id long, idx long, z double, new double, limited boolean"))
+
+    blocks, rounds = None, state.select(*own).distinct().count() * max(count, 1) + 2
+    for _ in range(rounds if count else 0):
+        now = step(blocks, False).select(*NODE, F.col("new").alias("now"))
+        changed = durable(known.join(few(now, count), NODE).where("new <> now"))
+        if not changed.limit(1).count():
+            break
+        known = durable(known.join(few(now, count), NODE, "left").select(*NODE, "z", F.coalesce("now", "new").alias("new")))
+        blocks = durable(reads.join(few(changed.select(*NODE), count), NODE).select(*own).distinct())
+    else:
+        if count:
             raise ValueError("the flow runs in a circle or leads to nodes that it doesn't have")
-    return state.select(*NODE, (F.col("z") - F.col("new")).alias("erosion"), "limited")
+    return step(None, True).select(*NODE, (F.col("z") - F.col("new")).alias("erosion"), "limited")
 
 
 def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -320,25 +338,35 @@ def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, right: np.nda
     return dp
 
 
-def half_step(z: np.ndarray, k: np.ndarray | float, dt: float, across: float, along: float) -> np.ndarray:
-    """Half an ADI step, implicit along rows; the first and last row and column stay. Each row needs those beside it."""
+def _faces(k: np.ndarray | float, shape: tuple[int, ...], axis: int, d: float) -> tuple[np.ndarray, ...]:
+    """Conductances to the node before, at the node, and to the node after along an axis."""
+    whole = np.broadcast_to(np.asarray(k, float), shape)
+    before, after = np.roll(whole, 1, axis), np.roll(whole, -1, axis)
+    return 0.25 * (before + whole) / d**2, 0.125 * (before + 2 * whole + after) / d**2, 0.25 * (whole + after) / d**2
 
-    def face(axis: int, d: float) -> tuple[np.ndarray, ...]:
-        """Conductances to the node before, at the node, and to the node after along an axis."""
-        whole = np.broadcast_to(np.asarray(k, float), z.shape)
-        before, after = np.roll(whole, 1, axis), np.roll(whole, -1, axis)
-        return 0.25 * (before + whole) / d**2, 0.125 * (before + 2 * whole + after) / d**2, 0.25 * (whole + after) / d**2
-
-    inner = slice(1, -1)
-    right, beside = z[inner].copy(), face(1, along)
-    a, b, c = (f[inner] for f in face(0, across))
-    right[:, inner] = ((1 - 2 * b * dt) * z[inner] + a * dt * z[:-2] + c * dt * z[2:])[:, inner]
-    lower, diag, upper = -beside[0][inner] * dt, 1 + 2 * beside[1][inner] * dt, -beside[2][inner] * dt
+
+def across_step(z: np.ndarray, k: np.ndarray | float, dt: float, across: float) -> np.ndarray:
+    """The explicit part of half an ADI step, of z and the rows beside; the first and last row and column stay."""
+    inner, right = slice(1, -1), z.copy()
+    a, b, c = (f[inner] for f in _faces(k, z.shape, 0, across))
+    right[inner, inner] = ((1 - 2 * b * dt) * z[inner] + a * dt * z[:-2] + c * dt * z[2:])[:, inner]
+    return right
+
+
+def along_step(right: np.ndarray, k: np.ndarray | float, dt: float, along: float) -> np.ndarray:
+    """The implicit part of half an ADI step, along rows, each for itself; the first and last column stay."""
+    beside = _faces(k, right.shape, 1, along)
+    lower, diag, upper = -beside[0] * dt, 1 + 2 * beside[1] * dt, -beside[2] * dt
     for edge in (0, -1):
         lower[:, edge], diag[:, edge], upper[:, edge] = 0, 1, 0
-    out = z.copy()
-    if len(right):
-        out[inner] = thomas(lower, diag, upper, right)
+    return thomas(lower, diag, upper, right)
+
+
+def half_step(z: np.ndarray, k: np.ndarray | float, dt: float, across: float, along: float) -> np.ndarray:
+    """Half an ADI step, implicit along rows; the first and last row and column stay. Each row needs those beside it."""
+    whole, inner, out = np.broadcast_to(np.asarray(k, float), z.shape), slice(1, -1), z.copy()
+    if len(z) > 2:
+        out[inner] = along_step(across_step(z, k, dt, across)[inner], whole[inner], dt, along)
     return out
 
 
@@ -348,29 +376,53 @@ def diffuse(z: np.ndarray, k: np.ndarray | float, dt: float, dy: float, dx: floa
     return half_step(first.T.copy(), np.asarray(k, float).T, dt, dx, dy).T
 
 
-def half_by_blocks(rows: DataFrame, lines: int, block: int, dt: float, across: float, along: float) -> DataFrame:
-    """half_step on tables (grid_id, line, place, z, k): a task takes `block` lines and the lines beside them."""
-    own, last = F.expr(f"line div {block}"), (lines - 1) // block
-    before = F.when((F.col("line") % block == 0) & (own > 0), own - 1)
-    after = F.when((F.col("line") % block == block - 1) & (own < last), own + 1)
-    dealt = rows.select("*", own.alias("own"), F.explode(F.filter(F.array(own, before, after), lambda x: x.isNotNull())).alias("block"))
-
-    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["line", "place"], ignore_index=True)
-        n = part["line"].nunique()
-        z, k = (part[c].to_numpy(float).reshape(n, -1) for c in ("z", "k"))
-        done = part.assign(z=half_step(z, k, dt, across, along).ravel())
-        return done[done["own"] == key[1]][["grid_id", "line", "place", "z", "k"]]
-
-    return dealt.groupBy("grid_id", "block").applyInPandas(work, "grid_id long, line long, place long, z double, k double")
-
+def diffuse_by_blocks(rows: DataFrame, shape: tuple[int, int], block: int, dt: float, dy: float, dx: float) -> DataFrame:
+    """diffuse for surfaces of any size: grid_id, idx, erosion. rows: grid_id, idx, z, k.
 
-def flood_from(own: np.ndarray, base: np.ndarray, masked: np.ndarray, seed: np.ndarray, near: Adjacency) -> np.ndarray:
-    """Levels of a block whose nodes can be reached from outside at `seed` (the largest integer: not at all)."""
-    top = np.iinfo(np.int64).max
-    level = np.full(len(own), top)
-    start = np.where(base, own, np.where(seed < top, np.maximum(own, seed), top))
-    heap = [(int(start[i]), int(i)) for i in np.flatnonzero((start < top) & ~masked)]
+    A task takes rows of `block` nodes in all and the rows beside them, for the half along rows and what the other half
+    needs of the columns beside; then a task takes a column, or several that are `block` nodes in all.
+    """
+    n, m = shape
+    lines, columns = max(1, block // m), max(1, block // n)
+    dealt = rows.withColumn("row", F.expr(f"idx div {m}"))
+    own, last = F.expr(f"row div {lines}"), (n - 1) // lines
+    before = F.when((F.col("row") % lines == 0) & (own > 0), own - 1)
+    after = F.when((F.col("row") % lines == lines - 1) & (own < last), own + 1)
+    dealt = dealt.select("grid_id", "idx", "z", "k", F.explode(F.filter(F.array(own, before, after), lambda x: x.isNotNull())).alias("block"))
+
+    def along_rows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx", ignore_index=True)
+        z, k = (part[c].to_numpy(float).reshape(-1, m) for c in ("z", "k"))
+        half = half_step(z, k, dt, dy, dx)
+        done = part[["grid_id", "idx", "z", "k"]].assign(right=across_step(half.T, k.T, dt, dx).T.ravel(), half=half.ravel())
+        at = part["idx"].to_numpy() // m
+        return done.loc[at // lines == key[1], ["grid_id", "idx", "z", "k", "half", "right"]]
+
+    first = dealt.groupBy("grid_id", "block").applyInPandas(along_rows, "grid_id long, idx long, z double, k double, half double, right double")
+
+    def along_columns(part: pd.DataFrame) -> pd.DataFrame:
+        at = part["idx"].to_numpy()
+        part = part.iloc[np.lexsort((at, at % m))]
+        right, k, half = (part[c].to_numpy(float).reshape(-1, n) for c in ("right", "k", "half"))
+        new, moves = half.copy(), ~np.isin(part["idx"].to_numpy()[::n] % m, (0, m - 1))
+        if moves.any():
+            new[moves] = along_step(right[moves], k[moves], dt, dy)
+        return part[["grid_id", "idx"]].assign(erosion=part["z"].to_numpy() - new.ravel())
+
+    return first.groupBy("grid_id", F.expr(f"idx % {m} div {columns}")).applyInPandas(along_columns, "grid_id long, idx long, erosion double")
+
+
+def relaxed(own: np.ndarray, base: np.ndarray, masked: np.ndarray, level: np.ndarray, near: Adjacency, moves: np.ndarray) -> np.ndarray:
+    """Levels lowered to the least surface that they lead to: each node but a base level is at the highest of its own
+    ordinal and the least step above its lowest neighbour. Nodes that don't move are others' to lower."""
+    level = level.copy()
+    fixed = base | masked | ~moves
+    use = ~masked[near.src] & ~masked[near.to] & ~fixed[near.src]
+    lowest = np.full(len(own), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, near.src[use], level[near.to[use]])
+    open_ = lowest < np.iinfo(np.int64).max
+    could = np.where(open_, np.maximum(own, np.where(open_, lowest, 0) + 1), level)
+    heap = [(int(could[i]), int(i)) for i in np.flatnonzero(~fixed & (could < level))]
     heapq.heapify(heap)
     while heap:
         at, i = heapq.heappop(heap)
@@ -379,43 +431,53 @@ def flood_from(own: np.ndarray, base: np.ndarray, masked: np.ndarray, seed: np.n
         level[i] = at
         for k in near.of(i):
             j = near.to[k]
-            if not masked[j] and not base[j] and level[j] > (there := max(int(own[j]), at + 1)):
+            if not fixed[j] and level[j] > (there := max(int(own[j]), at + 1)):
                 heapq.heappush(heap, (there, int(j)))
     return level
 
 
-def flood_by_blocks(grid, surface: DataFrame, block: int) -> DataFrame:
-    """As priority_flood, for surfaces of any size: blocks of node numbers are flooded apart, from the levels that the
-    nodes beside them had in the round before, until no level changes. Levels only fall, to the same least surface."""
-    from runoff.plans.iterate import durable
+def flood_by_blocks(grid, surface: DataFrame, filled: DataFrame, block: int) -> DataFrame:
+    """As priority_flood, for surfaces of any size. filled: the surface filled along some way from each node to a base
+    level, its elevations no lower than the least surface that drains.
+
+    Levels only fall from there, to the one surface on which each node is at the highest of its own elevation and a step
+    above its lowest neighbour: block by block of node numbers, until none changes that another block sees.
+    """
+    from runoff.plans.iterate import durable, few
     from runoff.schema import NODE
 
-    top = np.iinfo(np.int64).max
     of = lambda c: F.expr(f"{c} div {block}")
-    edges = durable(grid.neighbors(surface.where("not masked")).select("grid_id", "src", "slot", "dst", "distance", of("src").alias("block"), (of("src") != of("dst")).alias("across")))
-    crossing = durable(edges.where("across").select("grid_id", "src", "dst"))
-    inner = edges.where("not across").drop("across")
-    nodes = durable(surface.select(*NODE, "z", "masked", "is_base", of("idx").alias("block")))
-    levels = durable(nodes.select(*NODE, F.lit(top).alias("level")))
+    own = ["grid_id", "block"]
+    crossing = durable(grid.neighbors(surface.where("not masked").select(*NODE)).where(of("src") != of("dst")).select("grid_id", of("src").alias("block"), F.col("dst").alias("idx")).distinct())
+    nodes = surface.select(*NODE, "z", "masked", "is_base").join(filled.select(*NODE, ordinal_column(F.col("z")).alias("level")), NODE).withColumn("block", of("idx"))
+    levels, blocks = durable(nodes), None
+    beyond = durable(levels.drop("block").join(crossing, NODE).select(*nodes.columns))
 
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx", ignore_index=True), right.sort_values(["src", "slot"], ignore_index=True)
         if left.empty:
-            return pd.DataFrame({"grid_id": [], "idx": [], "level": []})
-        at = left["idx"].to_numpy()
-        right = right.assign(src=np.searchsorted(at, right["src"].to_numpy()), dst=np.searchsorted(at, right["dst"].to_numpy()))
-        found = flood_from(ordinal(left["z"].to_numpy(float)), left["is_base"].to_numpy(bool), left["masked"].to_numpy(bool), left["seed"].to_numpy(np.int64), Adjacency(len(left), right))
-        return left[["grid_id", "idx"]].assign(level=found)
-
+            return pd.DataFrame({c: [] for c in [*names, "changed"]})
+        part = pd.concat([left.assign(moves=True), right.assign(moves=False)]).sort_values("idx", ignore_index=True)
+        ids, moves = part["idx"].to_numpy(), part["moves"].to_numpy(bool)
+        near = part["linked"][moves].tolist()
+        src, to = np.repeat(np.flatnonzero(moves), [len(x) for x in near]), np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
+        at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+        near = Adjacency(len(ids), pd.DataFrame({"src": src, "dst": at, "distance": 0.0})[ids[at] == to])
+        level = relaxed(ordinal(part["z"].to_numpy(float)), part["is_base"].to_numpy(bool), part["masked"].to_numpy(bool), part["level"].to_numpy(), near, moves)
+        return part.assign(level=level, changed=level != part["level"].to_numpy())[moves][[*names, "changed"]]
+
+    names = ["grid_id", "idx", "z", "masked", "is_base", "level", "block"]
     while True:
-        there = levels.where(F.col("level") < top).select("grid_id", F.col("idx").alias("dst"), "level")
-        seeds = crossing.join(there, ["grid_id", "dst"]).groupBy("grid_id", F.col("src").alias("idx")).agg((F.min("level") + 1).alias("seed"))
-        ready = nodes.join(seeds, NODE, "left").withColumn("seed", F.coalesce("seed", F.lit(top)))
-        now = durable(ready.groupBy("grid_id", "block").cogroup(inner.groupBy("grid_id", "block")).applyInPandas(work, "grid_id long, idx long, level long"))
-        changed = now.join(levels.withColumnRenamed("level", "old"), NODE).where("level <> old").limit(1).count()
-        levels = now
-        if not changed:
+        here = levels if blocks is None else levels.join(F.broadcast(blocks), own, "left_semi")
+        there = beyond if blocks is None else beyond.join(F.broadcast(blocks), own, "left_semi")
+        now = durable(grid.linked(here.select(*names)).groupBy(*own).cogroup(there.select(*names).groupBy(*own)).applyInPandas(work, "grid_id long, idx long, z double, masked boolean, is_base boolean, level long, block long, changed boolean"))
+        rest = levels.select(*names) if blocks is None else levels.select(*names).join(F.broadcast(blocks), own, "left_anti")
+        levels = now.select(*names) if blocks is None else durable(rest.unionByName(now.select(*names)))
+        changed = durable(now.where("changed").select(*NODE, F.col("level").alias("now")).join(crossing.select(*NODE).distinct(), NODE))
+        count = changed.count()
+        if not count:
             break
-    raised = nodes.join(levels, NODE).withColumn("own", ordinal_column(F.col("z")))
-    z = F.when((F.col("level") < top) & (F.col("level") > F.col("own")), from_ordinal_column(F.col("level"))).otherwise(F.col("z"))
-    return raised.select(*NODE, z.alias("z"), "masked", "is_base")
+        beyond = durable(beyond.join(few(changed, count), NODE, "left").select(*NODE, "z", "masked", "is_base", F.coalesce("now", "level").alias("level"), "block"))
+        blocks = durable(beyond.join(few(changed.select(*NODE), count), NODE, "left_semi").select(*own).distinct())
+    own_level = ordinal_column(F.col("z"))
+    z = F.when(F.col("level") > own_level, from_ordinal_column(F.col("level"))).otherwise(F.col("z"))
+    return levels.select(*NODE, z.alias("z"), "masked", "is_base")

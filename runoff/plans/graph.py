@@ -72,14 +72,18 @@ class MultiFlowRouter(_Operator):
 
 
 class PFloodSinkResolver(_Operator):
-    """Raises closed depressions to the least surface that drains. A surface is flooded in one task, one of over
-    grouped.LOCAL_NODES nodes in blocks of that many, round after round; the outcome is the same."""
+    """Raises closed depressions to the least surface that drains. A surface is flooded in one task; one of over
+    grouped.LOCAL_NODES nodes is filled along carved routes first, which is too high by steps at most, and lowered to the
+    same outcome in blocks of that many nodes."""
 
     elevation_updated = True
 
     def apply(self, state: FlowState) -> FlowState:
         if state.grid.size > grouped.LOCAL_NODES:
-            return replace(state, surface=durable(grouped.flood_by_blocks(state.grid, state.surface, grouped.LOCAL_NODES)))
+            filled, flow = state.surface, durable(single_flow(state.grid, state.surface))
+            if analytics.pits(flow, state.surface).limit(1).count():
+                _, filled = BasinGraph(state.grid, state.surface, flow).resolve(carve=True)
+            return replace(state, surface=durable(grouped.flood_by_blocks(state.grid, state.surface, filled, grouped.LOCAL_NODES)))
 
         def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             near = grouped.Adjacency(len(nodes), edges)
@@ -399,7 +403,7 @@ class DiffusionADIEroder:
         rows = rows.join(self.k_coef.select(*NODE, "k"), NODE) if isinstance(self.k_coef, DataFrame) else rows.withColumn("k", F.lit(float(self.k_coef)))
 
         if self.grid.size > grouped.LOCAL_NODES:
-            return self._by_blocks(rows, dt)
+            return grouped.diffuse_by_blocks(rows, shape, grouped.LOCAL_NODES, dt, dy, dx)
 
         def work(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
             nodes = nodes.sort_values("idx", ignore_index=True)
@@ -409,14 +413,5 @@ class DiffusionADIEroder:
 
         return rows.groupBy("grid_id").applyInPandas(work, "grid_id long, idx long, erosion double")
 
-    def _by_blocks(self, rows: DataFrame, dt: float) -> DataFrame:
-        """Blocks of rows, then of columns, each with the line before and after it; as many lines as make LOCAL_NODES nodes."""
-        (n, m), (dy, dx) = self.grid.shape, self.grid.spacing
-        lines = lambda size: max(1, grouped.LOCAL_NODES // size)
-        first = grouped.half_by_blocks(rows.select("grid_id", F.expr(f"idx div {m}").alias("line"), (F.col("idx") % m).alias("place"), "z", "k"), n, lines(m), dt, dy, dx)
-        second = grouped.half_by_blocks(first.select("grid_id", F.col("place").alias("line"), F.col("line").alias("place"), "z", "k"), m, lines(n), dt, dx, dy)
-        done = second.select("grid_id", (F.col("place") * m + F.col("line")).alias("idx"), F.col("z").alias("new"))
-        return rows.join(done, NODE).select(*NODE, (F.col("z") - F.col("new")).alias("erosion"))
-
 
 __all__ = ["FLOW", "DiffusionADIEroder", "FlowGraph", "FlowOperator", "FlowSnapshot", "FlowState", "MSTSinkResolver", "MultiFlowRouter", "PFloodSinkResolver", "SPLEroder", "SingleFlowRouter"]

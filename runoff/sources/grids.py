@@ -86,6 +86,11 @@ class Grid:
         kept = rows.select("grid_id", F.col("idx").alias("src"), *carry)
         return kept.join(self._edges, ["grid_id", "src"]).select("grid_id", "src", "slot", "dst", "distance", *carry)
 
+    def linked(self, rows: DataFrame) -> DataFrame:
+        """rows and linked: the numbers of each node's neighbours."""
+        near = self._edges.groupBy("grid_id", F.col("src").alias("idx")).agg(F.collect_list("dst").alias("linked"))
+        return rows.join(near, NODE, "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<long>")))
+
     @property
     def edges(self) -> DataFrame:
         return self.neighbors(self.nodes)
@@ -212,6 +217,10 @@ class _Regular(Grid):
         near = F.filter(F.array(*found), lambda x: x[sent[0]].isNotNull())
         return met.where("here").select(*NODE, *sent, *kept, near.alias("near"))
 
+    def linked(self, rows: DataFrame) -> DataFrame:
+        """Computed from node numbers, without a join."""
+        return rows.withColumn("linked", F.transform(self._reached(F.col("idx"), range(len(self.steps))), lambda x: x["dst"]))
+
     def neighbors_count(self) -> DataFrame:
         """A sum over slots of whether a step stays inside, without a shuffle."""
         return self.nodes.select(*NODE, F.size(self._reached(F.col("idx"), range(len(self.steps)))).cast("long").alias("n"))

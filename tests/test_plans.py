@@ -126,6 +126,68 @@ def test_forest_by_blocks(spark, small_blocks):
     assert ends.join(names.select("grid_id", F.col("b").alias("b1"), F.col("c").alias("d")), ["grid_id", "b1"]).where("c <> d").count() == 0
 
 
+def test_sums_over_several_receivers_by_blocks(spark, small_blocks):
+    """Ways down that leave blocks and come back."""
+    rng = np.random.default_rng(12)
+    edges = []
+    for i in range(1, 80):
+        to = sorted({int(x) for x in rng.integers(max(0, i - 12), i, 3)})
+        edges += [(0, (i * 37) % 80, s, (t * 37) % 80 if i % 2 else t * 37 % 80, 1.0 / len(to)) for s, t in enumerate(to)]
+    flow = spark.createDataFrame([*edges, (0, 0, 0, 0, 0.0)], "grid_id long, src long, slot int, rec long, weight double")
+    own = spark.range(80).selectExpr("0L as grid_id", "id as idx", "cast(id % 5 as double) as acc")
+    src, rec, weight = (np.array([e[k] for e in edges]) for k in (1, 3, 4))
+    wanted = grouped.accumulate_np(80, src, rec, weight, np.arange(80) % 5)
+    found = rows(iterate.sum_by_levels(flow, own, "acc"), "grid_id", "idx", "acc")
+    assert len(found) == 80 and np.allclose([r[2] for r in found], wanted)
+    circle = spark.createDataFrame([(0, 1, 0, 2, 0.5), (0, 2, 0, 1, 1.0), (0, 1, 1, 0, 0.5), (0, 0, 0, 0, 0.0)], "grid_id long, src long, slot int, rec long, weight double")
+    with pytest.raises(ValueError):
+        iterate.sum_by_levels(circle, own.where("idx < 3"), "acc")
+
+
+@pytest.mark.parametrize(("direction", "threads"), [*[(d, 1) for d in FlowGraphTraversalDir], (FlowGraphTraversalDir.BREADTH_UPSTREAM, 2)])
+def test_kernels_by_basins(spark, monkeypatch, direction, threads):
+    """No task takes the whole surface, and what a kernel writes is the same."""
+    z = np.random.default_rng(14).random((12, 9))
+    graph = FlowGraph(RasterGrid(spark, (12, 9), (1.0, 2.0), BOTTOM), [SingleFlowRouter()])
+    graph.update_routes(surfaces(spark, z))
+
+    def mix(node):
+        node.a = 0.5 * node.a + node.receivers.b[0] + node.donors.b.sum() + node.receivers.distance[0]
+        node.b = node.a / 3 + node.b
+
+    def push(node):
+        mix(node)
+        if node.receivers.distance[0] > 0:
+            node.receivers.b = node.receivers.b + 0.25 * node.b
+
+    def outcome():
+        kernel, data = create_flow_kernel(graph, mix if threads > 1 else push, {"a": (COLUMN, 1.0), "b": COLUMN}, apply_dir=direction, outputs=["a", "b"], n_threads=threads)
+        data.bind(b=z)
+        return rows(graph.apply_kernel(kernel, data), "grid_id", "idx", "a", "b")
+
+    whole = outcome()
+    monkeypatch.setattr(iterate, "BLOCK", 10)
+    sizes, plain = [], grouped.per_grid
+    monkeypatch.setattr(grouped, "per_grid", lambda *a: sizes.append(1) or plain(*a))
+    assert outcome() == whole and not sizes
+    if threads > 1:
+        assert max(r[0] for r in [(graph.bfs_levels().agg(F.max("level")).first()[0],)]) > 1
+
+
+def test_flooding_goes_on_from_filled_routes(spark, monkeypatch):
+    """A long way over many blocks takes no round for each of them."""
+    rng = np.random.default_rng(15)
+    z = rng.integers(0, 40, (60, 5)) + 2 * np.arange(60)[::-1, None]
+    grid = RasterGrid(spark, (60, 5), (1.0, 1.0), BOTTOM)
+    graph = FlowGraph(grid, [PFloodSinkResolver(), SingleFlowRouter()])
+    whole = rows(graph.update_routes(surfaces(spark, z)), "grid_id", "idx", "z")
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 15)
+    made, plain = [], grouped.relaxed
+    applied = type(grid).linked
+    monkeypatch.setattr(type(grid), "linked", lambda self, df: made.append(1) or applied(self, df))
+    assert rows(graph.update_routes(surfaces(spark, z)), "grid_id", "idx", "z") == whole and len(made) < 10 and plain is grouped.relaxed
+
+
 @pytest.mark.parametrize(("route", "case"), [(MSTRouteMethod.CARVE, "masked"), (MSTRouteMethod.BASIC, "ties")])
 def test_resolved_by_plans_as_in_a_task(spark, route, case):
     rng = np.random.default_rng(4)
