@@ -132,7 +132,7 @@ def test_sums_over_several_receivers_by_blocks(spark, small_blocks):
     edges = []
     for i in range(1, 80):
         to = sorted({int(x) for x in rng.integers(max(0, i - 12), i, 3)})
-        edges += [(0, (i * 37) % 80, s, (t * 37) % 80 if i % 2 else t * 37 % 80, 1.0 / len(to)) for s, t in enumerate(to)]
+        edges += [(0, (i * 37) % 80, s, (t * 37) % 80, 1.0 / len(to)) for s, t in enumerate(to)]
     flow = spark.createDataFrame([*edges, (0, 0, 0, 0, 0.0)], "grid_id long, src long, slot int, rec long, weight double")
     own = spark.range(80).selectExpr("0L as grid_id", "id as idx", "cast(id % 5 as double) as acc")
     src, rec, weight = (np.array([e[k] for e in edges]) for k in (1, 3, 4))
@@ -170,8 +170,6 @@ def test_kernels_by_basins(spark, monkeypatch, direction, threads):
     sizes, plain = [], grouped.per_grid
     monkeypatch.setattr(grouped, "per_grid", lambda *a: sizes.append(1) or plain(*a))
     assert outcome() == whole and not sizes
-    if threads > 1:
-        assert max(r[0] for r in [(graph.bfs_levels().agg(F.max("level")).first()[0],)]) > 1
 
 
 def test_flooding_goes_on_from_filled_routes(spark, monkeypatch):
@@ -182,10 +180,9 @@ def test_flooding_goes_on_from_filled_routes(spark, monkeypatch):
     graph = FlowGraph(grid, [PFloodSinkResolver(), SingleFlowRouter()])
     whole = rows(graph.update_routes(surfaces(spark, z)), "grid_id", "idx", "z")
     monkeypatch.setattr(grouped, "LOCAL_NODES", 15)
-    made, plain = [], grouped.relaxed
-    applied = type(grid).linked
+    made, applied = [], type(grid).linked
     monkeypatch.setattr(type(grid), "linked", lambda self, df: made.append(1) or applied(self, df))
-    assert rows(graph.update_routes(surfaces(spark, z)), "grid_id", "idx", "z") == whole and len(made) < 10 and plain is grouped.relaxed
+    assert rows(graph.update_routes(surfaces(spark, z)), "grid_id", "idx", "z") == whole and len(made) < 10
 
 
 @pytest.mark.parametrize(("route", "case"), [(MSTRouteMethod.CARVE, "masked"), (MSTRouteMethod.BASIC, "ties")])
