@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runoff.operators import grouped
 from runoff.plans import iterate
 from runoff.plans.iterate import ancestors, dense_index, doubled, durable, few, levels, sum_by_levels, sum_downstream
 from runoff.schema import NODE
@@ -85,6 +86,32 @@ def bfs_levels(flow: DataFrame, single: bool = True) -> DataFrame:
     return ancestors(flow).select(*NODE, F.col("depth").alias("level")) if single else levels(flow)
 
 
+def _lowest(part: pd.DataFrame, own: slice, steps) -> pd.DataFrame:
+    """The lowest step between each two basins from the slice of sorted rows, as basin_edges orders them."""
+    ids, z, basin, outer = (part[c].to_numpy(t) for c, t in (("idx", np.int64), ("z", float), ("basin", np.int64), ("outer", bool)))
+    made = []
+    for k, at in steps.seen(ids, own):
+        use = np.flatnonzero((at >= 0) & ~outer[own] & (basin[at] != basin[own]) & ((basin[at] > basin[own]) | outer[at]))
+        i, j = use + own.start, at[use]
+        e = np.where(z[j] > z[i], z[j], z[i])
+        made.append(pd.DataFrame({"b0": basin[i], "b1": basin[j], "e": e, "src": ids[i], "slot": k, "dst": ids[j], "distance": steps.lengths[k], "z0": z[i], "z1": z[j]}))
+    every = pd.concat(made, ignore_index=True)
+    every = every.iloc[np.lexsort([every[c] for c in ("slot", "src", "e", "b1", "b0")])]
+    return every.drop_duplicates(["b0", "b1"])
+
+
+def _passes(grid, known: DataFrame) -> DataFrame:
+    """grid_id, b0, b1 and p: (e, src, slot, dst, distance, z0, z1) of the lowest step, least in that order."""
+    step = ("e", "src", "slot", "dst", "distance", "z0", "z1")
+    if grid.size > grouped.LOCAL_NODES and hasattr(grid, "by_seen_block"):
+        found = grid.by_seen_block(known, iterate.BLOCK, _lowest, "grid_id long, b0 long, b1 long, e double, src long, slot int, dst long, distance double, z0 double, z1 double")
+        return found.groupBy("grid_id", "b0", "b1").agg(F.min(F.struct(*step)).alias("p"))
+    steps = grid.around(known, ["z", "basin", "outer"]).where("not outer").select("grid_id", F.col("idx").alias("src"), "z", "basin", F.explode("near").alias("n"))
+    steps = steps.where("n.basin <> basin and (n.basin > basin or n.outer)")
+    one = F.struct(F.greatest("z", "n.z").alias("e"), "src", "n.slot", "n.dst", "n.distance", F.col("z").alias("z0"), F.col("n.z").alias("z1"))
+    return steps.groupBy("grid_id", F.col("basin").alias("b0"), F.col("n.basin").alias("b1")).agg(F.min(one).alias("p"))
+
+
 def basin_edges(grid, surface: DataFrame, known: DataFrame) -> DataFrame:
     """grid_id, b0, b1, p0, p1, pass_elev, pass_len, z0, z1: the lowest pass from each inner basin to each basin beside it.
 
@@ -92,11 +119,7 @@ def basin_edges(grid, surface: DataFrame, known: DataFrame) -> DataFrame:
     only. Outer basins are tied to the first of them by links without a pass.
     """
     known = durable(known.join(surface.where("not masked").select(*NODE, "z"), NODE).select(*NODE, "z", "basin", "outer"))
-    steps = grid.around(known, ["z", "basin", "outer"]).where("not outer").select("grid_id", F.col("idx").alias("src"), "z", "basin", F.explode("near").alias("n"))
-    steps = steps.where("n.basin <> basin and (n.basin > basin or n.outer)")
-    step = F.struct(F.greatest("z", "n.z").alias("e"), "src", "n.slot", "n.dst", "n.distance", F.col("z").alias("z0"), F.col("n.z").alias("z1"))
-    lowest = steps.groupBy("grid_id", F.col("basin").alias("b0"), F.col("n.basin").alias("b1")).agg(F.min(step).alias("p"))
-    inner = lowest.select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
+    inner = _passes(grid, known).select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
     outer = known.where("outer").select("grid_id", "basin").distinct()
     first = outer.groupBy("grid_id").agg(F.min("basin").alias("b0"))
     none, no_z = F.lit(None).cast("long"), F.lit(None).cast("double")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -166,6 +166,38 @@ def _overridden(status: Column, given: Mapping[int, NodeStatus], size: int, loop
     return F.coalesce(F.try_element_at(table, F.col("idx").cast("int")), status).cast("byte")
 
 
+@dataclass(frozen=True)
+class Steps:
+    """The steps of a regular grid on arrays of node numbers: what tasks need of it."""
+
+    shape: tuple[int, int]
+    steps: tuple[tuple[int, int], ...]
+    lengths: tuple[float, ...]
+    over_rows: bool
+    over_cols: bool
+
+    @property
+    def reach(self) -> int:
+        """No step inside of the grid leads further in node numbers, but for those over looped rows."""
+        return self.shape[1] * (2 if self.over_cols else 1) + 1
+
+    def to(self, idx: np.ndarray, slot: int) -> np.ndarray:
+        """The node that a slot leads each node to; -1 where it leads out."""
+        (n, m), (down, right) = self.shape, self.steps[slot]
+        row, col = idx // m + down, idx % m + right
+        inside = np.ones(len(idx), bool)
+        row, inside = (row % n, inside) if self.over_rows else (row, inside & (row >= 0) & (row < n))
+        col, inside = (col % m, inside) if self.over_cols else (col, inside & (col >= 0) & (col < m))
+        return np.where(inside, row * m + col, -1)
+
+    def seen(self, ids: np.ndarray, own: slice) -> Iterator[tuple[int, np.ndarray]]:
+        """Each slot, and where in sorted ids the nodes are that it leads those of the slice to; -1 where there is none."""
+        for k in range(len(self.steps)):
+            to = self.to(ids[own], k)
+            at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+            yield k, np.where(ids[at] == to, at, -1)
+
+
 class _Regular(Grid):
     """A grid whose neighbours are steps over rows and columns. The slot of a step back is the last slot less the slot."""
 
@@ -217,6 +249,27 @@ class _Regular(Grid):
         near = F.filter(F.array(*found), lambda x: x[sent[0]].isNotNull())
         return met.where("here").select(*NODE, *sent, *kept, near.alias("near"))
 
+    def on_arrays(self) -> Steps:
+        shape = self.shape if len(self.shape) == 2 else (1, *self.shape)
+        return Steps(shape, tuple(self.steps), tuple(self._length(s) for s in self.steps), getattr(self.bounds, "is_vertical_looped", False), self.bounds.is_horizontal_looped)
+
+    def by_seen_block(self, rows: DataFrame, block: int, work: Callable[[pd.DataFrame, slice, Steps], pd.DataFrame], schema: str) -> DataFrame:
+        """work on the rows of each block of node numbers and on their neighbours beyond, sorted by idx, with the slice of
+        the block's own rows. One exchange, in which only rows near borders of blocks go to several."""
+        steps, i = self.on_arrays(), F.col("idx")
+        beside = F.array_distinct(F.concat(F.array(F.expr(f"idx div {block}")), F.transform(self._reached(i, range(len(self.steps))), lambda x: F.floor(x["dst"] / block))))
+        near = (i % block < steps.reach) | (i % block >= block - steps.reach)
+        if steps.over_rows:
+            near |= (i < steps.shape[1]) | (i >= (steps.shape[0] - 1) * steps.shape[1])
+        sent = rows.select("*", F.explode(F.when(near, beside).otherwise(F.array(F.expr(f"idx div {block}")))).alias("_block"))
+
+        def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("idx", ignore_index=True)
+            low, high = np.searchsorted(part["idx"].to_numpy(), [key[1] * block, (key[1] + 1) * block])
+            return work(part, slice(low, high), steps).assign(grid_id=key[0])
+
+        return sent.groupBy("grid_id", "_block").applyInPandas(run, schema)
+
     def linked(self, rows: DataFrame) -> DataFrame:
         """Computed from node numbers, without a join."""
         return rows.withColumn("linked", F.transform(self._reached(F.col("idx"), range(len(self.steps))), lambda x: x["dst"]))

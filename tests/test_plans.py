@@ -457,3 +457,22 @@ def test_snapshots_own_operators_and_eroders(spark):
         Slope(graph).erode(k=0.5, h=heights, more=1)
     cone = {r["idx"]: r["z"] for r in synthetic(RasterGrid(spark, (3, 3), (1.0, 1.0), BOTTOM), "cone").collect()}
     assert cone[4] == pytest.approx(2**0.5) and cone[0] == pytest.approx(0)
+
+
+@pytest.mark.parametrize("bounds", [BOTTOM, RasterBoundaryStatus(L, L, F_, C), RasterBoundaryStatus(L, L, L, L)], ids=["open", "sides", "all"])
+@pytest.mark.parametrize("connect", [RasterConnect.QUEEN, RasterConnect.ROOK], ids=["queen", "rook"])
+def test_routes_and_passes_by_blocks(spark, monkeypatch, bounds, connect):
+    z = surfaces(spark, np.random.default_rng(5).integers(0, 5, 99), np.random.default_rng(6).integers(0, 40, 99))
+
+    def made():
+        graph = FlowGraph(RasterGrid(spark, (11, 9), (1.0, 2.0), bounds, connect=connect, grids=2), [SingleFlowRouter()])
+        graph.set_mask(F.col("idx") % 13 == 4)
+        graph.set_base_levels(F.col("idx") % 31 == 2)
+        graph.update_routes(z)
+        return sorted(map(tuple, graph.flow.collect())), sorted(map(tuple, graph.basin_edges().where("p0 is not null").collect()))
+
+    whole = made()
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 50)
+    monkeypatch.setattr(iterate, "BLOCK", 16)
+    monkeypatch.setattr(RasterGrid, "around", None)  # each node's neighbours side by side
+    assert made() == whole and len(whole[1]) > 10
