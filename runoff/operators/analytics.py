@@ -118,9 +118,9 @@ def basin_edges(grid, surface: DataFrame, known: DataFrame) -> DataFrame:
     known: grid_id, idx, basin, outlet, outer. Links from one inner basin to another are kept from the smaller number
     only. Outer basins are tied to the first of them by links without a pass.
     """
-    known = durable(known.join(surface.where("not masked").select(*NODE, "z"), NODE).select(*NODE, "z", "basin", "outer"))
-    inner = _passes(grid, known).select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
     outer = known.where("outer").select("grid_id", "basin").distinct()
+    known = known.join(surface.where("not masked").select(*NODE, "z"), NODE).select(*NODE, "z", "basin", "outer")
+    inner = _passes(grid, known).select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
     first = outer.groupBy("grid_id").agg(F.min("basin").alias("b0"))
     none, no_z = F.lit(None).cast("long"), F.lit(None).cast("double")
     tied = outer.join(first, "grid_id").where("basin <> b0").select("grid_id", "b0", F.col("basin").alias("b1"), none.alias("p0"), none.alias("p1"), F.lit(float("-inf")).alias("pass_elev"), F.lit(0.0).alias("pass_len"), no_z.alias("z0"), no_z.alias("z1"))
@@ -246,9 +246,10 @@ def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
     outer one, the basin that it leads to, and the pass.
 
     Without the outer basins the forest falls into trees, each with one edge to them, whose inner end is the tree's
-    root. A tour along both sides of every edge (an arc's successor is the arc after its reverse around the node where it
-    ends) is ranked by pointer doubling: of an edge's two arcs the earlier one leads away from the root. Arcs are numbered
-    in ranges, so a basin with many neighbours isn't gathered. outer: grid_id, b.
+    root; their edges are from the smaller number. A tour along both sides of every edge (an arc's successor is the arc
+    after its reverse around the node where it ends) is ranked by pointer doubling: of an edge's two arcs the earlier one
+    leads away from the root. Arcs are numbered in ranges, so a basin with many neighbours isn't gathered. outer:
+    grid_id, b.
     """
     drained = durable(names.join(outer, ["grid_id", "b"], "left_semi").select("grid_id", "c").distinct())
     reached = names.join(few(drained, drained.count()), ["grid_id", "c"], "left_semi").select("grid_id", "b")
@@ -264,13 +265,14 @@ def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
     arcs = durable(dense_index(arcs, "grid_id", "u", "v"))
     around = arcs.groupBy("grid_id", F.col("u").alias("v")).agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
     around = around.join(last.select("grid_id", F.col("up").alias("v"), F.lit(True).alias("root")), ["grid_id", "v"], "left")
-    back = arcs.select("grid_id", F.col("u").alias("v"), F.col("v").alias("u"), F.col("idx").alias("back"))
-    ends = arcs.join(back, ["grid_id", "u", "v"]).join(around, ["grid_id", "v"])
+    side = lambda name: (F.max(F.when(F.col("u") < F.col("v"), F.col(name))).alias("x0"), F.max(F.when(F.col("u") > F.col("v"), F.col(name))).alias("x1"))
+    both = arcs.groupBy("grid_id", F.least("u", "v").alias("b0"), F.greatest("u", "v").alias("b1")).agg(*side("idx"))
+    arc = lambda u, v, idx, back: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.col(idx).alias("idx"), F.col(back).alias("back"))
+    ends = both.select("grid_id", F.explode(F.array(arc("b0", "b1", "x0", "x1"), arc("b1", "b0", "x1", "x0"))).alias("a")).select("grid_id", "a.*").join(around, ["grid_id", "v"])
     after = F.when(F.col("back") < F.col("high"), F.col("back") + 1).when(F.col("root"), F.col("idx")).otherwise(F.col("low"))
     tour = durable(ends.select("grid_id", "u", "v", F.col("idx").alias("src"), after.alias("rec")))
     left = ancestors(tour.select("grid_id", "src", "rec")).select("grid_id", F.col("idx").alias("src"), "depth")
     timed = tour.select("grid_id", "u", "v", "src").join(left, ["grid_id", "src"]).select("grid_id", "u", "v", "depth")
-    there = timed.select("grid_id", F.col("u").alias("b0"), F.col("v").alias("b1"), F.col("depth").alias("d0"))
-    home = timed.select("grid_id", F.col("v").alias("b0"), F.col("u").alias("b1"), F.col("depth").alias("d1"))
-    whole = edges.join(there.join(home, ["grid_id", "b0", "b1"]), ["grid_id", "b0", "b1"])  # d0 > d1: b0 is met first
-    return durable(last.unionByName(inward(whole.where("d0 < d1"))).unionByName(turned(whole.where("d0 > d1"))))
+    met = timed.groupBy("grid_id", F.least("u", "v").alias("b0"), F.greatest("u", "v").alias("b1")).agg(*side("depth"))
+    whole = edges.join(met, ["grid_id", "b0", "b1"])  # x0 > x1: b0 is met first
+    return durable(last.unionByName(inward(whole.where("x0 < x1"))).unionByName(turned(whole.where("x0 > x1"))))

@@ -76,10 +76,13 @@ class BasinGraph:
 def fill(surface: DataFrame, flow: DataFrame) -> DataFrame:
     """The surface with each node raised to lie at least the least step above its receiver.
 
-    In ordinals a node is at the highest of (ordinal + steps to it) over itself and all that it drains through.
+    In ordinals a node is at the highest of (ordinal + steps to it) over itself and all that it drains through. Masked
+    nodes drain nowhere and stay as they are.
     """
-    own = surface.select(*NODE, ordinal_column(F.col("z")).alias("m"))
-    own = own.join(flow.select("grid_id", F.col("src").alias("idx"), (F.col("src") != F.col("rec")).cast("long").alias("steps")), NODE)
-    high = doubled(flow, own, {"m": lambda a, b: greatest(a["m"], b["m"] + a["steps"]), "steps": lambda a, b: a["steps"] + b["steps"]})
-    both = surface.select("*", ordinal_column(F.col("z")).alias("_own")).join(high.select(*NODE, "m"), NODE)
-    return durable(both.select(*NODE, F.when(F.col("m") > F.col("_own"), from_ordinal_column(F.col("m"))).otherwise(F.col("z")).alias("z"), *[c for c in surface.columns if c not in (*NODE, "z")]))
+    kept = [c for c in surface.columns if c not in NODE]
+    own = surface.where("not masked").withColumnRenamed("idx", "src").join(flow.select("grid_id", "src", "rec"), ["grid_id", "src"])
+    own = durable(own.select("grid_id", "src", "rec", ordinal_column(F.col("z")).alias("m"), (F.col("src") != F.col("rec")).cast("long").alias("steps"), *kept))
+    high = doubled(own, None, {"m": lambda a, b: greatest(a["m"], b["m"] + a["steps"]), "steps": lambda a, b: a["steps"] + b["steps"]} | {c: lambda a, b, c=c: a[c] for c in kept})
+    z = F.when(F.col("m") > ordinal_column(F.col("z")), from_ordinal_column(F.col("m"))).otherwise(F.col("z"))
+    rest = [c for c in kept if c != "z"]
+    return durable(high.select(*NODE, z.alias("z"), *rest).unionByName(surface.where("masked").select(*NODE, "z", *rest)))

@@ -476,3 +476,11 @@ def test_routes_and_passes_by_blocks(spark, monkeypatch, bounds, connect):
     monkeypatch.setattr(iterate, "BLOCK", 16)
     monkeypatch.setattr(RasterGrid, "around", None)  # each node's neighbours side by side
     assert made() == whole and len(whole[1]) > 10
+
+
+def test_filling_beside_masked_nodes_without_a_number(spark):
+    graph = FlowGraph(ProfileGrid(spark, 7, 1.0, ProfileBoundaryStatus.of(F_)), [SingleFlowRouter(), MSTSinkResolver(MSTMethod.BORUVKA)])
+    graph.set_mask([4])
+    z = [0.0, 3.0, 1.0, 5.0, None, 4.0, 0.0]
+    filled = graph.update_routes(spark.createDataFrame([(0, i, v) for i, v in enumerate(z)], "grid_id long, idx long, z double"))
+    assert [r[1] for r in rows(filled, "idx", "z")] == [0.0, 3.0, np.nextafter(3.0, 4.0), 5.0, None, 4.0, 0.0]
