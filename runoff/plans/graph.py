@@ -302,9 +302,9 @@ def _eroded_by_doubling(nodes: DataFrame, flow: DataFrame, dt: float, area_exp:
     met = flow.join(nodes.withColumnRenamed("idx", "src"), ["grid_id", "src"]).join(below, ["grid_id", "rec"])
     drains = (F.col("src") != F.col("rec")) & (F.col("zr") <= F.col("z"))
     f = F.when(drains, F.col("k") * dt * F.pow("acc", F.lit(float(area_exp))) / F.col("distance")).otherwise(0.0)
-    parts = met.withColumn("f", f).select("grid_id", F.col("src").alias("idx"), F.col("z").alias("c"), (F.col("z") / (1 + F.col("f"))).alias("a"), (F.col("f") / (1 + F.col("f"))).alias("b"))
-    whole = doubled(flow, parts, {"c": lambda x, up: least(x["c"], x["a"] + x["b"] * up["c"]), "a": lambda x, up: x["a"] + x["b"] * up["a"], "b": lambda x, up: x["b"] * up["b"]})
-    return nodes.join(whole, NODE).select(*NODE, (F.col("z") - F.least("c", "a")).alias("erosion"), F.lit(False).alias("limited"))
+    parts = durable(met.withColumn("f", f).select("grid_id", "src", "rec", F.col("z").alias("c"), (F.col("z") / (1 + F.col("f"))).alias("a"), (F.col("f") / (1 + F.col("f"))).alias("b"), "z"))
+    whole = doubled(parts, None, {"c": lambda x, up: least(x["c"], x["a"] + x["b"] * up["c"]), "a": lambda x, up: x["a"] + x["b"] * up["a"], "b": lambda x, up: x["b"] * up["b"], "z": lambda x, up: x["z"]}, flow.count())
+    return whole.select(*NODE, (F.col("z") - F.least("c", "a")).alias("erosion"), F.lit(False).alias("limited"))
 
 
 def _coefficient(grid: Grid, value: float | np.ndarray | DataFrame) -> float | DataFrame:
