@@ -246,11 +246,108 @@ def orient(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
     outer one, the basin that it leads to, and the pass.
 
     Without the outer basins the forest falls into trees, each with one edge to them, whose inner end is the tree's
-    root; their edges are from the smaller number. A tour along both sides of every edge (an arc's successor is the arc
-    after its reverse around the node where it ends) is ranked by pointer doubling: of an edge's two arcs the earlier one
-    leads away from the root. Arcs are numbered in ranges, so a basin with many neighbours isn't gathered. outer:
+    root. They are walked from their roots block by block, or ranked by a tour where blocks hardly shorten them. outer:
     grid_id, b.
     """
+    outer = durable(outer)
+    beside = few(outer.select("grid_id", F.col("b").alias("b1"), F.lit(True).alias("out")), outer.count())
+    given = tree.where("p0 is not null").join(beside, ["grid_id", "b1"], "left")
+    given = durable(given.select("*", F.col("b0").alias("n0"), F.when(F.col("out"), F.lit(-1)).otherwise(F.col("b1")).cast("long").alias("n1")).drop("out"))
+    found = _rooted(given, iterate.BLOCK, given.count())
+    if found is None:
+        return _toured(tree, names, outer)
+    side = lambda a, b, name: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(name)
+    return found.select("grid_id", side("b0", "b1", "up"), side("b1", "b0", "down"), side("p0", "p1", "inside"), side("p1", "p0", "outside"), side("z0", "z1", "z_in"), side("z1", "z0", "z_out"), "pass_elev", "pass_len")
+
+
+def _components(part: pd.DataFrame, low: int, high: int) -> pd.DataFrame:
+    """Of edges with an end from low to high, those that lead out and root edges: side, the side that lies inside, and c, the
+    component of that end along edges inside. Root edges of components that no edge leads out of are left out."""
+    n0, n1 = part["n0"].to_numpy(), part["n1"].to_numpy()
+    in0, in1 = (n0 >= low) & (n0 < high), (n1 >= low) & (n1 < high)
+    ids = np.unique(np.concatenate([n0[in0], n1[in1]]))
+    both = np.flatnonzero(in0 & in1)
+    parent = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(np.searchsorted(ids, n0[both]).tolist(), np.searchsorted(ids, n1[both]).tolist(), strict=True):
+        parent[top(i)] = top(j)
+    rest = np.flatnonzero(~(in0 & in1))
+    side = np.where(in0[rest], 0, 1)
+    c = np.array([top(x) for x in np.searchsorted(ids, np.where(side == 0, n0[rest], n1[rest])).tolist()], np.int64)
+    use = (n1[rest] >= 0) | np.isin(c, c[n1[rest] >= 0])
+    return part.iloc[rest[use]][["grid_id", "b0", "b1"]].assign(side=side[use], c=ids[c[use]] if len(c) else c)
+
+
+def _walked(part: pd.DataFrame, roots: np.ndarray) -> pd.DataFrame:
+    """Edges of a forest that its roots reach, and forward: whether n1 lies nearer to the root."""
+    n0, n1 = part["n0"].to_numpy(), part["n1"].to_numpy()
+    ids = np.unique(np.concatenate([n0, n1, roots]))
+    a, b = np.searchsorted(ids, n0), np.searchsorted(ids, n1)
+    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(ends, kind="stable")
+    start, near = np.searchsorted(ends[order], np.arange(len(ids) + 1)).tolist(), others[order].tolist()
+    turn, open_ = [-1] * len(ids), np.searchsorted(ids, roots).tolist()
+    for i in open_:
+        turn[i] = 0
+    for i in open_:  # grows as it goes
+        for j in near[start[i] : start[i + 1]]:
+            if turn[j] < 0:
+                turn[j] = turn[i] + 1
+                open_.append(j)
+    turn = np.array(turn, np.int64)
+    reached = turn[a] >= 0
+    return part[reached].assign(forward=(turn[b] < turn[a])[reached])
+
+
+def _rooted(edges: DataFrame, block: int | None, size: int) -> DataFrame | None:
+    """Edges (grid_id, n0, n1, b0, b1, ...) of trees with one root edge each, whose n1 is -1, as far as those reach, and
+    forward: whether n1 lies nearer to the root. None where blocks hardly shorten the trees.
+
+    A task walks the trees inside of a block from the nodes where their ways to a root lead in. Those come from the trees
+    between the parts that blocks hold, which are solved in the same way.
+    """
+    names = list(edges.columns)
+    yes, of = F.lit(True).alias("forward"), lambda c: F.expr(f"{c} div {block}") if block is not None else F.lit(0).cast("long")
+    done = edges.where("n1 < 0").select(*names, yes)
+    cross = edges.where(F.col("n1") >= 0).where(of("n0") != of("n1"))
+    n = 0 if block is None else cross.count()
+    if n > iterate.GATHERED and n > size // 2:
+        return None
+    if n:
+        touched = F.when(F.col("n1") < 0, F.array(of("n0"))).otherwise(F.array_distinct(F.array(of("n0"), of("n1"))))
+        each = edges.select("grid_id", "n0", "n1", "b0", "b1", F.explode(touched).alias("block"))
+        ends = each.groupBy("grid_id", "block").applyInPandas(lambda key, part: _components(part, key[1] * block, (key[1] + 1) * block), "grid_id long, b0 long, b1 long, side long, c long")
+        at = lambda k: F.max(F.when(F.col("side") == k, F.col("c")))
+        upper = durable(durable(ends).groupBy("grid_id", "b0", "b1").agg(at(0).alias("n0"), F.coalesce(at(1), F.lit(-1)).cast("long").alias("n1")))
+        found = _rooted(upper, None if n <= iterate.GATHERED else block * 16, n)
+        if found is None:
+            return None
+        led = few(durable(found.where("n1 >= 0").select("grid_id", "b0", "b1", "forward")), n)
+        done = done.unionByName(durable(cross.join(led, ["grid_id", "b0", "b1"]).select(*names, "forward")))
+    roots = done.select("grid_id", F.when(F.col("forward"), F.col("n0")).otherwise(F.col("n1")).alias("n")).select("grid_id", "n", of("n").alias("block"))
+    inner = edges.where(F.col("n1") >= 0).where(of("n0") == of("n1")).withColumn("block", of("n0"))
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({c: [] for c in (*names, "forward")})
+        return _walked(left, right["n"].to_numpy(np.int64))[[*names, "forward"]]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema) + ", forward boolean"
+    inner, roots = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (inner, roots))  # columns of their own
+    walked = inner.groupBy("grid_id", "block").cogroup(roots.groupBy("grid_id", "block")).applyInPandas(lambda left, right: work(left, right), schema)
+    return done.unionByName(walked)
+
+
+def _toured(tree: DataFrame, names: DataFrame, outer: DataFrame) -> DataFrame:
+    """orient by a tour along both sides of every edge (an arc's successor is the arc after its reverse around the node where
+    it ends), ranked by pointer doubling: of an edge's two arcs the earlier one leads away from the root. Edges between
+    inner basins are from the smaller number. Arcs are numbered in ranges, so a basin with many neighbours isn't gathered."""
     drained = durable(names.join(outer, ["grid_id", "b"], "left_semi").select("grid_id", "c").distinct())
     reached = names.join(few(drained, drained.count()), ["grid_id", "c"], "left_semi").select("grid_id", "b")
     given = tree.where("p0 is not null").join(reached.withColumnRenamed("b", "b0"), ["grid_id", "b0"], "left_semi")

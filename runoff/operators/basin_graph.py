@@ -53,8 +53,8 @@ class BasinGraph:
         tree, names = self._spanned()
         return analytics.orient(tree, names, self.outlets().where("outer").select("grid_id", F.col("basin").alias("b")))
 
-    def resolve(self, carve: bool) -> tuple[DataFrame, DataFrame]:
-        """Flow with every reachable pit led over its pass, and the surface filled along the new routes."""
+    def routed(self, carve: bool) -> DataFrame:
+        """Flow with every reachable pit led over its pass; `fill` raises the surface along it."""
         pits = self.outlets().select("grid_id", F.col("basin").alias("up"), F.col("outlet").alias("pit"))
         passes = durable(self.oriented().join(pits, ["grid_id", "up"]))
         over = passes.select("grid_id", F.col("inside").alias("src"), F.col("outside").alias("to"), F.col("pass_len").alias("d"))
@@ -69,8 +69,7 @@ class BasinGraph:
             back = passes.where("z_in >= z_out and inside <> pit").select("grid_id", F.col("pit").alias("src"), F.col("inside").alias("to"), far.alias("d"))
             changed = down.unionByName(back).unionByName(passes.where("z_in >= z_out").select("grid_id", F.col("inside").alias("src"), F.col("outside").alias("to"), F.col("pass_len").alias("d")))
         met = self.flow.join(changed, ["grid_id", "src"], "left")
-        flow = durable(met.select("grid_id", "src", "slot", F.coalesce("to", "rec").alias("rec"), F.coalesce("d", "distance").alias("distance"), "weight"))
-        return flow, fill(self.surface, flow)
+        return durable(met.select("grid_id", "src", "slot", F.coalesce("to", "rec").alias("rec"), F.coalesce("d", "distance").alias("distance"), "weight"))
 
 
 def fill(surface: DataFrame, flow: DataFrame) -> DataFrame:

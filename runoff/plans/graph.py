@@ -13,17 +13,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runoff.operators import analytics, grouped
-from runoff.operators.basin_graph import BasinGraph
+from runoff.operators.basin_graph import BasinGraph, fill
 from runoff.operators.routing import multi_flow, single_flow
 from runoff.plans.iterate import doubled, durable, least
 from runoff.schema import FLOW, NODE, FlowDirection, MSTMethod, MSTRouteMethod, NodeStatus
 from runoff.sources.grids import Grid
 
 
+class _Deferred:
+    """A field that holds a value or a function without arguments, which makes the value when it is first asked for."""
+
+    def __set_name__(self, owner: type, name: str) -> None:
+        self._at = f"_{name}"
+
+    def __get__(self, state: Any, owner: type | None = None) -> Any:
+        if state is None:
+            raise AttributeError(self._at)
+        if callable(value := getattr(state, self._at)):
+            setattr(state, self._at, value := value())
+        return value
+
+    def __set__(self, state: Any, value: Any) -> None:
+        setattr(state, self._at, value)
+
+
 @dataclass
 class FlowState:
     grid: Grid
-    surface: DataFrame  #: grid_id, idx, z, masked, is_base
+    surface: DataFrame = _Deferred()  #: grid_id, idx, z, masked, is_base
     flow: DataFrame | None = None
     single: bool = True
     graphs: dict[str, DataFrame] = field(default_factory=dict)
@@ -82,7 +99,7 @@ class PFloodSinkResolver(_Operator):
         if state.grid.size > grouped.LOCAL_NODES:
             filled, flow = state.surface, durable(single_flow(state.grid, state.surface))
             if analytics.pits(flow, state.surface).limit(1).count():
-                _, filled = BasinGraph(state.grid, state.surface, flow).resolve(carve=True)
+                filled = fill(state.surface, BasinGraph(state.grid, state.surface, flow).routed(carve=True))
             return replace(state, surface=durable(grouped.flood_by_blocks(state.grid, state.surface, filled, grouped.LOCAL_NODES)))
 
         def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -113,8 +130,9 @@ class MSTSinkResolver(_Operator):
             return state
         carve = self.route_method == MSTRouteMethod.CARVE
         if self.basin_method == MSTMethod.BORUVKA or state.grid.size > grouped.LOCAL_NODES:
-            flow, surface = BasinGraph(state.grid, state.surface, state.flow).resolve(carve)
-            return replace(state, surface=surface, flow=flow)
+            surface = state.surface
+            flow = BasinGraph(state.grid, surface, state.flow).routed(carve)
+            return replace(state, surface=lambda: fill(surface, flow), flow=flow)  # filled when it is asked for
 
         def work(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             near = grouped.Adjacency(len(nodes), edges)
@@ -214,11 +232,16 @@ class FlowGraph:
         return surface.drop("given")
 
     def update_routes(self, elevation: DataFrame) -> DataFrame:
+        """The elevations (grid_id, idx, z) that the operators leave."""
+        self.route(elevation)
+        return self.state.surface.select(*NODE, "z")
+
+    def route(self, elevation: DataFrame) -> None:
+        """As update_routes, where the elevations aren't needed: what the last resolver fills is only filled once its surface is read."""
         state = FlowState(self.grid, self._surface(elevation))
         for op in self.operators:
             state = op.apply(state)
         self.state = state
-        return state.surface.select(*NODE, "z")
 
     @property
     def flow(self) -> DataFrame:

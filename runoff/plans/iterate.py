@@ -29,7 +29,7 @@ def durable(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runoff-checkpoint-"))
     kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(kept.sparkSession().createDataFrame(kept.javaRDD(), kept.schema()), spark)
+    return DataFrame(kept.sparkSession().internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def dense_index(df: DataFrame, *keys: str, name: str = "idx", within: str | None = None) -> DataFrame:

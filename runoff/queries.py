@@ -23,11 +23,11 @@ _SIDES_LOOPED = RasterBoundaryStatus(_LOOPED, _LOOPED, _FIXED, _CORE)
 
 
 def _routed(spark: SparkSession, sf_dir: str, *operators, mask=None, bounds=None) -> FlowGraph:
-    grid, dem = orders_raster(spark, sf_dir, bounds=bounds)
+    grid, dem = orders_raster(spark, sf_dir, bounds=bounds, once=True)
     graph = FlowGraph(grid, operators or [SingleFlowRouter()])
     if mask is not None:
         graph.set_mask(mask)
-    graph.update_routes(dem)
+    graph.route(dem)
     return graph
 
 

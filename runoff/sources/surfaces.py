@@ -25,11 +25,13 @@ def synthetic(grid: RasterGrid, kind: str, seed: int = 0) -> DataFrame:
     return grid.nodes.select(*NODE, z.alias("z"))
 
 
-def orders_raster(spark: SparkSession, sf_dir: str, connect: RasterConnect = RasterConnect.QUEEN, bounds: RasterBoundaryStatus | None = None) -> tuple[Grid, DataFrame]:
-    """A raster of COLS columns whose nodes are orders by key; z is whole: part of the price, and a slope down to row 0."""
-    ranked = dense_index(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    rows = ranked.count() // COLS
+def orders_raster(spark: SparkSession, sf_dir: str, connect: RasterConnect = RasterConnect.QUEEN, bounds: RasterBoundaryStatus | None = None, once: bool = False) -> tuple[Grid, DataFrame]:
+    """A raster of COLS columns whose nodes are orders by key; z is whole: part of the price, and a slope down to row 0.
+    Elevations that are read once only aren't kept."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    ranked = dense_index(orders.select("o_orderkey", "o_totalprice"), "o_orderkey")
+    rows = orders.count() // COLS
     z = F.floor("o_totalprice") % 1024 + 128 * F.floor(F.col("idx") / COLS)
-    dem = durable(ranked.where(F.col("idx") < rows * COLS).select(F.lit(0).cast("long").alias("grid_id"), "idx", z.cast("double").alias("z")))
+    dem = ranked.where(F.col("idx") < rows * COLS).select(F.lit(0).cast("long").alias("grid_id"), "idx", z.cast("double").alias("z"))
     bounds = bounds or RasterBoundaryStatus(NodeStatus.CORE, NodeStatus.CORE, NodeStatus.FIXED_VALUE, NodeStatus.CORE)
-    return RasterGrid(spark, (rows, COLS), (1.0, 1.0), bounds, connect=connect), dem
+    return RasterGrid(spark, (rows, COLS), (1.0, 1.0), bounds, connect=connect), dem if once else durable(dem)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runoff.operators import analytics, grouped
 from runoff.operators.kernels import COLUMN, SCALAR, FlowKernelEroder, create_flow_kernel
 from runoff.plans.graph import DiffusionADIEroder, FlowGraph, FlowSnapshot, MSTSinkResolver, MultiFlowRouter, PFloodSinkResolver, SingleFlowRouter, SPLEroder
+from runoff.plans import graph as plans
 from runoff.plans import iterate
 from runoff.plans.iterate import ancestors, sum_downstream
 from runoff.schema import FlowDirection, FlowGraphTraversalDir, MSTMethod, MSTRouteMethod, NodeStatus, RasterConnect
@@ -126,6 +127,41 @@ def test_forest_by_blocks(spark, small_blocks):
     assert ends.join(names.select("grid_id", F.col("b").alias("b1"), F.col("c").alias("d")), ["grid_id", "b1"]).where("c <> d").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_orientation_by_blocks(spark, small_blocks, monkeypatch, seed):
+    """Trees across blocks lead to their roots, a tree without a way out is left out, and the tour finds the same."""
+    rng = np.random.default_rng(seed)
+    edges, wanted = [], []
+    for g in (0, 1):
+        up = {int(i): int(rng.integers(max(0, i - 9), i)) for i in range(1, 60) if i not in (20, 40)}
+        roots = {0: 60, 20: 61}  # 40 and what hangs on it have none
+        number = {**{i: int(x) for i, x in enumerate(rng.permutation(60) if seed == 2 else range(60))}, 60: 60, 61: 61}
+        top = lambda i: i if i not in up else top(up[i])
+        for i, j in [*up.items(), *roots.items()]:
+            a, b = number[i], number[j]
+            edges.append((g, min(a, b), max(a, b), 1000 * g + a, 1000 * g + b, float(a), float(b), 1.0, 1.0) if a < b else (g, b, a, 1000 * g + b, 1000 * g + a, float(b), float(a), 1.0, 1.0))
+            if top(i) != 40:
+                wanted.append((g, a, b, 1000 * g + a, 1000 * g + b, float(a), float(b)))
+    tree = spark.createDataFrame(edges, "grid_id long, b0 long, b1 long, p0 long, p1 long, z0 double, z1 double, pass_elev double, pass_len double")
+    outer = spark.createDataFrame([(g, b) for g in (0, 1) for b in (60, 61)], "grid_id long, b long")
+    names = analytics.spanning_forest(tree.unionByName(spark.createDataFrame([(g, 60, 61, 0.0) for g in (0, 1)], "grid_id long, b0 long, b1 long, pass_elev double"), allowMissingColumns=True))[1]
+    columns = ("grid_id", "up", "down", "inside", "outside", "z_in", "z_out")
+    assert rows(analytics.orient(tree, names, outer), *columns) == sorted(wanted)
+    assert rows(analytics._toured(tree, names, outer), *columns) == sorted(wanted)
+    if iterate.GATHERED > 100:  # blocks gather what is left, so nothing is toured
+        monkeypatch.setattr(analytics, "_toured", None)
+        assert analytics.orient(tree, names, outer).count() == len(wanted)
+
+
+def test_filling_waits_until_read(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(plans, "fill", lambda surface, flow, plain=plans.fill: made.append(1) or plain(surface, flow))
+    graph = FlowGraph(ProfileGrid(spark, 6, 1.0, ProfileBoundaryStatus(F_, C)), [SingleFlowRouter(), MSTSinkResolver(MSTMethod.BORUVKA)])
+    graph.route(surfaces(spark, [0, 3, 1, 2, 1, 5]))
+    assert [r[1] for r in rows(graph.flow, "src", "rec")] == [0, 0, 1, 2, 3, 4] and not made
+    assert [r[1] for r in rows(graph.state.surface, "idx", "z")][:2] == [0, 3] and graph.state.surface.where("z > 3").count() == 4 and len(made) == 1
+
+
 def test_sums_over_several_receivers_by_blocks(spark, small_blocks):
     """Ways down that leave blocks and come back."""
     rng = np.random.default_rng(12)
