@@ -100,12 +100,16 @@ def _lowest(part: pd.DataFrame, own: slice, steps) -> pd.DataFrame:
     return every.drop_duplicates(["b0", "b1"])
 
 
+def least_passes(steps: DataFrame) -> DataFrame:
+    """The least of steps (grid_id, b0, b1, e, ...) between each two basins."""
+    return steps.groupBy("grid_id", "b0", "b1").agg(F.min(F.struct("e", "src", "slot", "dst", "distance", "z0", "z1")).alias("p"))
+
+
 def _passes(grid, known: DataFrame) -> DataFrame:
     """grid_id, b0, b1 and p: (e, src, slot, dst, distance, z0, z1) of the lowest step, least in that order."""
-    step = ("e", "src", "slot", "dst", "distance", "z0", "z1")
     if grid.size > grouped.LOCAL_NODES and hasattr(grid, "by_seen_block"):
         found = grid.by_seen_block(known, iterate.BLOCK, _lowest, "grid_id long, b0 long, b1 long, e double, src long, slot int, dst long, distance double, z0 double, z1 double")
-        return found.groupBy("grid_id", "b0", "b1").agg(F.min(F.struct(*step)).alias("p"))
+        return least_passes(found)
     steps = grid.around(known, ["z", "basin", "outer"]).where("not outer").select("grid_id", F.col("idx").alias("src"), "z", "basin", F.explode("near").alias("n"))
     steps = steps.where("n.basin <> basin and (n.basin > basin or n.outer)")
     one = F.struct(F.greatest("z", "n.z").alias("e"), "src", "n.slot", "n.dst", "n.distance", F.col("z").alias("z0"), F.col("n.z").alias("z1"))
@@ -120,7 +124,12 @@ def basin_edges(grid, surface: DataFrame, known: DataFrame) -> DataFrame:
     """
     outer = known.where("outer").select("grid_id", "basin").distinct()
     known = known.join(surface.where("not masked").select(*NODE, "z"), NODE).select(*NODE, "z", "basin", "outer")
-    inner = _passes(grid, known).select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
+    return linked(_passes(grid, known), outer)
+
+
+def linked(passes: DataFrame, outer: DataFrame) -> DataFrame:
+    """basin_edges from the lowest passes and the outer basins (grid_id, basin)."""
+    inner = passes.select("grid_id", "b0", "b1", F.col("p.src").alias("p0"), F.col("p.dst").alias("p1"), F.col("p.e").alias("pass_elev"), F.col("p.distance").alias("pass_len"), "p.z0", "p.z1")
     first = outer.groupBy("grid_id").agg(F.min("basin").alias("b0"))
     none, no_z = F.lit(None).cast("long"), F.lit(None).cast("double")
     tied = outer.join(first, "grid_id").where("basin <> b0").select("grid_id", "b0", F.col("basin").alias("b1"), none.alias("p0"), none.alias("p1"), F.lit(float("-inf")).alias("pass_elev"), F.lit(0.0).alias("pass_len"), no_z.alias("z0"), no_z.alias("z1"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runoff.functions.ordinals import from_ordinal_column, ordinal_column
 from runoff.operators import analytics
+from runoff.plans import sheets
 from runoff.plans.iterate import doubled, durable, greatest, sum_downstream
 from runoff.schema import NODE
 
@@ -21,12 +22,18 @@ class BasinGraph:
 
     def __init__(self, grid, surface: DataFrame, flow: DataFrame) -> None:
         self.grid, self.surface, self.flow = grid, surface, flow
-        self.known = durable(analytics.labelled(flow, surface))
+        self.sheets = sheets.of_flow(flow, surface)
+        if self.sheets is None:
+            self.known = durable(analytics.labelled(flow, surface))
+        else:
+            self._outlets, self._passes = sheets.basin_passes(grid, self.sheets)
         self._edges: DataFrame | None = None
         self._forest: tuple[DataFrame, DataFrame] | None = None
 
     def outlets(self) -> DataFrame:
         """grid_id, basin, outlet, outer."""
+        if self.sheets is not None:
+            return self._outlets
         return self.known.where("idx = outlet and basin is not null").select("grid_id", "basin", "outlet", "outer")
 
     def basins_count(self) -> DataFrame:
@@ -35,7 +42,8 @@ class BasinGraph:
 
     def edges(self) -> DataFrame:
         if self._edges is None:
-            self._edges = durable(analytics.basin_edges(self.grid, self.surface, self.known))
+            made = analytics.linked(self._passes, self._outlets.where("outer").select("grid_id", "basin")) if self.sheets is not None else analytics.basin_edges(self.grid, self.surface, self.known)
+            self._edges = durable(made)
         return self._edges
 
     def tree(self) -> DataFrame:
@@ -68,6 +76,8 @@ class BasinGraph:
             down = passes.where("z_in < z_out").select("grid_id", F.col("pit").alias("src"), F.col("outside").alias("to"), far.alias("d"))
             back = passes.where("z_in >= z_out and inside <> pit").select("grid_id", F.col("pit").alias("src"), F.col("inside").alias("to"), far.alias("d"))
             changed = down.unionByName(back).unionByName(passes.where("z_in >= z_out").select("grid_id", F.col("inside").alias("src"), F.col("outside").alias("to"), F.col("pass_len").alias("d")))
+        if self.sheets is not None:
+            return sheets.rerouted(self.sheets, self.surface, changed)
         met = self.flow.join(changed, ["grid_id", "src"], "left")
         return durable(met.select("grid_id", "src", "slot", F.coalesce("to", "rec").alias("rec"), F.coalesce("d", "distance").alias("distance"), "weight"))
 

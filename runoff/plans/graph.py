@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from runoff.operators import analytics, grouped
 from runoff.operators.basin_graph import BasinGraph, fill
-from runoff.operators.routing import multi_flow, single_flow
+from runoff.operators.routing import multi_flow
+from runoff.plans import sheets
 from runoff.plans.iterate import doubled, durable, least
 from runoff.schema import FLOW, NODE, FlowDirection, MSTMethod, MSTRouteMethod, NodeStatus
 from runoff.sources.grids import Grid
@@ -75,7 +76,7 @@ class SingleFlowRouter(_Operator):
     graph_updated, out_flowdir = True, FlowDirection.SINGLE
 
     def apply(self, state: FlowState) -> FlowState:
-        return replace(state, flow=durable(single_flow(state.grid, state.surface)), single=True)
+        return replace(state, flow=sheets.single_flow(state.grid, state.surface), single=True)
 
 
 class MultiFlowRouter(_Operator):
@@ -97,8 +98,8 @@ class PFloodSinkResolver(_Operator):
 
     def apply(self, state: FlowState) -> FlowState:
         if state.grid.size > grouped.LOCAL_NODES:
-            filled, flow = state.surface, durable(single_flow(state.grid, state.surface))
-            if analytics.pits(flow, state.surface).limit(1).count():
+            filled, flow = state.surface, sheets.single_flow(state.grid, state.surface)
+            if sheets.has_pits(flow, state.surface):
                 filled = fill(state.surface, BasinGraph(state.grid, state.surface, flow).routed(carve=True))
             return replace(state, surface=durable(grouped.flood_by_blocks(state.grid, state.surface, filled, grouped.LOCAL_NODES)))
 
@@ -126,7 +127,7 @@ class MSTSinkResolver(_Operator):
         self.basin_method, self.route_method = basin_method, route_method
 
     def apply(self, state: FlowState) -> FlowState:
-        if not analytics.pits(state.flow, state.surface).limit(1).count():
+        if not sheets.has_pits(state.flow, state.surface):
             return state
         carve = self.route_method == MSTRouteMethod.CARVE
         if self.basin_method == MSTMethod.BORUVKA or state.grid.size > grouped.LOCAL_NODES:
@@ -203,14 +204,14 @@ class FlowGraph:
         """As set_base_levels, of nodes that take no part."""
         self._mask = _where(where)
 
-    def _marked(self) -> DataFrame:
-        nodes = self.grid.nodes
+    def _marked(self, nodes: DataFrame | None = None, *more: str) -> DataFrame:
+        nodes = self.grid.nodes if nodes is None else nodes
         for name, where in (("masked", self._mask), ("is_base", self._base)):
             if isinstance(where, DataFrame):
                 nodes = nodes.join(where.select(*NODE).distinct().withColumn(name, F.lit(True)), NODE, "left").withColumn(name, F.coalesce(name, F.lit(False)))
             else:
                 nodes = nodes.withColumn(name, F.coalesce(where, F.lit(False)))
-        return nodes.select(*NODE, "masked", "is_base")
+        return nodes.select(*NODE, *more, "masked", "is_base")
 
     def base_levels(self) -> DataFrame:
         return self._marked().where("is_base").select(*NODE)
@@ -220,16 +221,24 @@ class FlowGraph:
 
     def _surface(self, elevation: DataFrame) -> DataFrame:
         """grid_id, idx, z, masked, is_base; elevations must be of all nodes, once each, and numbers where not masked."""
+        if sheets.fit(self.grid):  # marks of a node follow from its number, so nothing is joined
+            made = sheets.packed(self.grid, self._marked(self.grid.place(elevation.select(*NODE, F.col("z").cast("double").alias("z")), "z"), "z"))
+            n, known, strange, bad = (x or 0 for x in made.agg(*[F.sum(c) for c in ("n", "known", "strange", "bad")]).first())
+            missing = self.grid.n_nodes - known
+            self._check(n + missing, strange, missing, bad)
+            return sheets.surface_of(made)
         given = elevation.select(*NODE, F.col("z").cast("double").alias("z"), F.lit(True).alias("given"))
         surface = durable(given.join(self._marked(), NODE, "full"))
         count = lambda where: F.count(F.when(where, 1))
         wrong = (F.col("z").isNull() | F.isnan("z")) & ~F.coalesce("masked", F.lit(False))
-        n, strange, missing, bad = surface.agg(F.count(F.lit(1)), count(F.col("masked").isNull()), count(F.col("given").isNull()), count(wrong)).first()
+        self._check(*surface.agg(F.count(F.lit(1)), count(F.col("masked").isNull()), count(F.col("given").isNull()), count(wrong)).first())
+        return surface.drop("given")
+
+    def _check(self, n: int, strange: int, missing: int, bad: int) -> None:
         if strange or missing or n != self.grid.n_nodes:
             raise ValueError(f"elevations must be of the grid's {self.grid.n_nodes} nodes, once each: {strange} are of none, {missing} nodes have none, {n} rows in all")
         if bad:
             raise ValueError(f"{bad} elevations are no numbers")
-        return surface.drop("given")
 
     def update_routes(self, elevation: DataFrame) -> DataFrame:
         """The elevations (grid_id, idx, z) that the operators leave."""

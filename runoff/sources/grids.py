@@ -202,6 +202,7 @@ class _Regular(Grid):
     """A grid whose neighbours are steps over rows and columns. The slot of a step back is the last slot less the slot."""
 
     steps: tuple[tuple[int, int], ...]  #: of each slot, in rows and columns
+    place: Callable[..., DataFrame] | None  #: nodes' columns beside those of rows (grid_id, idx, ...), from their numbers; None for given nodes
 
     def _moved(self, idx: Column, step: tuple[int, int]) -> tuple[Column, Column]:
         """The node that a step leads to, and whether there is one; a step over a looped border comes in on the other side."""
@@ -287,7 +288,8 @@ class ProfileGrid(_Regular):
             raise ValueError("a looped node can't be overridden")
         self.spacing, self.length, self.bounds = spacing, spacing * (size - 1), bounds
         border = F.when(F.col("idx") == 0, int(bounds.left)).when(F.col("idx") == size - 1, int(bounds.right)).otherwise(0)
-        nodes = (ids if ids is not None else _ids(spark, size, grids)).select(*NODE, _overridden(border, nodes_status or {}, size).alias("status"), F.lit(float(spacing)).alias("area"))
+        place = lambda at, *more: at.select(*NODE, _overridden(border, nodes_status or {}, size).alias("status"), F.lit(float(spacing)).alias("area"), *more)
+        nodes, self.place = place(ids if ids is not None else _ids(spark, size, grids)), place if ids is None else None
         super().__init__(nodes, size, (size,), True, True, 2, _n_nodes=None if ids is not None else size * grids)
 
     @classmethod
@@ -309,8 +311,8 @@ class RasterGrid(_Regular):
         rank = lambda where, status: F.when(where, _RANK.index(status)).otherwise(0)
         best = F.greatest(rank(col == 0, bounds.left), rank(col == cols - 1, bounds.right), rank(row == 0, bounds.top), rank(row == rows - 1, bounds.bottom))
         status = F.element_at(F.array(*[F.lit(int(s)) for s in _RANK]), best + 1)
-        base = (ids if ids is not None else _ids(spark, rows * cols, grids)).select(*NODE, row.alias("row"), col.alias("col"))
-        nodes = base.select(*NODE, "row", "col", _overridden(status, nodes_status or {}, rows * cols).alias("status"), F.lit(float(spacing[0] * spacing[1])).alias("area"))
+        place = lambda at, *more: at.select(*NODE, row.alias("row"), col.alias("col"), *more).select(*NODE, "row", "col", _overridden(status, nodes_status or {}, rows * cols).alias("status"), F.lit(float(spacing[0] * spacing[1])).alias("area"), *more)
+        nodes, self.place = place(ids if ids is not None else _ids(spark, rows * cols, grids)), place if ids is None else None
         super().__init__(nodes, rows * cols, (rows, cols), True, True, len(connect.value), _n_nodes=None if ids is not None else rows * cols * grids)
 
     @classmethod

@@ -520,3 +520,65 @@ def test_filling_beside_masked_nodes_without_a_number(spark):
     z = [0.0, 3.0, 1.0, 5.0, None, 4.0, 0.0]
     filled = graph.update_routes(spark.createDataFrame([(0, i, v) for i, v in enumerate(z)], "grid_id long, idx long, z double"))
     assert [r[1] for r in rows(filled, "idx", "z")] == [0.0, 3.0, np.nextafter(3.0, 4.0), 5.0, None, 4.0, 0.0]
+
+
+@pytest.mark.parametrize("gathered", [1 << 17, 3], ids=["gathered", "rounds"])
+@pytest.mark.parametrize("bounds", [BOTTOM, RasterBoundaryStatus(L, L, F_, C), RasterBoundaryStatus(L, L, L, L)], ids=["open", "sides", "all"])
+def test_sinks_on_sheets(spark, monkeypatch, bounds, gathered):
+    """Blocks that exchange borders only give the routes and elevations of a task; masked nodes need no number."""
+    z = surfaces(spark, np.random.default_rng(8).integers(0, 6, 99), np.random.default_rng(9).integers(0, 40, 99))
+    z = z.withColumn("z", F.when(F.col("idx") % 13 != 4, F.col("z")))
+    mask = spark.range(99).where("id % 13 = 4").selectExpr("explode(array(0L, 1L)) as grid_id", "id as idx")
+
+    def made(where, route):
+        graph = FlowGraph(RasterGrid(spark, (11, 9), (1.0, 2.0), bounds, grids=2), [SingleFlowRouter(), MSTSinkResolver(route_method=route)])
+        graph.set_mask(where)
+        graph.set_base_levels(F.col("idx") % 31 == 2)
+        filled = graph.update_routes(z)
+        return sorted(map(tuple, graph.flow.collect())), rows(filled, "grid_id", "idx", "z")
+
+    whole = [made(mask, route) for route in MSTRouteMethod]
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 50)
+    monkeypatch.setattr(iterate, "BLOCK", 16)
+    monkeypatch.setattr(iterate, "GATHERED", gathered)
+    monkeypatch.setattr(analytics, "labelled", None)  # basins by sheets
+    assert [made(mask, route) for route in MSTRouteMethod] == whole
+    if gathered > 3:
+        assert made(F.col("idx") % 13 == 4, MSTRouteMethod.BASIC) == whole[list(MSTRouteMethod).index(MSTRouteMethod.BASIC)]
+
+
+def test_sheets_take_each_node_once(spark, monkeypatch):
+    grid = RasterGrid(spark, (6, 5), (1.0, 1.0), BOTTOM)
+    good = surfaces(spark, np.arange(30) % 7)
+    extra = lambda g, i, v: good.unionByName(spark.createDataFrame([(g, i, v)], "grid_id long, idx long, z double"))
+    cases = [good.where("idx <> 17"), extra(0, 9, 1.0), extra(0, 30, 1.0), extra(1, 3, 1.0), extra(None, 3, 1.0), extra(0, -1, 1.0), good.where("idx < 0")]
+    cases += [good.withColumn("z", F.when(F.col("idx") != 8, F.col("z"))), good.withColumn("z", F.when(F.col("idx") != 8, F.col("z")).otherwise(float("nan")))]
+
+    def refused(df):
+        with pytest.raises(ValueError) as found:
+            FlowGraph(grid, [SingleFlowRouter()]).update_routes(df)
+        return str(found.value)
+
+    whole = [refused(df) for df in cases]
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 10)
+    monkeypatch.setattr(iterate, "BLOCK", 8)
+    assert [refused(df) for df in cases] == whole
+
+
+def test_changed_surfaces_leave_their_sheets(spark, monkeypatch):
+    """Passes are those of the surface as it is, also where an operator changed it after routing."""
+    class Flat:
+        name, elevation_updated, graph_updated = "Flat", True, False
+        in_flowdir = out_flowdir = FlowDirection.UNDEFINED
+
+        def apply(self, state):
+            return replace(state, surface=state.surface.withColumn("z", F.when(F.col("idx") == 12, 0.5).otherwise(F.col("z"))))
+
+    def made():
+        graph = FlowGraph(ProfileGrid(spark, 30, 1.0, ProfileBoundaryStatus.of(F_)), [SingleFlowRouter(), Flat(), MSTSinkResolver(route_method=MSTRouteMethod.BASIC)])
+        return rows(graph.update_routes(surfaces(spark, [0, *np.random.default_rng(4).integers(1, 9, 28), 0])), "grid_id", "idx", "z"), sorted(map(tuple, graph.flow.collect()))
+
+    whole = made()
+    monkeypatch.setattr(grouped, "LOCAL_NODES", 10)
+    monkeypatch.setattr(iterate, "BLOCK", 8)
+    assert made() == whole
