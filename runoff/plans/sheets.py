@@ -41,8 +41,23 @@ def of_flow(flow: DataFrame, surface: DataFrame) -> DataFrame | None:
     return sheets if routed is surface else None
 
 
+def _kept(values: np.ndarray) -> bytes:
+    """Compressed, since checkpoints hold on to many rows at once as they are written."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
 def _array(row, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(getattr(row, name), kind)
+    kept = getattr(row, name)
+    return np.frombuffer(pa.decompress(kept[8:], int.from_bytes(kept[:8], "little"), "zstd", asbytes=True), kind)
+
+
+def _ids(row) -> np.ndarray:
+    return np.cumsum(_array(row, "ids", np.int64))
+
+
+def _rec(row, ids: np.ndarray) -> np.ndarray:
+    return ids + _array(row, "rec", np.int64)
 
 
 def _each(parts: Iterator[pd.DataFrame]) -> Iterator:
@@ -68,7 +83,7 @@ def packed(grid: Grid, rows: DataFrame) -> DataFrame:
         ids, z, masked, base, none = (part[c].to_numpy(t) for c, t in (("idx", np.int64), ("z", float), ("masked", bool), ("is_base", bool), ("none", bool)))
         marks = masked * _MASKED + base * _BASE + none * _NONE
         bad = (np.isnan(z) & ~masked)[own].sum()
-        return pd.DataFrame([{"block": first, "n": n, "known": len(np.unique(ids[own])), "strange": n - count, "bad": bad, "low": own.start, "high": own.stop, "ids": ids.tobytes(), "z": z.tobytes(), "marks": marks.astype(np.uint8).tobytes()}])
+        return pd.DataFrame([{"block": first, "n": n, "known": len(np.unique(ids[own])), "strange": n - count, "bad": bad, "low": own.start, "high": own.stop, "ids": _kept(np.diff(ids, prepend=0)), "z": _kept(z), "marks": _kept(marks.astype(np.uint8))}])
 
     return durable(grid.by_seen_block(rows, block, work, _SURFACE))
 
@@ -79,7 +94,7 @@ def surface_of(sheets: DataFrame) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(part.to_pandas() for part in parts):
             own = slice(row.low, row.high)
-            ids, z, marks = _array(row, "ids", np.int64)[own], _array(row, "z", float)[own], _array(row, "marks", np.uint8)[own]
+            ids, z, marks = _ids(row)[own], _array(row, "z", float)[own], _array(row, "marks", np.uint8)[own]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row.grid_id)), pa.array(ids), pa.array(z, mask=marks & _NONE > 0), pa.array(marks & _MASKED > 0), pa.array(marks & _BASE > 0)], names=[*NODE, "z", "masked", "is_base"])
 
     surface = sheets.mapInArrow(rows, "grid_id long, idx long, z double, masked boolean, is_base boolean")
@@ -92,9 +107,9 @@ def flow_of(sheets: DataFrame, surface: DataFrame) -> DataFrame:
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(part.to_pandas() for part in parts):
-            ids = _array(row, "ids", np.int64)[row.low : row.high]
+            ids = _ids(row)[row.low : row.high]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, row.grid_id), ids, np.zeros(n, np.int32), _array(row, "rec", np.int64), _array(row, "distance", float), np.ones(n))], names=["grid_id", "src", "slot", "rec", "distance", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, row.grid_id), ids, np.zeros(n, np.int32), _rec(row, ids), _array(row, "distance", float), np.ones(n))], names=["grid_id", "src", "slot", "rec", "distance", "weight"])
 
     flow = sheets.mapInArrow(rows, FLOW)
     _flows[flow] = sheets, surface
@@ -104,13 +119,13 @@ def flow_of(sheets: DataFrame, surface: DataFrame) -> DataFrame:
 def _nodes(row) -> tuple[np.ndarray, slice, np.ndarray, np.ndarray]:
     """Node numbers, the slice of the block's own, and which are masked and base levels."""
     marks = _array(row, "marks", np.uint8)
-    return _array(row, "ids", np.int64), slice(row.low, row.high), marks & _MASKED > 0, marks & _BASE > 0
+    return _ids(row), slice(row.low, row.high), marks & _MASKED > 0, marks & _BASE > 0
 
 
 def _with_routes(row, rec: np.ndarray, distance: np.ndarray) -> dict:
     ids, own, masked, base = _nodes(row)
     pits = bool(((rec == ids[own]) & ~masked[own] & ~base[own]).any())
-    return {"grid_id": row.grid_id, "block": row.block, "low": row.low, "high": row.high, "pits": pits, "ids": row.ids, "z": row.z, "marks": row.marks, "rec": rec.tobytes(), "distance": distance.tobytes()}
+    return {"grid_id": row.grid_id, "block": row.block, "low": row.low, "high": row.high, "pits": pits, "ids": row.ids, "z": row.z, "marks": row.marks, "rec": _kept(rec - ids[own]), "distance": _kept(distance)}
 
 
 def single_flow(grid: Grid, surface: DataFrame) -> DataFrame:
@@ -141,8 +156,9 @@ def rerouted(sheets: DataFrame, surface: DataFrame, changed: DataFrame) -> DataF
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
         for row in left.itertuples(index=False):
-            rec, distance = _array(row, "rec", np.int64).copy(), _array(row, "distance", float).copy()
-            at = np.searchsorted(_array(row, "ids", np.int64)[row.low : row.high], right["src"].to_numpy(np.int64))
+            ids = _ids(row)[row.low : row.high]
+            rec, distance = _rec(row, ids), _array(row, "distance", float).copy()
+            at = np.searchsorted(ids, right["src"].to_numpy(np.int64))
             rec[at], distance[at] = right["to"].to_numpy(np.int64), right["d"].to_numpy(float)
             made.append(_with_routes(row, rec, distance))
         return pd.DataFrame(made, columns=[c.split()[0] for c in _ROUTED.split(", ")])
@@ -193,7 +209,8 @@ def basin_passes(grid: Grid, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     def leads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in _each(parts):
             every, own, masked, base = _nodes(row)
-            ids, rec = every[own], _array(row, "rec", np.int64)
+            ids = every[own]
+            rec = _rec(row, ids)
             out, rank = _outlets(ids, rec, masked[own])
             near = (ids % block < steps.reach) | (ids % block >= block - steps.reach)
             if steps.over_rows:
@@ -221,7 +238,8 @@ def basin_passes(grid: Grid, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = []
         for row in left.itertuples(index=False):
             every, own, masked, base = _nodes(row)
-            ids, rec = every[own], _array(row, "rec", np.int64)
+            ids = every[own]
+            rec = _rec(row, ids)
             out, rank = _outlets(ids, rec, masked[own])
             known = right.sort_values("idx")
             end, basin, outer = _ends(ids, rec), np.full(len(every), -1), np.zeros(len(every), bool)
